@@ -47,8 +47,8 @@ _TYPES = {
 }
 
 
-def compare(spark_df, connection, sql: str) -> list[str]:
-    """Problems found; empty when both results agree."""
+def compare(spark_df, connection, sql: str) -> tuple[list[str], int]:
+    """Problems found (none when both results agree) and the rows Spark returned."""
     cursor = connection.execute(sql)
     names = [d[0] for d in cursor.description]
     types = {d[0]: str(d[1]) for d in cursor.description}
@@ -56,7 +56,7 @@ def compare(spark_df, connection, sql: str) -> list[str]:
     got = rows_of(spark_df.columns, spark_df.collect())
     problems = []
     if sorted(names) != sorted(spark_df.columns):
-        return [f"columns differ: {sorted(set(names) ^ set(spark_df.columns))}"]
+        return [f"columns differ: {sorted(set(names) ^ set(spark_df.columns))}"], 0
     for name, spark_type in spark_df.dtypes:
         if _TYPES.get(spark_type) != types[name]:
             problems.append(f"type of {name}: {spark_type} against {types[name]}")
@@ -66,7 +66,7 @@ def compare(spark_df, connection, sql: str) -> list[str]:
             f"{sum(expected.values())} rows expected, {sum(got.values())} got; "
             f"missing {list(missing)[:2]}, extra {list(extra)[:2]}"
         )
-    return problems
+    return problems, sum(got.values())
 
 
 def connect(sf_dir: str):
@@ -95,8 +95,8 @@ def main(argv: list[str]) -> int:
         try:
             df = registered[name](spark, sf_dir)
             if name in sql:
-                problems = compare(df, connection, sql[name])
-                note = f"{df.count() if not problems else '?'} rows"
+                problems, rows = compare(df, connection, sql[name])
+                note = f"{rows} rows"
             else:
                 problems, note = [], f"{df.count()} rows, no SQL"
         except Exception as error:  # noqa: BLE001 - report and go on with the next query

@@ -6,7 +6,10 @@ check SQL read the same input. Every view covers its whole base table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from propstats.functions import geometry as geo
 
 # Postcode areas of the fixtures, by position.
 _AREAS = [
@@ -117,13 +120,69 @@ def dated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").selectExpr(f"{DATE_TEXT} AS date_text")
 
 
-def district_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "nation").selectExpr(*[f"{e} AS {n}" for n, e in DISTRICT_BOXES.items()])
+def _layer(df: DataFrame, geometry: Column) -> DataFrame:
+    """A polygon layer as stored: geometry, bounds and reference system."""
+    named = {"x0": "min_x", "y0": "min_y", "x1": "max_x", "y1": "max_y"}
+    return df.withColumns({"geometry": geometry, "srid": F.lit(27700)}).withColumnsRenamed(named)
+
+
+def _district_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey", *[f"{e} AS {n}" for n, e in DISTRICT_BOXES.items()]
+    )
+
+
+def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Square districts."""
+    return _layer(_district_boxes(spark, sf_dir), geo.box("x0", "y0", "x1", "y1")).drop("n_nationkey")
 
 
-def zone_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in ZONE_BOXES.items()])
+def shaped_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same squares with, in turn, a hole in the middle, a notch from the top, or a gap between two parts."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    hole = geo.ring((x0 + 40, y0 + 40), (x0 + 40, y0 + 60), (x0 + 60, y0 + 60), (x0 + 60, y0 + 40))
+    holed = F.array(F.array(geo.box_ring(x0, y0, x1, y1), hole))
+    notched = F.array(
+        F.array(
+            geo.ring(
+                (x0, y0), (x1, y0), (x1, y1), (x0 + 60, y1), (x0 + 60, y0 + 60), (x0 + 40, y0 + 60), (x0 + 40, y1), (x0, y1)
+            )
+        )
+    )
+    parted = F.array(F.array(geo.box_ring(x0, y0, x0 + 45, y1)), F.array(geo.box_ring(x0 + 55, y0, x1, y1)))
+    kind = F.col("n_nationkey") % 3
+    shape = F.when(kind == 0, holed).when(kind == 1, notched).otherwise(parted)
+    return _layer(_district_boxes(spark, sf_dir), shape).drop("n_nationkey")
+
+
+def zone_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in ZONE_BOXES.items()])
+    return _layer(boxes, geo.box("x0", "y0", "x1", "y1"))
 
 
 def zone_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in ZONE_FACTS.items()])
+
+
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zone polygons with their indicators, as one stored table."""
+    both = {**ZONE_BOXES, **ZONE_FACTS}
+    rows = _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in both.items()])
+    return _layer(rows, geo.box("x0", "y0", "x1", "y1"))
+
+
+def flawed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zone rings with, in turn: no flaw, no closing point, a repeated point, a crossing, no area, too few points."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    good = geo.box_ring(x0, y0, x1, y1)
+    kind = F.col("LSOACode") % 6
+    shape = (
+        F.when(kind == 0, good)
+        .when(kind == 1, F.slice(good, 1, 4))
+        .when(kind == 2, F.concat(F.slice(good, 1, 2), F.slice(good, 2, 4)))
+        .when(kind == 3, geo.ring((x0, y0), (x1, y1), (x1, y0), (x0, y1)))
+        .when(kind == 4, geo.ring((x0, y0), ((x0 + x1) / 2, y0), (x1, y0)))
+        .otherwise(geo.ring((x0, y0), (x1, y1)))
+    )
+    boxes = _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in ZONE_BOXES.items()])
+    return _layer(boxes, F.array(F.array(shape)))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from propstats.catalog import fixtures as fx
 from propstats.functions import postcode as pc
-from propstats.schema import COMMON_KEYS, LEVELS
+from propstats.functions import projection
+from propstats.schema import COMMON_KEYS, INDICATORS, LEVELS, POPULATION_COLUMNS
 
 
 def _names(columns: list[str]) -> str:
@@ -126,12 +127,333 @@ def _multi_level() -> str:
     return f"WITH {', '.join(parts)} {' UNION ALL BY NAME '.join(selects)}"
 
 
+LATEST, SINCE, LOW = 2000, 1999, 5
+_SELECTED = "('E1', 'N1', 'SW1', 'BR1', 'M1')"
+_SELECTED_TRENDS = "('E4', 'N7', 'SW2A', 'BR5', 'M9A')"
+
+
+def _round(value: str, digits: int = 2) -> str:
+    """Round half up on the decimal text of a number."""
+    return f"CAST(round(CAST({value} AS DECIMAL(28, 9)), {digits}) AS DOUBLE)"
+
+
+DISTRICTS = f"districts AS (SELECT {fx.select_list(fx.DISTRICT_BOXES)} FROM nation)"
+ZONES = f"zones AS (SELECT {fx.select_list({**fx.ZONE_BOXES, **fx.ZONE_FACTS})} FROM customer)"
+FACTS = fx.select_list(fx.ZONE_FACTS)
+INSIDE = "z.x0 >= d.x0 AND z.y0 >= d.y0 AND z.x1 <= d.x1 AND z.y1 <= d.y1"
+PAIRS = f"pairs AS (SELECT z.*, d.PostDist FROM zones z JOIN districts d ON {INSIDE})"
+
+
+def _socio() -> str:
+    parts = []
+    for name in INDICATORS:
+        score, rank = f'"{name}Score"', f'"{name}Rank"'
+        parts += [
+            f'{_round(f"CAST(sum(CAST({score} AS DECIMAL(28, 8))) AS DOUBLE) / count({score})")} AS "{name}Avg"',
+            f'{_round(f"median({score})")} AS "{name}Median"',
+            f'{_round(f"min({score})")} AS "{name}Min"',
+            f'{_round(f"max({score})")} AS "{name}Max"',
+            f'{_round(f"avg({rank})")} AS "{name}RankAvg"',
+        ]
+    sums = ", ".join(f'CAST(coalesce(sum("{c}"), 0) AS BIGINT) AS "{c}"' for c in POPULATION_COLUMNS)
+    percents = ", ".join(
+        f'CASE WHEN TotalPopulation > 0 THEN {_round(f"{c} * 100.0::DOUBLE / TotalPopulation")} ELSE 0 END AS "{c}%"'
+        for c in POPULATION_COLUMNS[1:]
+    )
+    return f"""rolled AS (
+        SELECT PostDist, arg_min(LADName, LSOACode) AS AreaName, count(*) AS CountLowLevelAreas, {sums}, {', '.join(parts)}
+        FROM pairs GROUP BY PostDist),
+    socio AS (
+        SELECT r.*, (d.x1 - d.x0) * (d.y1 - d.y0) / 1000000 AS AreaKm2, {percents},
+            CASE WHEN (d.x1 - d.x0) * (d.y1 - d.y0) > 0
+                THEN {_round("TotalPopulation / ((d.x1 - d.x0) * (d.y1 - d.y0) / 1000000)")} ELSE 0 END AS PopulationDensity
+        FROM rolled r JOIN districts d USING (PostDist))"""
+
+
+_FLAT_SQL = f"flats AS (SELECT * FROM trends WHERE property_type = 'F' AND year <= {LATEST})"
+_KEPT = f"""kept AS (SELECT * FROM flats f WHERE NOT EXISTS (
+    SELECT 1 FROM flats b WHERE b.postcode_district = f.postcode_district
+        AND b.num_transactions <= {LOW} AND b.year >= {SINCE}))"""
+_TYPE_NAME = """CASE property_type WHEN 'T' THEN 'Terraced' WHEN 'S' THEN 'Semi-Detached' WHEN 'D' THEN 'Detached'
+    WHEN 'F' THEN 'Flat' WHEN 'O' THEN 'Other' END"""
+
+
+def _type_counts(condition: str) -> str:
+    return f"""WITH {PLACED} SELECT postcode_district, {_TYPE_NAME} AS property_type, count(*) AS num_transactions
+        FROM placed WHERE property_type IN ('T', 'S', 'D', 'F', 'O') AND {condition} GROUP BY 1, 2"""
+
+
+_LONDON = """"is_london?" IN ('Central London', 'Greater London')"""
+_CLEAN = """(l_orderkey % 103 <> 0 AND l_orderkey % 101 <> 0 AND l_orderkey % 107 <> 0)"""
+
+
+def _marts() -> str:
+    """Every CTE up to the joined district table and its London flats."""
+    return f"""WITH {level_trends('district')}, {DISTRICTS}, {ZONES}, {PAIRS}, {_socio()},
+    joined AS (SELECT t.*, s.* FROM trends t JOIN socio s ON t.postcode_district = s.PostDist),
+    london AS (SELECT * FROM joined WHERE {_LONDON}),
+    london_flats AS (SELECT * FROM london WHERE property_type = 'F')"""
+
+
+def _pascal(column: str) -> str:
+    if "_" not in column:
+        return column[0].upper() + column[1:]
+    return "".join(part.title() for part in column.split("_"))
+
+
+def _long(pairs: dict[str, str], first: str, second: str, tail: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS {first}, {v} AS {second} {tail}" for k, v in pairs.items())
+
+
+def _reprojection() -> str:
+    """The published series step by step, one CTE per step."""
+    p = projection
+    arc = p.ARC
+
+    def meridian(lat: str) -> str:
+        d, s = f"({lat} - {p.LAT0!r})", f"({lat} + {p.LAT0!r})"
+        return (
+            f"{p.AIRY_B * p.SCALE!r} * ({arc[0]!r} * {d} - {arc[1]!r} * sin({d}) * cos({s}) "
+            f"+ {arc[2]!r} * sin({d} * 2) * cos({s} * 2) - {arc[3]!r} * sin({d} * 3) * cos({s} * 3))"
+        )
+
+    af = repr(p.AIRY_A * p.SCALE)
+    steps = [
+        f"""s0 AS (SELECT LSOACode, CAST(530000 + x0 * 100 AS DOUBLE) - {p.EAST0!r} AS e,
+            CAST(180000 + y0 * 100 AS DOUBLE) - {p.NORTH0!r} AS n FROM zones)""",
+        f"p0 AS (SELECT *, n / {af} + {p.LAT0!r} AS lat FROM s0)",
+    ]
+    for i in range(1, p.ITERATIONS + 1):
+        steps.append(f"p{i} AS (SELECT * EXCLUDE (lat), lat + (n - {meridian('lat')}) / {af} AS lat FROM p{i - 1})")
+    last = f"p{p.ITERATIONS}"
+    steps += [
+        f"q1 AS (SELECT *, tan(lat) AS t, 1 / cos(lat) AS sec, 1 - {p.AIRY_E2!r} * sin(lat) * sin(lat) AS w FROM {last})",
+        f"q2 AS (SELECT *, {af} / sqrt(w) AS nu, {p.AIRY_A * p.SCALE * (1 - p.AIRY_E2)!r} / (w * sqrt(w)) AS rho FROM q1)",
+        """q3 AS (SELECT LSOACode,
+            lat - t / (2 * rho * nu) * e**2 + t / (24 * rho * nu**3) * (5 + 3 * t**2 + (nu / rho - 1) - 9 * t**2 * (nu / rho - 1)) * e**4
+                - t / (720 * rho * nu**5) * (61 + 90 * t**2 + 45 * t**4) * e**6 AS lat,
+            """
+        + f"""{p.LON0!r} + sec / nu * e - sec / (6 * nu**3) * (nu / rho + 2 * t**2) * e**3
+                + sec / (120 * nu**5) * (5 + 28 * t**2 + 24 * t**4) * e**5
+                - sec / (5040 * nu**7) * (61 + 662 * t**2 + 1320 * t**4 + 720 * t**6) * e**7 AS lon FROM q2)""",
+        f"q4 AS (SELECT *, {p.AIRY_A!r} / sqrt(1 - {p.AIRY_E2!r} * sin(lat)**2) AS v FROM q3)",
+        f"""q5 AS (SELECT LSOACode, v * cos(lat) * cos(lon) AS x, v * cos(lat) * sin(lon) AS y,
+            v * {1 - p.AIRY_E2!r} * sin(lat) AS z FROM q4)""",
+        f"""q6 AS (SELECT LSOACode,
+            {p.SHIFT[0]!r} + {1 + p.SHIFT_SCALE!r} * x - {p.TURN[2]!r} * y + {p.TURN[1]!r} * z AS x,
+            {p.SHIFT[1]!r} + {p.TURN[2]!r} * x + {1 + p.SHIFT_SCALE!r} * y - {p.TURN[0]!r} * z AS y,
+            {p.SHIFT[2]!r} - {p.TURN[1]!r} * x + {p.TURN[0]!r} * y + {1 + p.SHIFT_SCALE!r} * z AS z FROM q5)""",
+        f"r0 AS (SELECT *, sqrt(x * x + y * y) AS r, atan2(z, sqrt(x * x + y * y) * {1 - p.WGS_E2!r}) AS lat FROM q6)",
+    ]
+    for i in range(1, p.ITERATIONS + 1):
+        steps.append(
+            f"""r{i} AS (SELECT * EXCLUDE (lat), atan2(z + {p.WGS_E2 * p.WGS_A!r} * sin(lat)
+                / sqrt(1 - {p.WGS_E2!r} * sin(lat)**2), r) AS lat FROM r{i - 1})"""
+        )
+    return f"""WITH {ZONES}, {', '.join(steps)} SELECT LSOACode, round(degrees(atan2(y, x)), 7) AS lon,
+        round(degrees(lat), 7) AS lat FROM r{p.ITERATIONS}"""
+
+
+def _shapes() -> str:
+    """Containment in squares with a hole, a notch open to the top, or a gap between two parts."""
+    return f"""WITH {ZONES},
+    squares AS (SELECT n_nationkey % 3 AS kind, {fx.select_list(fx.DISTRICT_BOXES)} FROM nation)
+    SELECT LSOACode, PostDist FROM zones z JOIN squares d ON {INSIDE} AND CASE kind
+        WHEN 0 THEN NOT (z.x0 < d.x0 + 60 AND z.x1 > d.x0 + 40 AND z.y0 < d.y0 + 60 AND z.y1 > d.y0 + 40)
+        WHEN 1 THEN NOT (z.x0 < d.x0 + 60 AND z.x1 > d.x0 + 40 AND z.y1 > d.y0 + 60)
+        ELSE z.x1 <= d.x0 + 45 OR z.x0 >= d.x0 + 55 END"""
+
+
+def _bad_numbers() -> str:
+    """Numbering per area: compare each district number with the one before it."""
+    return f"""WITH {PLACED},
+    codes AS (SELECT DISTINCT postcode_district FROM placed),
+    numbered AS (
+        SELECT regexp_replace(postcode_district, '[^A-Za-z]', '', 'g') AS postcode_area, postcode_district,
+            TRY_CAST(regexp_replace(postcode_district, '[^0-9]', '', 'g') AS BIGINT) AS num FROM codes),
+    steps AS (
+        SELECT *, lag(num) OVER (PARTITION BY postcode_area ORDER BY num, postcode_district) AS prev,
+            min(num) OVER (PARTITION BY postcode_area) AS first_num FROM numbered WHERE num IS NOT NULL),
+    flags AS (
+        SELECT postcode_area, string_agg(CAST(num AS VARCHAR), ',' ORDER BY num) AS numbers,
+            min(first_num) NOT IN (0, 1) AS bad_start,
+            bool_or(num <> first_num AND num <> prev + 1) AS has_gap
+        FROM steps GROUP BY postcode_area)
+    SELECT n.postcode_area, count(*) AS num_districts, coalesce(any_value(f.numbers), '') AS numbers,
+        count(num) = 0 AS no_numbers, coalesce(bool_or(f.bad_start), false) AS bad_start,
+        coalesce(bool_or(f.has_gap), false) AS has_gap
+    FROM numbered n LEFT JOIN flags f USING (postcode_area) GROUP BY n.postcode_area"""
+
+
+def _pass_rate() -> str:
+    sql = []
+    for level in LEVELS:
+        sql.append(
+            f"""SELECT * FROM (WITH {level_trends(level)} SELECT '{level}' AS level,
+            count(*) FILTER (WHERE is_good_sample) AS good_samples, count(*) AS total_samples,
+            {_round("count(*) FILTER (WHERE is_good_sample) * 100.0::DOUBLE / count(*)")} AS pass_rate_pct FROM trends)"""
+        )
+    return " UNION ALL ".join(sql)
+
+
+_STATIC = [
+    "PostDist", "AreaName", "CountLowLevelAreas", "AreaKm2", *POPULATION_COLUMNS,
+    *[f"{c}%" for c in POPULATION_COLUMNS[1:]], "PopulationDensity",
+    *[f"{name}{kind}" for name in INDICATORS for kind in ("Avg", "RankAvg")],
+]
+_SERIES_MART = [
+    "postcode_area", "postcode_district", "PostDist", "is_london?", "property_type", "year",
+    "num_transactions", "avg_price", "stddev_price", "25th_percentile_price", "median_price",
+    "75th_percentile_price", "90th_percentile_price", "95th_percentile_price", "skewness_price",
+    "kurtosis_price", "coef_var", "iqr", "median_mean_diff", "median_mean_diff_pct", "iqr_pct",
+    "lag_median_price", "median_pct_change_1_year", "roll_median_pct_2_year", "roll_median_pct_5_year",
+    "is_good_sample",
+]
+
+
 def oracle_sql() -> dict[str, str]:
-    sql = {
+    """One SQL text per registered query."""
+    district_trends = level_trends("district")
+    marts = _marts()
+    series = ", ".join(f'f."{c}" AS "{_pascal(c)}"' for c in _SERIES_MART if c != "PostDist")
+    static = ", ".join(f's."{c}" AS "{_pascal(c)}"' for c in _STATIC if c != "PostDist")
+    inner_outer = f"""CASE WHEN postcode_area IN ({_texts(pc.INNER_AREAS)}) THEN 'Inner London'
+        WHEN postcode_area IN ({_texts(pc.OUTER_AREAS)}) THEN 'Outer London' ELSE 'Outside London' END"""
+    sales_raw = f"""SELECT l_orderkey, l_linenumber, {fx.select_list(fx.SALES)} FROM lineitem"""
+    flaw = "LSOACode % 6"
+    return {
         "area_price_stats": f"WITH {_level_stats('area')} SELECT * FROM stats",
         "area_price_trends": f"WITH {level_trends('area')} SELECT * FROM trends",
-        "district_price_trends": f"WITH {level_trends('district')} SELECT * FROM trends",
+        "district_price_trends": f"WITH {district_trends} SELECT * FROM trends",
         "sector_price_trends": f"WITH {level_trends('sector')} SELECT * FROM trends",
         "multi_level_stats": _multi_level(),
+        "quality_pass_rate": _pass_rate(),
+        "postcode_parts": f"""WITH {PLACED} SELECT transaction_id, postcode, postcode_area, postcode_district,
+            postcode_sector FROM placed""",
+        "postcode_parts_raw": f"""WITH {SALES} SELECT transaction_id, postcode,
+            regexp_replace(split_part(postcode, ' ', 1), '[^A-Za-z]', '', 'g') AS postcode_area,
+            split_part(postcode, ' ', 1) AS postcode_district,
+            CASE WHEN split_part(postcode, ' ', 2) <> ''
+                THEN split_part(postcode, ' ', 1) || '-' || left(split_part(postcode, ' ', 2), 1)
+                ELSE 'Unknown' END AS postcode_sector
+            FROM sales WHERE postcode IS NOT NULL""",
+        "zone_counts": f'WITH {PLACED} SELECT "is_london?", count(*) AS num_transactions FROM placed GROUP BY 1',
+        "zone_counts_inner_outer": f"""WITH {PLACED} SELECT {inner_outer} AS "is_london?",
+            count(*) AS num_transactions FROM placed GROUP BY 1""",
+        "class_samples": f"""WITH {PLACED} SELECT "is_london?", transaction_id, postcode, price FROM placed
+            WHERE substring(md5(transaction_id), 1, 8) < '{round(0.01 * 16**8):08x}'
+            QUALIFY row_number() OVER (PARTITION BY "is_london?" ORDER BY md5(transaction_id), transaction_id) <= 100""",
+        "ingest_csv_roundtrip": f"""WITH s AS ({sales_raw}) SELECT transaction_id, price, date_transfer,
+            CASE WHEN l_orderkey % 109 = 0 THEN NULL ELSE postcode END AS postcode, property_type,
+            'N' AS old_new, 'F' AS duration, CAST(l_linenumber AS VARCHAR) AS paon, CAST(NULL AS VARCHAR) AS saon,
+            'HIGH STREET, NORTH' AS street, CAST(NULL AS VARCHAR) AS locality, 'LONDON' AS town_city,
+            'CITY' AS district, 'LONDON' AS county, 'A' AS ppd_category, 'A' AS record_status,
+            CAST(year(date_transfer) AS INTEGER) AS year FROM s WHERE {_CLEAN}""",
+        "ingest_reconcile": _long(
+            {
+                "raw_lines": "count(*)",
+                "parsed": f"count(*) FILTER (WHERE {_CLEAN})",
+                "malformed": f"count(*) FILTER (WHERE NOT {_CLEAN})",
+                "written": f"count(*) FILTER (WHERE {_CLEAN})",
+            },
+            "step",
+            "num_rows",
+            "FROM lineitem",
+        ),
+        "silver_partition_counts": f"""WITH {SALES}, y AS (
+            SELECT CAST(year(date_transfer) AS INTEGER) AS year, count(*) AS num_transactions FROM sales GROUP BY 1)
+            SELECT *, CAST(row_number() OVER (ORDER BY year) AS INTEGER) AS from_first,
+                CAST(row_number() OVER (ORDER BY year DESC) AS INTEGER) AS from_last FROM y""",
+        "qa_null_counts": f"""WITH {SALES} SELECT column_name, null_count, round(null_count * 100.0::DOUBLE / n, 2) AS null_pct
+            FROM ({_long({c: f"count(*) - count({c})" for c in ["price", "date_transfer", "postcode", "property_type"]},
+                         "column_name", "null_count", ", count(*) AS n FROM sales")})""",
+        "qa_price_summary": f"""WITH {SALES} SELECT summary, round(value, 4) AS value FROM ({_long(
+            {"count": "CAST(count(price) AS DOUBLE)", "mean": "avg(price)", "stddev": "stddev_samp(price)",
+             "min": "CAST(min(price) AS DOUBLE)", "max": "CAST(max(price) AS DOUBLE)"},
+            "summary", "value", "FROM sales")})""",
+        "qa_type_frequency": f"""WITH {SALES}, c AS (SELECT property_type, count(*) AS num_transactions FROM sales GROUP BY 1)
+            SELECT *, CAST(row_number() OVER (ORDER BY num_transactions DESC, property_type) AS INTEGER) AS position FROM c
+            QUALIFY row_number() OVER (ORDER BY num_transactions DESC, property_type) <= 10""",
+        "qa_ranges": f"""WITH {SALES} SELECT min(date_transfer) AS min_date, max(date_transfer) AS max_date,
+            min(price) AS min_price, max(price) AS max_price, median(price) AS median_price FROM sales""",
+        "qa_bad_postcodes": f"""WITH {SALES} SELECT postcode, count(*) AS num_transactions FROM sales
+            WHERE postcode IS NOT NULL AND NOT contains(postcode, ' ') GROUP BY 1""",
+        "qa_invalid_dates": f"""WITH d AS (SELECT {fx.DATE_TEXT} AS t FROM lineitem) SELECT count(*) AS num_rows,
+            count(*) FILTER (WHERE TRY_CAST(t AS DATE) IS NULL) AS invalid_dates, min(TRY_CAST(t AS DATE)) AS min_date,
+            max(TRY_CAST(t AS DATE)) AS max_date, min(t) AS min_text, max(t) AS max_text FROM d""",
+        "district_numbering": _bad_numbers(),
+        "district_overlap": f"""WITH {PLACED}, {DISTRICTS},
+            t AS (SELECT DISTINCT postcode_district AS key FROM placed WHERE "is_london?" <> 'Outside London'),
+            p AS (SELECT DISTINCT PostDist AS key FROM districts)
+            SELECT key, 'transactions' AS only_in FROM (SELECT key FROM t EXCEPT SELECT key FROM p)
+            UNION ALL SELECT key, 'polygons' FROM (SELECT key FROM p EXCEPT SELECT key FROM t)""",
+        "low_volume_removed": f"WITH {district_trends}, {_FLAT_SQL}, {_KEPT} SELECT * FROM kept",
+        "zone_selection": f"""WITH {district_trends}, {_FLAT_SQL}, {_KEPT} SELECT * FROM kept
+            WHERE "is_london?" = 'Greater London'""",
+        "hotspot_ranking": f"""WITH {district_trends}, {_FLAT_SQL}, {_KEPT},
+            latest AS (SELECT postcode_district, property_type, roll_median_pct_5_year AS "5YearAvg%PriceInc"
+                FROM kept WHERE year = {LATEST})
+            SELECT * EXCLUDE (coef_var, iqr, median_mean_diff, median_mean_diff_pct, iqr_pct, lag_median_price,
+                median_pct_change_1_year, roll_median_pct_2_year, is_good_sample)
+            FROM kept JOIN latest USING (postcode_district, property_type)""",
+        "type_counts_latest": _type_counts(f"year = {LATEST}"),
+        "type_counts_all_years": _type_counts("true"),
+        "type_counts_selected": _type_counts(f"postcode_district IN {_SELECTED_TRENDS}"),
+        "socio_renamed": f"SELECT {FACTS} FROM customer",
+        "socio_polygons": f"""WITH {ZONES} SELECT * EXCLUDE (x0, y0, x1, y1), x0 AS min_x, y0 AS min_y, x1 AS max_x,
+            y1 AS max_y, 27700 AS srid, (x1 - x0) * (y1 - y0) AS area FROM zones""",
+        "socio_unmatched": """SELECT count(*) FILTER (WHERE c_custkey % 40 <> 0) AS matched,
+            count(*) FILTER (WHERE c_custkey % 40 = 0) AS polygons_only,
+            count(*) FILTER (WHERE c_custkey % 40 = 0) AS indicators_only FROM customer""",
+        "spatial_within_inner": f"WITH {ZONES}, {DISTRICTS}, {PAIRS} SELECT LSOACode, PostDist FROM pairs",
+        "spatial_within_left": f"""WITH {ZONES}, {DISTRICTS}
+            SELECT LSOACode, PostDist FROM zones z LEFT JOIN districts d ON {INSIDE}""",
+        "spatial_within_shapes": _shapes(),
+        "district_area": f"""WITH {ZONES}, {DISTRICTS}
+            SELECT 'district' AS layer, PostDist AS code, 10000.0::DOUBLE / 1000000 AS area_km2 FROM districts
+            UNION ALL SELECT 'shaped', PostDist, CASE n_nationkey % 3 WHEN 0 THEN 9600.0::DOUBLE WHEN 1 THEN 9200.0::DOUBLE
+                ELSE 9000.0::DOUBLE END / 1000000 FROM (SELECT n_nationkey, {fx.select_list(fx.DISTRICT_BOXES)} FROM nation)
+            UNION ALL SELECT 'zone', CAST(LSOACode AS VARCHAR), (x1 - x0) * (y1 - y0) / 1000000 FROM zones""",
+        "district_socio": f"WITH {ZONES}, {DISTRICTS}, {PAIRS}, {_socio()} SELECT * FROM socio",
+        "district_trends_with_socio": f"{marts} SELECT * FROM joined",
+        "mart_london_all": f"{marts} SELECT * FROM london",
+        "zones_in_london": f"""{marts} SELECT LSOACode, PostDist FROM pairs
+            WHERE PostDist IN (SELECT PostDist FROM london_flats)""",
+        "mart_geometry": f"""{marts} SELECT {_names(_STATIC)}, 5 AS num_points FROM socio
+            WHERE PostDist IN (SELECT PostDist FROM london_flats)""",
+        "mart_series": f"{marts} SELECT {_names(_SERIES_MART)} FROM london_flats",
+        "mart_rejoined": f"{marts} SELECT PostDist, {series}, {static} FROM london_flats f JOIN socio s USING (PostDist)",
+        "first_values_per_district": f"""WITH {_level_stats('district')}, f AS (SELECT * FROM stats WHERE property_type = 'F')
+            SELECT postcode_district, {', '.join(
+                f"arg_min({c}, year) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+                for c in ["avg_price", "stddev_price", "skewness_price", "kurtosis_price"])}
+            FROM f GROUP BY 1""",
+        "price_graph": f"""{marts} SELECT DISTINCT postcode_district, year, avg_price, median_price, num_transactions
+            FROM london""",
+        "selection_bounds": f"""{marts}, b AS (SELECT min(x0) AS min_x, min(y0) AS min_y, max(x1) AS max_x,
+            max(y1) AS max_y FROM districts WHERE PostDist IN (SELECT PostDist FROM london_flats))
+            SELECT *, (min_x + max_x) / 2 AS center_x, (min_y + max_y) / 2 AS center_y FROM b""",
+        "choropleth_scale": f"""{marts}, d AS (SELECT min(avg_price) AS low, max(avg_price) AS high FROM joined)
+            SELECT PostDist, property_type, year, avg_price AS value, (avg_price - low) / (high - low) AS scaled
+            FROM joined, d""",
+        "comparison_table": f"""{marts} SELECT postcode_district, property_type, avg_price, roll_median_pct_5_year,
+            "CrimeAvg" FROM joined WHERE year = {LATEST} AND PostDist IN {_SELECTED}""",
+        "price_series_selected": f"""WITH {district_trends} SELECT DISTINCT postcode_district, make_date(year, 1, 1) AS year,
+            avg_price, median_price, num_transactions FROM trends WHERE postcode_district IN {_SELECTED_TRENDS}""",
+        "scatter_rows": f'{marts} SELECT PostDist, "CrimeAvg" AS x, avg_price AS y FROM joined',
+        "filter_options": f"""WITH {PLACED}, o AS (
+            SELECT DISTINCT 'zone' AS option, "is_london?" AS value FROM placed
+            UNION SELECT 'district', postcode_district FROM placed
+            UNION SELECT 'property_type', property_type FROM placed
+            UNION SELECT 'year', CAST(year AS VARCHAR) FROM placed)
+            SELECT *, CAST(row_number() OVER (PARTITION BY option ORDER BY value) AS INTEGER) AS position FROM o""",
+        "geojson_features": f"""WITH {ZONES} SELECT LSOACode, LADName, OverallScore, x0 AS min_x, y0 AS min_y,
+            x1 AS max_x, y1 AS max_y, 27700 AS srid, (x1 - x0) * (y1 - y0) AS area, 5 AS num_points FROM zones""",
+        "geometry_validity": f"""WITH {ZONES} SELECT LSOACode, CASE {flaw} WHEN 0 THEN 'Valid' WHEN 1 THEN 'Ring not closed'
+            WHEN 2 THEN 'Repeated point' WHEN 3 THEN 'Self-intersection' WHEN 4 THEN 'Zero area'
+            ELSE 'Too few points' END AS reason FROM zones""",
+        "geometry_repaired": f"""WITH {ZONES} SELECT LSOACode, CASE {flaw} WHEN 3 THEN 'Self-intersection'
+            WHEN 4 THEN 'Zero area' WHEN 5 THEN 'Too few points' ELSE 'Valid' END AS reason,
+            CASE WHEN {flaw} < 3 THEN (x1 - x0) * (y1 - y0) ELSE 0.0::DOUBLE END AS area FROM zones""",
+        "reproject_points": _reprojection(),
     }
-    return sql

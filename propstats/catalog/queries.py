@@ -1,17 +1,72 @@
-"""The registered queries: each takes (spark, sf_dir) and returns a DataFrame."""
+"""The registered queries: each takes (spark, sf_dir) and returns a DataFrame.
+
+Every query runs over whole tables. The years and thresholds below fit the span of the test data
+(its last full year is 2000); the engine's functions take them as parameters.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from propstats.catalog import fixtures as fx
-from propstats.operators import price_stats
-from propstats.plans import gold
+from propstats.functions import geometry as geo
+from propstats.functions import names, postcode, projection
+from propstats.operators import explore, marts, price_stats, qa, quality, sampling, socio, spatial
+from propstats.operators.geography import with_geography, with_year
+from propstats.plans import gold, ingest
+from propstats.schema import ZONE
+from propstats.session import scratch_path
+from propstats.sources import polygons, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+LATEST_YEAR = 2000
+SINCE_YEAR = 1999
+LOW_VOLUME = 5
+SELECTED = ["E1", "N1", "SW1", "BR1", "M1"]
+SELECTED_TRENDS = ["E4", "N7", "SW2A", "BR5", "M9A"]
+
+# --- postcodes and zones -------------------------------------------------------------------
+
+
+def postcode_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = fx.sales(spark, sf_dir).na.drop(subset=["postcode"])
+    parts = postcode.with_postcode_parts(sales).withColumn(
+        "postcode_parts", F.struct("postcode_area", "postcode_district", "postcode_sector")
+    )
+    return parts.select("transaction_id", "postcode", "postcode_parts.*")
+
+
+def postcode_parts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = fx.sales(spark, sf_dir).na.drop(subset=["postcode"])
+    return postcode.with_postcode_parts(sales, strict_chars=False).select(
+        "transaction_id", "postcode", "postcode_area", "postcode_district", "postcode_sector"
+    )
+
+
+def zone_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_geography(fx.sales(spark, sf_dir)).groupBy(ZONE).agg(F.count(F.lit(1)).alias("num_transactions"))
+
+
+def zone_counts_inner_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = postcode.with_postcode_parts(fx.sales(spark, sf_dir).na.drop(subset=["postcode"]), strict_chars=False)
+    return (
+        placed.withColumn(ZONE, postcode.inner_outer_zone())
+        .groupBy(ZONE)
+        .agg(F.count(F.lit(1)).alias("num_transactions"))
+    )
+
+
+def class_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = with_geography(fx.sales(spark, sf_dir))
+    return sampling.class_samples(placed, ZONE, "transaction_id").select(ZONE, "transaction_id", "postcode", "price")
+
+
+# --- price statistics and trends -----------------------------------------------------------
+
 
 def area_price_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.level_statistics(fx.sales(spark, sf_dir), "area")
@@ -33,12 +88,340 @@ def multi_level_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return price_stats.multi_level_statistics(fx.sales(spark, sf_dir))
 
 
+def quality_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.pass_rate(gold.all_level_trends(fx.sales(spark, sf_dir)), ["level"])
+
+
+# --- ingest --------------------------------------------------------------------------------
+
+
+def _raw_csv(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "raw")
+    fx.raw_lines(spark, sf_dir).write.text(path)
+    return path
+
+
+def ingest_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.to_silver(spark, _raw_csv(spark, sf_dir), scratch_path(spark, "silver"))
+
+
+def ingest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, silver = _raw_csv(spark, sf_dir), scratch_path(spark, "silver")
+    ingest.to_silver(spark, raw, silver)
+    return ingest.reconciliation(spark, raw, silver)
+
+
+def silver_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "silver")
+    tables.write_by_year(with_year(fx.sales(spark, sf_dir)), path)
+    return qa.year_counts(tables.read_table(spark, path))
+
+
+# --- quality reports -----------------------------------------------------------------------
+
+
+def qa_null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa.null_counts(fx.sales(spark, sf_dir))
+
+
+def qa_price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = qa.number_summary(fx.sales(spark, sf_dir))
+    return summary.withColumn("value", F.round("value", 4))
+
+
+def qa_type_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa.frequency(fx.sales(spark, sf_dir))
+
+
+def qa_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa.ranges(fx.sales(spark, sf_dir))
+
+
+def qa_bad_postcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa.postcodes_without_space(fx.sales(spark, sf_dir))
+
+
+def qa_invalid_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa.date_validity(fx.dated_text(spark, sf_dir), "date_text")
+
+
+def district_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa.district_numbering(with_geography(fx.sales(spark, sf_dir)))
+
+
+def district_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    london = with_geography(fx.sales(spark, sf_dir)).where(F.col(ZONE) != "Outside London")
+    return qa.key_difference(
+        london, fx.districts(spark, sf_dir), "postcode_district", "PostDist", ("transactions", "polygons")
+    )
+
+
+# --- filters, rankings and counts on the district table ------------------------------------
+
+
+def _flat_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trends = gold.level_trends(fx.sales(spark, sf_dir), "district")
+    return trends.where((F.col("property_type") == "F") & (F.col("year") <= LATEST_YEAR))
+
+
+def low_volume_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.drop_low_volume(_flat_trends(spark, sf_dir), LOW_VOLUME, SINCE_YEAR)
+
+
+def zone_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.select_zone_districts(_flat_trends(spark, sf_dir), ["Greater London"], LOW_VOLUME, SINCE_YEAR)
+
+
+def hotspot_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = quality.drop_low_volume(_flat_trends(spark, sf_dir), LOW_VOLUME, SINCE_YEAR)
+    return marts.hotspots(kept, LATEST_YEAR)
+
+
+def _district_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold.level_statistics(fx.sales(spark, sf_dir), "district")
+
+
+def type_counts_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.type_counts(_district_stats(spark, sf_dir), LATEST_YEAR)
+
+
+def type_counts_all_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.type_counts(_district_stats(spark, sf_dir))
+
+
+def type_counts_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = marts.type_counts(_district_stats(spark, sf_dir))
+    return explore.in_districts(counts, SELECTED_TRENDS, "postcode_district")
+
+
+# --- small areas and districts -------------------------------------------------------------
+
+
+def socio_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers = {short: published for published, short in names.indicator_names().items()}
+    published = fx.zone_facts(spark, sf_dir).withColumnsRenamed(headers)
+    return names.rename_indicators(published)
+
+
+def socio_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = socio.with_indicators(
+        fx.zone_polygons(spark, sf_dir).withColumnRenamed("LSOACode", "LSOA11CD"), fx.zone_facts(spark, sf_dir), "LSOA11CD"
+    )
+    return joined.withColumn("area", geo.area("geometry")).drop("geometry", "LSOA11CD")
+
+
+def socio_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recoded = fx.zone_polygons(spark, sf_dir).withColumn(
+        "LSOA11CD", F.when(F.col("LSOACode") % 40 == 0, -F.col("LSOACode") - 1).otherwise(F.col("LSOACode"))
+    )
+    return socio.unmatched_codes(recoded, fx.zone_facts(spark, sf_dir), "LSOA11CD")
+
+
+def spatial_within_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones, districts = fx.zone_polygons(spark, sf_dir), fx.districts(spark, sf_dir)
+    return socio.place_in_districts(zones, districts).select("LSOACode", "PostDist")
+
+
+def spatial_within_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones, districts = fx.zone_polygons(spark, sf_dir), fx.districts(spark, sf_dir)
+    return socio.place_in_districts(zones, districts, "left").select("LSOACode", "PostDist")
+
+
+def spatial_within_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones, districts = fx.zone_polygons(spark, sf_dir), fx.shaped_districts(spark, sf_dir)
+    return socio.place_in_districts(zones, districts).select("LSOACode", "PostDist")
+
+
+def district_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = [
+        fx.districts(spark, sf_dir).select(F.lit("district").alias("layer"), F.col("PostDist").alias("code"), "geometry"),
+        fx.shaped_districts(spark, sf_dir).select(
+            F.lit("shaped").alias("layer"), F.col("PostDist").alias("code"), "geometry"
+        ),
+        fx.zone_polygons(spark, sf_dir).select(
+            F.lit("zone").alias("layer"), F.col("LSOACode").cast("string").alias("code"), "geometry"
+        ),
+    ]
+    layer = layers[0].unionByName(layers[1]).unionByName(layers[2])
+    return layer.select("layer", "code", geo.area_km2("geometry").alias("area_km2"))
+
+
+def _socio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return socio.district_socio(fx.zones(spark, sf_dir), fx.districts(spark, sf_dir))
+
+
+def district_socio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _socio(spark, sf_dir).drop("geometry")
+
+
+# --- marts ---------------------------------------------------------------------------------
+
+
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trends = gold.level_trends(fx.sales(spark, sf_dir), "district")
+    return marts.trends_with_socio(trends, _socio(spark, sf_dir))
+
+
+def district_trends_with_socio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined(spark, sf_dir).drop("geometry")
+
+
+def mart_london_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.in_london(_joined(spark, sf_dir)).drop("geometry")
+
+
+def _london_flats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.in_london(_joined(spark, sf_dir), "F").drop(*marts.SPREAD_COLUMNS)
+
+
+def zones_in_london(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = socio.place_in_districts(fx.zone_polygons(spark, sf_dir), fx.districts(spark, sf_dir), "left")
+    return marts.rows_with_key_in(placed, _london_flats(spark, sf_dir)).select("LSOACode", "PostDist")
+
+
+def mart_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mart = marts.geometry_mart(_socio(spark, sf_dir), _london_flats(spark, sf_dir))
+    return mart.withColumn("num_points", geo.num_points("geometry")).drop("geometry")
+
+
+def mart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.series_mart(_london_flats(spark, sf_dir))
+
+
+def mart_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = marts.series_mart(_london_flats(spark, sf_dir))
+    return marts.rejoin(series, marts.geometry_mart(_socio(spark, sf_dir), series)).drop("geometry")
+
+
+def first_values_per_district(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = _district_stats(spark, sf_dir).where(F.col("property_type") == "F")
+    columns = ["avg_price", "stddev_price", "skewness_price", "kurtosis_price"]
+    return marts.first_values(stats, "postcode_district", "year", columns)
+
+
+def price_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.price_graph(marts.in_london(_joined(spark, sf_dir)))
+
+
+# --- dashboard selections ------------------------------------------------------------------
+
+
+def selection_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selected = marts.rows_with_key_in(fx.districts(spark, sf_dir), _london_flats(spark, sf_dir))
+    return spatial.extent(selected)
+
+
+def choropleth_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.color_scale(_joined(spark, sf_dir), "avg_price", ["PostDist", "property_type", "year"])
+
+
+def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.comparison_table(
+        explore.in_districts(_joined(spark, sf_dir), SELECTED),
+        LATEST_YEAR,
+        ["postcode_district", "property_type", "avg_price", "roll_median_pct_5_year", "CrimeAvg"],
+    )
+
+
+def price_series_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = marts.price_graph(gold.level_trends(fx.sales(spark, sf_dir), "district"))
+    return explore.price_series(graph, SELECTED_TRENDS)
+
+
+def scatter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.scatter_rows(_joined(spark, sf_dir), "CrimeAvg", "avg_price")
+
+
+def filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.filter_options(
+        gold.level_trends(fx.sales(spark, sf_dir), "district"),
+        {"zone": ZONE, "district": "postcode_district", "property_type": "property_type", "year": "year"},
+    )
+
+
+# --- geometry ------------------------------------------------------------------------------
+
+
+def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "geojson")
+    zones = fx.zones(spark, sf_dir).select("LSOACode", "LADName", "OverallScore", "geometry")
+    polygons.write_geojson_lines(zones, path, ["LSOACode", "LADName", "OverallScore"])
+    layer = polygons.read_geojson_lines(spark, path, "LSOACode bigint, LADName string, OverallScore double", 27700)
+    return layer.withColumn("area", geo.area("geometry")).withColumn("num_points", geo.num_points("geometry")).drop(
+        "geometry"
+    )
+
+
+def geometry_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.flawed_zones(spark, sf_dir).select("LSOACode", geo.validity_reason("geometry").alias("reason"))
+
+
+def geometry_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mended = fx.flawed_zones(spark, sf_dir).withColumn("geometry", geo.repair("geometry"))
+    return mended.select("LSOACode", geo.validity_reason("geometry").alias("reason"), geo.area("geometry").alias("area"))
+
+
+def reproject_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corner = F.array(geo.point(F.lit(530000) + F.col("min_x") * 100, F.lit(180000) + F.col("min_y") * 100))
+    wgs84 = fx.zone_polygons(spark, sf_dir).select("LSOACode", projection.grid_to_wgs84(corner)[0].alias("p"))
+    return wgs84.select("LSOACode", F.round("p.x", 7).alias("lon"), F.round("p.y", 7).alias("lat"))
+
+
 def queries() -> dict[str, Query]:
     listed: list[Query] = [
-        area_price_stats,
         area_price_trends,
+        area_price_stats,
         district_price_trends,
         sector_price_trends,
         multi_level_stats,
+        quality_pass_rate,
+        postcode_parts,
+        postcode_parts_raw,
+        zone_counts,
+        zone_counts_inner_outer,
+        class_samples,
+        ingest_csv_roundtrip,
+        ingest_reconcile,
+        silver_partition_counts,
+        qa_null_counts,
+        qa_price_summary,
+        qa_type_frequency,
+        qa_ranges,
+        qa_bad_postcodes,
+        qa_invalid_dates,
+        district_numbering,
+        district_overlap,
+        low_volume_removed,
+        zone_selection,
+        hotspot_ranking,
+        type_counts_latest,
+        type_counts_all_years,
+        type_counts_selected,
+        socio_renamed,
+        socio_polygons,
+        socio_unmatched,
+        spatial_within_inner,
+        spatial_within_left,
+        spatial_within_shapes,
+        district_area,
+        district_socio,
+        district_trends_with_socio,
+        mart_london_all,
+        zones_in_london,
+        mart_geometry,
+        mart_series,
+        mart_rejoined,
+        first_values_per_district,
+        price_graph,
+        selection_bounds,
+        choropleth_scale,
+        comparison_table,
+        price_series_selected,
+        scatter_rows,
+        filter_options,
+        geojson_features,
+        geometry_validity,
+        geometry_repaired,
+        reproject_points,
     ]
     return {query.__name__: query for query in listed}
