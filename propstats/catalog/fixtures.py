@@ -120,6 +120,10 @@ def dated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").selectExpr(f"{DATE_TEXT} AS date_text")
 
 
+def _corners() -> list[Column]:
+    return [F.col(name) for name in ("x0", "y0", "x1", "y1")]
+
+
 def _layer(df: DataFrame, geometry: Column) -> DataFrame:
     """A polygon layer as stored: geometry, bounds and reference system."""
     named = {"x0": "min_x", "y0": "min_y", "x1": "max_x", "y1": "max_y"}
@@ -134,12 +138,12 @@ def _district_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Square districts."""
-    return _layer(_district_boxes(spark, sf_dir), geo.box("x0", "y0", "x1", "y1")).drop("n_nationkey")
+    return _layer(_district_boxes(spark, sf_dir), geo.box(*_corners())).drop("n_nationkey")
 
 
 def shaped_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same squares with, in turn, a hole in the middle, a notch from the top, or a gap between two parts."""
-    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    x0, y0, x1, y1 = _corners()
     hole = geo.ring((x0 + 40, y0 + 40), (x0 + 40, y0 + 60), (x0 + 60, y0 + 60), (x0 + 60, y0 + 40))
     holed = F.array(F.array(geo.box_ring(x0, y0, x1, y1), hole))
     notched = F.array(
@@ -157,7 +161,7 @@ def shaped_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zone_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in ZONE_BOXES.items()])
-    return _layer(boxes, geo.box("x0", "y0", "x1", "y1"))
+    return _layer(boxes, geo.box(*_corners()))
 
 
 def zone_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,12 +172,12 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone polygons with their indicators, as one stored table."""
     both = {**ZONE_BOXES, **ZONE_FACTS}
     rows = _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in both.items()])
-    return _layer(rows, geo.box("x0", "y0", "x1", "y1"))
+    return _layer(rows, geo.box(*_corners()))
 
 
 def flawed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone rings with, in turn: no flaw, no closing point, a repeated point, a crossing, no area, too few points."""
-    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    x0, y0, x1, y1 = _corners()
     good = geo.box_ring(x0, y0, x1, y1)
     kind = F.col("LSOACode") % 6
     shape = (

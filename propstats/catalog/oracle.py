@@ -364,7 +364,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(year(date_transfer) AS INTEGER) AS year, count(*) AS num_transactions FROM sales GROUP BY 1)
             SELECT *, CAST(row_number() OVER (ORDER BY year) AS INTEGER) AS from_first,
                 CAST(row_number() OVER (ORDER BY year DESC) AS INTEGER) AS from_last FROM y""",
-        "qa_null_counts": f"""WITH {SALES} SELECT column_name, null_count, round(null_count * 100.0::DOUBLE / n, 2) AS null_pct
+        "qa_null_counts": f"""WITH {SALES} SELECT column_name, null_count, {_round("null_count * 100.0::DOUBLE / n")} AS null_pct
             FROM ({_long({c: f"count(*) - count({c})" for c in ["price", "date_transfer", "postcode", "property_type"]},
                          "column_name", "null_count", ", count(*) AS n FROM sales")})""",
         "qa_price_summary": f"""WITH {SALES} SELECT summary, round(value, 4) AS value FROM ({_long(

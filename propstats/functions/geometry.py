@@ -1,8 +1,12 @@
-"""Polygons as nested arrays, and their measures and predicates as column expressions.
+"""Polygons as nested arrays, and their measures and predicates as native expressions.
 
 A geometry is an array of parts, a part an array of closed rings (the outer one first, then the
 holes), a ring an array of points ``struct<x, y>``. Coordinates are planar; measure and compare in
 a metric grid and reproject only for output.
+
+Public functions take column names and return columns. They are composed as Spark SQL text, which
+the session parses at once; building the same nested lambdas call by call costs the driver
+seconds per query.
 """
 
 from __future__ import annotations
@@ -14,8 +18,7 @@ from pyspark.sql import functions as F
 TOLERANCE = 1e-7
 
 
-def _col(column: Column | str) -> Column:
-    return F.col(column) if isinstance(column, str) else column
+# --- construction --------------------------------------------------------------------------
 
 
 def point(x: Column, y: Column) -> Column:
@@ -27,287 +30,251 @@ def ring(*corners: tuple[Column, Column]) -> Column:
     return F.array(*[point(x, y) for x, y in [*corners, corners[0]]])
 
 
-def box_ring(x0: str | Column, y0: str | Column, x1: str | Column, y1: str | Column) -> Column:
-    x0, y0, x1, y1 = _col(x0), _col(y0), _col(x1), _col(y1)
+def box_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return ring((x0, y0), (x1, y0), (x1, y1), (x0, y1))
 
 
-def box(x0: str | Column, y0: str | Column, x1: str | Column, y1: str | Column) -> Column:
+def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """An axis-aligned rectangle."""
     return F.array(F.array(box_ring(x0, y0, x1, y1)))
 
 
-def _pairs(points: Column, build) -> Column:
-    """``build(point, next point)`` for every two neighbours of an array of points."""
-    count = F.greatest(F.size(points) - 1, F.lit(0))
-    return F.zip_with(F.slice(points, F.lit(1), count), F.slice(points, F.lit(2), count), build)
+# --- building blocks, as SQL text ----------------------------------------------------------
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, value: total + value)
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for the value, worked out once however often it is used."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-# --- measures ------------------------------------------------------------------------------
+def _pairs(points: str, p: str, q: str, body: str) -> str:
+    """``body`` for every two neighbours ``p`` and ``q`` of an array of points."""
+    count = f"greatest(size({points}) - 1, 0)"
+    return f"zip_with(slice({points}, 1, {count}), slice({points}, 2, {count}), ({p}, {q}) -> {body})"
 
 
-def signed_ring_area(points: Column) -> Column:
-    """Area by the shoelace rule, positive where the ring runs counter-clockwise.
+def _sum(values: str) -> str:
+    return f"aggregate({values}, 0D, (total, term) -> total + term)"
 
-    Coordinates are taken from the first point, which keeps the products small.
-    """
-    ox, oy = F.get(points, F.lit(0))["x"], F.get(points, F.lit(0))["y"]
-    return (
-        _sum(_pairs(points, lambda p, q: (p["x"] - ox) * (q["y"] - oy) - (q["x"] - ox) * (p["y"] - oy))) / 2
-    )
 
+def _signed_area(points: str) -> str:
+    """Shoelace rule from the first point, which keeps the products small; positive counter-clockwise."""
+    ox, oy = f"{points}[0].x", f"{points}[0].y"
+    term = f"(a1.x - {ox}) * (a2.y - {oy}) - (a2.x - {ox}) * (a1.y - {oy})"
+    return f"({_sum(_pairs(points, 'a1', 'a2', term))} / 2)"
 
-def part_area(part: Column) -> Column:
-    areas = F.transform(part, lambda r: F.abs(signed_ring_area(r)))
-    return F.get(areas, F.lit(0)) * 2 - _sum(areas)
 
-
-def area(geometry: Column | str) -> Column:
-    """Planar area: outer rings minus holes."""
-    return _sum(F.transform(_col(geometry), part_area))
+def _area(geometry: str) -> str:
+    ring_areas = f"transform(part, ring -> abs({_signed_area('ring')}))"
+    part_area = _let(ring_areas, "areas", f"get(areas, 0) * 2 - {_sum('areas')}")
+    return _sum(f"transform({geometry}, part -> {part_area})")
 
 
-def area_km2(geometry: Column | str) -> Column:
-    """Area in square kilometres of a geometry in metres."""
-    return area(geometry) / 1_000_000
-
-
-def num_points(geometry: Column | str) -> Column:
-    return F.size(F.flatten(F.flatten(_col(geometry))))
-
-
-def bounds(geometry: Column | str) -> dict[str, Column]:
-    """The bounding box as four columns, by name."""
-    points = F.flatten(F.flatten(_col(geometry)))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return {
-        "min_x": F.array_min(xs),
-        "min_y": F.array_min(ys),
-        "max_x": F.array_max(xs),
-        "max_y": F.array_max(ys),
-    }
+def _bounds(points: str) -> str:
+    x, y = f"transform({points}, b -> b.x)", f"transform({points}, b -> b.y)"
+    return (
+        f"named_struct('min_x', array_min({x}), 'min_y', array_min({y}), "
+        f"'max_x', array_max({x}), 'max_y', array_max({y}))"
+    )
 
 
-# --- containment ---------------------------------------------------------------------------
+def _geometry_bounds(geometry: str) -> str:
+    return _let(f"flatten(flatten({geometry}))", "corners", _bounds("corners"))
 
 
-def ring_edges(points: Column) -> Column:
-    return _pairs(
-        points,
-        lambda p, q: F.struct(
-            p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")
-        ),
-    )
+def _edges(points: str) -> str:
+    return _pairs(points, "e1", "e2", "named_struct('x1', e1.x, 'y1', e1.y, 'x2', e2.x, 'y2', e2.y)")
 
 
-def _x_at(edge: Column, y: Column) -> Column:
+def _x_at(edge: str, y: str) -> str:
     """Where the line of an edge that is not horizontal meets height ``y``."""
-    return edge["x1"] + F.try_divide((edge["x2"] - edge["x1"]) * (y - edge["y1"]), edge["y2"] - edge["y1"])
+    return f"({edge}.x1 + try_divide(({edge}.x2 - {edge}.x1) * ({y} - {edge}.y1), {edge}.y2 - {edge}.y1))"
 
 
-def _spans(edge: Column, y: Column) -> Column:
-    return (edge["y1"] > y) != (edge["y2"] > y)
+def _spans(edge: str, y: str) -> str:
+    return f"(({edge}.y1 > {y}) != ({edge}.y2 > {y}))"
 
 
-def ring_inner_point(points: Column) -> Column:
+def _ring_inner_point(points: str) -> str:
     """A point strictly inside a simple ring, also a concave one.
 
-    Just above the lowest vertices, halfway to the next height, the ring's interior begins at its
-    leftmost crossing; halfway to the next crossing lies inside.
+    On a level halfway between the two lowest heights of its vertices, the interior lies between
+    the first and the second crossing.
     """
-    heights = F.array_sort(F.array_distinct(F.transform(points, lambda p: p["y"])))
-    level = F.array((F.get(heights, F.lit(0)) + F.get(heights, F.lit(1))) / 2)
-    crossings = F.transform(
-        level,
-        lambda y: F.struct(
-            F.array_sort(
-                F.transform(F.filter(ring_edges(points), lambda e: _spans(e, y)), lambda e: _x_at(e, y))
-            ).alias("xs"),
-            y.alias("y"),
-        ),
-    )
-    inner = F.transform(
-        crossings,
-        lambda c: F.struct(
-            ((F.get(c["xs"], F.lit(0)) + F.get(c["xs"], F.lit(1))) / 2).alias("x"), c["y"].alias("y")
-        ),
-    )
-    return F.get(inner, F.lit(0))
+    heights = f"array_sort(array_distinct(transform({points}, h -> h.y)))"
+    level = _let(heights, "hs", "(get(hs, 0) + get(hs, 1)) / 2")
+    crossed = f"filter({_edges(points)}, c -> {_spans('c', 'lv')})"
+    xs = f"array_sort(transform({crossed}, c -> {_x_at('c', 'lv')}))"
+    middle = _let(xs, "cx", "named_struct('x', (get(cx, 0) + get(cx, 1)) / 2, 'y', lv)")
+    return _let(level, "lv", middle)
 
 
-def prepare(geometry: Column | str) -> Column:
-    """What the exact test needs of each part: its edges, its box, a point inside each hole."""
-    return F.transform(
-        _col(geometry),
-        lambda part: F.struct(
-            F.flatten(F.transform(part, ring_edges)).alias("edges"),
-            F.transform(F.slice(part, F.lit(2), F.greatest(F.size(part) - 1, F.lit(0))), ring_inner_point).alias(
-                "holes"
-            ),
-            *[value.alias(name) for name, value in bounds(F.array(part)).items()],
-        ),
-    )
+def _on_edge(x: str, y: str, edge: str, tolerance: float) -> str:
+    """Distance to the edge's line, and place along it, both within the tolerance."""
+    dx, dy = f"({edge}.x2 - {edge}.x1)", f"({edge}.y2 - {edge}.y1)"
+    px, py = f"({x} - {edge}.x1)", f"({y} - {edge}.y1)"
+    length2 = f"({dx} * {dx} + {dy} * {dy})"
+    slack = f"(sqrt({length2}) * {tolerance!r}D)"
+    along = f"({dx} * {px} + {dy} * {py})"
+    return f"(abs({dx} * {py} - {dy} * {px}) <= {slack} AND {along} BETWEEN -{slack} AND {length2} + {slack})"
 
 
-def is_box(geometry: Column | str) -> Column:
-    """Is the geometry one axis-aligned rectangle? Then containment in it is a comparison of boxes."""
-    geometry = _col(geometry)
-    b = bounds(geometry)
-    one_ring = (F.size(geometry) == 1) & (F.size(F.flatten(geometry)) == 1)
-    return one_ring & (area(geometry) == (b["max_x"] - b["min_x"]) * (b["max_y"] - b["min_y"]))
+def _on_boundary(x: str, y: str, edges: str, tolerance: float) -> str:
+    return f"exists({edges}, n -> {_on_edge(x, y, 'n', tolerance)})"
 
 
-def _on_edge(x: Column, y: Column, edge: Column, tolerance: float) -> Column:
-    dx, dy = edge["x2"] - edge["x1"], edge["y2"] - edge["y1"]
-    px, py = x - edge["x1"], y - edge["y1"]
-    off = dx * py - dy * px
-    along = dx * px + dy * py
-    length2 = dx * dx + dy * dy
-    slack = F.sqrt(length2) * tolerance
-    return (F.abs(off) <= slack) & (along >= -slack) & (along <= length2 + slack)
+def _odd_crossings(x: str, y: str, edges: str) -> str:
+    return f"(size(filter({edges}, n -> {_spans('n', y)} AND {x} < {_x_at('n', y)})) % 2 = 1)"
 
 
-def _on_boundary(x: Column, y: Column, edges: Column, tolerance: float) -> Column:
-    return F.exists(edges, lambda e: _on_edge(x, y, e, tolerance))
-
-
-def _odd_crossings(x: Column, y: Column, edges: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: _spans(e, y) & (x < _x_at(e, y)))) % 2 == 1
-
-
-def _cuts(edge: Column, others: Column) -> Column:
+def _cuts(edge: str, others: str) -> str:
     """Where other edges meet an edge, as shares of its length, sorted, with both ends.
 
     A cut too many does no harm, so ends of other edges count with some slack.
     """
-    dx, dy = edge["x2"] - edge["x1"], edge["y2"] - edge["y1"]
-    near = F.filter(
-        others,
-        lambda o: (F.greatest(o["x1"], o["x2"]) >= F.least(edge["x1"], edge["x2"]))
-        & (F.least(o["x1"], o["x2"]) <= F.greatest(edge["x1"], edge["x2"]))
-        & (F.greatest(o["y1"], o["y2"]) >= F.least(edge["y1"], edge["y2"]))
-        & (F.least(o["y1"], o["y2"]) <= F.greatest(edge["y1"], edge["y2"])),
+    near = (
+        f"filter({others}, o -> greatest(o.x1, o.x2) >= least({edge}.x1, {edge}.x2) "
+        f"AND least(o.x1, o.x2) <= greatest({edge}.x1, {edge}.x2) "
+        f"AND greatest(o.y1, o.y2) >= least({edge}.y1, {edge}.y2) "
+        f"AND least(o.y1, o.y2) <= greatest({edge}.y1, {edge}.y2))"
     )
-
-    def meeting(o: Column) -> Column:
-        ox, oy = o["x2"] - o["x1"], o["y2"] - o["y1"]
-        px, py = o["x1"] - edge["x1"], o["y1"] - edge["y1"]
-        turn = dx * oy - dy * ox
-        along = F.try_divide(px * dy - py * dx, turn)
-        share = F.try_divide(px * oy - py * ox, turn)
-        return F.when((along >= -1e-9) & (along <= 1 + 1e-9), share)
-
-    inner = F.filter(F.transform(near, meeting), lambda t: (t > 0) & (t < 1))
-    return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inner)))
+    dx, dy = f"({edge}.x2 - {edge}.x1)", f"({edge}.y2 - {edge}.y1)"
+    ox, oy = "(o.x2 - o.x1)", "(o.y2 - o.y1)"
+    px, py = f"(o.x1 - {edge}.x1)", f"(o.y1 - {edge}.y1)"
+    turn = f"({dx} * {oy} - {dy} * {ox})"
+    along_other = f"try_divide({px} * {dy} - {py} * {dx}, {turn})"
+    share = f"try_divide({px} * {oy} - {py} * {ox}, {turn})"
+    shares = f"transform({near}, o -> CASE WHEN {along_other} BETWEEN -1e-9D AND 1.000000001D THEN {share} END)"
+    return f"array_sort(array_distinct(concat(array(0D, 1D), filter({shares}, t -> t > 0 AND t < 1))))"
 
 
-def _edge_inside(edge: Column, others: Column, tolerance: float) -> Column:
+def _edge_inside(edge: str, others: str, tolerance: float) -> str:
     """Does an edge stay in a closed part? Cut where it meets the boundary, each piece is wholly in or out."""
-    middles = _pairs(_cuts(edge, others), lambda s, t: (s + t) / 2)
-    points = F.transform(
-        middles,
-        lambda m: point(edge["x1"] + (edge["x2"] - edge["x1"]) * m, edge["y1"] + (edge["y2"] - edge["y1"]) * m),
-    )
-    return F.forall(
-        points,
-        lambda p: _on_boundary(p["x"], p["y"], others, tolerance) | _odd_crossings(p["x"], p["y"], others),
+    middles = _let(_cuts(edge, others), "cuts", _pairs("cuts", "m1", "m2", "(m1 + m2) / 2"))
+    place = (
+        f"named_struct('x', {edge}.x1 + ({edge}.x2 - {edge}.x1) * m, "
+        f"'y', {edge}.y1 + ({edge}.y2 - {edge}.y1) * m)"
     )
+    inside = f"{_on_boundary('p.x', 'p.y', others, tolerance)} OR {_odd_crossings('p.x', 'p.y', others)}"
+    return f"forall(transform({middles}, m -> {place}), p -> {inside})"
 
 
-def _part_within(inner: Column, outer: Column, tolerance: float) -> Column:
+def _part_within(inner: str, outer: str, tolerance: float) -> str:
     boxed = (
-        (inner["min_x"] >= outer["min_x"])
-        & (inner["min_y"] >= outer["min_y"])
-        & (inner["max_x"] <= outer["max_x"])
-        & (inner["max_y"] <= outer["max_y"])
+        f"{inner}.box.min_x >= {outer}.box.min_x AND {inner}.box.min_y >= {outer}.box.min_y "
+        f"AND {inner}.box.max_x <= {outer}.box.max_x AND {inner}.box.max_y <= {outer}.box.max_y"
     )
     # With the whole boundary inside, only a hole of the outer part can be missing from it, and
     # such a hole lies inside as a whole; one of its points tells.
-    swallowed = F.exists(
-        outer["holes"],
-        lambda h: _odd_crossings(h["x"], h["y"], inner["edges"])
-        & ~_on_boundary(h["x"], h["y"], inner["edges"], tolerance),
+    swallowed = (
+        f"exists({outer}.holes, h -> {_odd_crossings('h.x', 'h.y', f'{inner}.edges')} "
+        f"AND NOT {_on_boundary('h.x', 'h.y', f'{inner}.edges', tolerance)})"
     )
-    return boxed & F.forall(inner["edges"], lambda e: _edge_inside(e, outer["edges"], tolerance)) & ~swallowed
+    contained = f"forall({inner}.edges, e -> {_edge_inside('e', f'{outer}.edges', tolerance)})"
+    return f"({boxed} AND {contained} AND NOT {swallowed})"
 
 
-def within(inner: Column | str, outer: Column | str, tolerance: float = TOLERANCE) -> Column:
-    """Is every part of ``inner`` inside some part of ``outer``? Touching its boundary is allowed.
+def _side(edge: str, x: str, y: str) -> str:
+    return f"signum(({edge}.x2 - {edge}.x1) * ({y} - {edge}.y1) - ({edge}.y2 - {edge}.y1) * ({x} - {edge}.x1))"
 
-    Both arguments come from ``prepare``. The cost of a pair grows with the product of the edges.
-    """
-    outer = _col(outer)
-    return F.forall(_col(inner), lambda a: F.exists(outer, lambda b: _part_within(a, b, tolerance)))
+
+def _crosses_itself(points: str) -> str:
+    crossing = (
+        f"{_side('s', 'o.x1', 'o.y1')} * {_side('s', 'o.x2', 'o.y2')} < 0 "
+        f"AND {_side('o', 's.x1', 's.y1')} * {_side('o', 's.x2', 's.y2')} < 0"
+    )
+    return _let(_edges(points), "ring_edges", f"exists(ring_edges, s -> exists(ring_edges, o -> {crossing}))")
+
+
+def _closed(points: str) -> str:
+    return f"(get({points}, 0) = get({points}, size({points}) - 1))"
+
+
+def _ring_problem(points: str) -> str:
+    return (
+        f"CASE WHEN size({points}) < 4 THEN 'Too few points' "
+        f"WHEN NOT {_closed(points)} THEN 'Ring not closed' "
+        f"WHEN exists({_pairs(points, 'd1', 'd2', 'd1 = d2')}, same -> same) THEN 'Repeated point' "
+        f"WHEN {_crosses_itself(points)} THEN 'Self-intersection' "
+        f"WHEN {_signed_area(points)} = 0 THEN 'Zero area' END"
+    )
+
+
+def _repaired_ring(points: str, outer: str) -> str:
+    closed = (
+        f"CASE WHEN size({points}) > 0 AND NOT {_closed(points)} "
+        f"THEN concat({points}, slice({points}, 1, 1)) ELSE {points} END"
+    )
+    distinct = _let(closed, "cs", "filter(cs, (c, j) -> j = 0 OR c != get(cs, j - 1))")
+    turned = f"CASE WHEN ({_signed_area('ds')} > 0) = ({outer}) THEN ds ELSE reverse(ds) END"
+    return _let(distinct, "ds", turned)
 
 
-# --- validity and repair -------------------------------------------------------------------
+# --- public column functions ---------------------------------------------------------------
 
 
-def _same(p: Column, q: Column) -> Column:
-    return (p["x"] == q["x"]) & (p["y"] == q["y"])
+def area(geometry: str) -> Column:
+    """Planar area: outer rings minus holes."""
+    return F.expr(_area(geometry))
 
 
-def _closed(points: Column) -> Column:
-    return _same(F.get(points, F.lit(0)), F.get(points, F.size(points) - 1))
+def area_km2(geometry: str) -> Column:
+    """Area in square kilometres of a geometry in metres."""
+    return area(geometry) / 1_000_000
 
 
-def _side(e: Column, x: Column, y: Column) -> Column:
-    return F.signum((e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]))
+def num_points(geometry: str) -> Column:
+    return F.size(F.flatten(F.flatten(geometry)))
 
 
-def _crosses_itself(points: Column) -> Column:
-    edges = ring_edges(points)
+def bounds(geometry: str) -> Column:
+    """The bounding box as a struct ``min_x, min_y, max_x, max_y``."""
+    return F.expr(_geometry_bounds(geometry))
 
-    def crossing(e: Column, o: Column) -> Column:
-        return (_side(e, o["x1"], o["y1"]) * _side(e, o["x2"], o["y2"]) < 0) & (
-            _side(o, e["x1"], e["y1"]) * _side(o, e["x2"], e["y2"]) < 0
-        )
 
-    return F.exists(edges, lambda e: F.exists(edges, lambda o: crossing(e, o)))
+def is_box(geometry: str) -> Column:
+    """Is the geometry one axis-aligned rectangle? Then containment in it is a comparison of boxes."""
+    box_area = _let(_geometry_bounds(geometry), "bx", "(bx.max_x - bx.min_x) * (bx.max_y - bx.min_y)")
+    return F.expr(f"size({geometry}) = 1 AND size(flatten({geometry})) = 1 AND {_area(geometry)} = {box_area}")
 
 
-def _ring_problem(points: Column) -> Column:
-    repeated = F.exists(_pairs(points, _same), lambda same: same)
+def _prepared(geometry: str) -> str:
+    holes = "slice(part, 2, greatest(size(part) - 1, 0))"
     return (
-        F.when(F.size(points) < 4, "Too few points")
-        .when(~_closed(points), "Ring not closed")
-        .when(repeated, "Repeated point")
-        .when(_crosses_itself(points), "Self-intersection")
-        .when(signed_ring_area(points) == 0, "Zero area")
+        f"transform({geometry}, part -> named_struct("
+        f"'edges', flatten(transform(part, ring -> {_edges('ring')})), "
+        f"'holes', transform({holes}, ring -> {_ring_inner_point('ring')}), "
+        f"'box', {_let('flatten(part)', 'corners', _bounds('corners'))}))"
     )
 
 
-def validity_reason(geometry: Column | str) -> Column:
-    """``Valid``, or the first problem found: ring by ring, in file order."""
-    geometry = _col(geometry)
-    problems = F.transform(F.flatten(geometry), _ring_problem)
-    first = F.get(F.filter(problems, lambda p: p.isNotNull()), F.lit(0))
-    empty = geometry.isNull() | (F.size(F.flatten(geometry)) == 0)
-    return F.when(empty, "Empty geometry").otherwise(F.coalesce(first, F.lit("Valid")))
+def prepare(geometry: str) -> Column:
+    """What the exact test needs of each part: its edges, its box, a point inside each hole."""
+    return F.expr(_prepared(geometry))
 
 
-def _repair_ring(points: Column, counter_clockwise: Column) -> Column:
-    # Each step is bound through a one-element array, so it is worked out once.
-    closed = F.array(
-        F.when((F.size(points) > 0) & ~_closed(points), F.concat(points, F.slice(points, 1, 1))).otherwise(points)
-    )
-    distinct = F.transform(
-        closed,
-        lambda ps: F.filter(ps, lambda p, i: (i == 0) | ~_same(p, F.get(ps, i - 1))),
-    )
-    turned = F.transform(
-        distinct, lambda ps: F.when((signed_ring_area(ps) > 0) == counter_clockwise, ps).otherwise(F.reverse(ps))
+def within(inner: str, prepared_outer: str, tolerance: float = TOLERANCE) -> Column:
+    """Is every part of ``inner`` inside some part of the outer geometry? Touching its boundary is allowed.
+
+    ``inner`` names a geometry, ``prepared_outer`` a column made by ``prepare``, which is reused
+    for all areas compared with it. The cost of a pair grows with the product of the edges.
+    """
+    test = f"exists({prepared_outer}, op -> {_part_within('ip', 'op', tolerance)})"
+    return F.expr(f"forall({_prepared(inner)}, ip -> {test})")
+
+
+def validity_reason(geometry: str) -> Column:
+    """``Valid``, or the first problem found: ring by ring, in file order."""
+    problems = f"transform(flatten({geometry}), ring -> {_ring_problem('ring')})"
+    return F.expr(
+        f"CASE WHEN {geometry} IS NULL OR size(flatten({geometry})) = 0 THEN 'Empty geometry' "
+        f"ELSE coalesce(get(filter({problems}, pr -> pr IS NOT NULL), 0), 'Valid') END"
     )
-    return F.get(turned, F.lit(0))
 
 
-def repair(geometry: Column | str) -> Column:
+def repair(geometry: str) -> Column:
     """Close rings, drop repeated points, turn outer rings counter-clockwise and holes clockwise.
 
     Self-crossing rings and rings without area stay invalid; check again with ``validity_reason``.
     """
-    return F.transform(_col(geometry), lambda part: F.transform(part, lambda r, i: _repair_ring(r, i == 0)))
+    return F.expr(f"transform({geometry}, part -> transform(part, (ring, i) -> {_repaired_ring('ring', 'i = 0')}))")

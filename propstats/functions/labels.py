@@ -44,14 +44,19 @@ def has_space(column: Column | str = "postcode") -> Column:
     return column.contains(" ")
 
 
+def round_half_up(value: Column, digits: int = 2) -> Column:
+    """Round half up on the ninth decimal and then on ``digits``, so that binary noise cannot tip a tie."""
+    return F.round(value.cast("decimal(28,9)"), digits).cast("double")
+
+
 def guarded_percent(part: Column, total: Column, digits: int = 2) -> Column:
     """``part`` as a percentage of ``total``, 0 where the total is not positive."""
-    return F.when(total > 0, F.round(part * 100 / total, digits)).otherwise(F.lit(0.0))
+    return F.when(total > 0, round_half_up(part * 100 / total, digits)).otherwise(F.lit(0.0))
 
 
 def guarded_ratio(part: Column, total: Column, digits: int = 2) -> Column:
     """``part / total``, 0 where the total is not positive."""
-    return F.when(total > 0, F.round(part / total, digits)).otherwise(F.lit(0.0))
+    return F.when(total > 0, round_half_up(part / total, digits)).otherwise(F.lit(0.0))
 
 
 def nan_to_null(column: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propstats.functions.labels import has_space, lenient_date
+from propstats.functions.labels import has_space, lenient_date, round_half_up
 from propstats.functions.postcode import area_from_district
 from propstats.schema import CRITICAL_COLUMNS
 
@@ -20,7 +20,7 @@ def null_counts(df: DataFrame, columns: Sequence[str] = CRITICAL_COLUMNS) -> Dat
     return counted.select("_rows", F.inline(entries)).select(
         "column_name",
         "null_count",
-        F.round(F.try_divide(F.col("null_count") * 100, F.col("_rows")), 2).alias("null_pct"),
+        round_half_up(F.try_divide(F.col("null_count") * 100, F.col("_rows"))).alias("null_pct"),
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from propstats.functions.labels import round_half_up
+
 # Default thresholds, and the ones the gold tables are built with.
 DEFAULT_THRESHOLDS = {
     "min_transactions": 30,
@@ -41,7 +43,7 @@ def pass_rate(flagged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return flagged.groupBy(*by).agg(
         good.alias("good_samples"),
         total.alias("total_samples"),
-        F.round(F.try_divide(good * 100, total), 2).alias("pass_rate_pct"),
+        round_half_up(F.try_divide(good * 100, total)).alias("pass_rate_pct"),
     )
 
 

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propstats.functions import geometry as geo
-from propstats.functions.labels import guarded_percent, guarded_ratio, nan_to_null
+from propstats.functions.labels import guarded_percent, guarded_ratio, nan_to_null, round_half_up
 from propstats.operators.spatial import within_join
 from propstats.schema import INDICATORS, POPULATION_COLUMNS
 
-SCORES = [f"{name}Score" for name in INDICATORS]
 RANKS = [f"{name}Rank" for name in INDICATORS]
 
 
@@ -54,32 +53,27 @@ def roll_up(placed: DataFrame, districts: DataFrame) -> DataFrame:
     """One row per district with small areas: counts, population, shares, density, indicator statistics.
 
     Medians need all values of a district, and a district may hold a third of all areas. So the
-    scores are first counted per (district, indicator, score) with map-side combining, and the
-    rest of a row's measures ride along in the same pass under an entry of their own. A district's
+    scores are first counted per (district, indicator, score) with map-side combining, together
+    with one entry per area under no indicator, which carries its other measures. A district's
     medians are then taken from its distinct scores.
     """
-    nothing = F.lit(None).cast("double")
-    measures = POPULATION_COLUMNS + RANKS
-
-    def entry(name: str, score: Column, base: bool) -> Column:
-        own = [(F.col(m).cast("double") if base else nothing).alias(m) for m in measures]
-        return F.struct(
-            F.lit(name).alias("_indicator"),
-            score.cast("double").alias("_score"),
-            *own,
-            (F.col("LADName") if base else F.lit(None).cast("string")).alias("_name"),
-        )
-
-    entries = [entry("", nothing, True)] + [entry(i, F.col(f"{i}Score"), False) for i in INDICATORS]
+    scores_by_name = ", ".join(f"'{name}', CAST({name}Score AS DOUBLE)" for name in INDICATORS)
     counted = (
-        placed.select("PostDist", "LSOACode", F.inline(F.array(*entries)))
+        placed.select(
+            "PostDist",
+            "LSOACode",
+            "LADName",
+            *POPULATION_COLUMNS,
+            *RANKS,
+            F.expr(f"stack({len(INDICATORS) + 1}, '', CAST(NULL AS DOUBLE), {scores_by_name}) AS (_indicator, _score)"),
+        )
         .where((F.col("_indicator") == "") | F.col("_score").isNotNull())
         .groupBy("PostDist", "_indicator", "_score")
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            F.min_by("_name", "LSOACode").alias("_name"),
-            *[F.sum(m).alias(m) for m in measures],
-            *[F.count(m).alias(f"_n_{m}") for m in RANKS],
+            F.min_by("LADName", "LSOACode").alias("_name"),
+            *[F.sum(c).alias(c) for c in POPULATION_COLUMNS + RANKS],
+            *[F.count(c).alias(f"_n_{c}") for c in RANKS],
         )
     )
 
@@ -93,16 +87,16 @@ def roll_up(placed: DataFrame, districts: DataFrame) -> DataFrame:
         # Summed as decimals, so that the mean does not depend on the order rows arrive in.
         total_score = F.sum(score.cast("decimal(20,8)") * F.col("_n").cast("decimal(15,0)")).cast("double")
         scores += [
-            F.round(F.try_divide(total_score, F.sum(weight)), 2).alias(f"{name}Avg"),
-            F.round(F.percentile(score, F.lit(0.5), weight), 2).alias(f"{name}Median"),
-            F.round(F.min(score), 2).alias(f"{name}Min"),
-            F.round(F.max(score), 2).alias(f"{name}Max"),
-            F.round(F.try_divide(base(f"{name}Rank"), base(f"_n_{name}Rank")), 2).alias(f"{name}RankAvg"),
+            round_half_up(F.try_divide(total_score, F.sum(weight))).alias(f"{name}Avg"),
+            round_half_up(F.percentile(score, F.lit(0.5), weight)).alias(f"{name}Median"),
+            round_half_up(F.min(score)).alias(f"{name}Min"),
+            round_half_up(F.max(score)).alias(f"{name}Max"),
+            round_half_up(F.try_divide(base(f"{name}Rank"), base(f"_n_{name}Rank"))).alias(f"{name}RankAvg"),
         ]
     rolled = counted.groupBy("PostDist").agg(
         base("_name").alias("AreaName"),
         base("_n").alias("CountLowLevelAreas"),
-        *[F.coalesce(base(m), F.lit(0.0)).cast("bigint").alias(m) for m in POPULATION_COLUMNS],
+        *[F.coalesce(base(c), F.lit(0)).alias(c) for c in POPULATION_COLUMNS],
         *scores,
     )
     total = F.col("TotalPopulation")

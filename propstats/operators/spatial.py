@@ -39,7 +39,9 @@ _BOUNDS = ["min_x", "min_y", "max_x", "max_y"]
 
 def with_bounds(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     """Add ``min_x, min_y, max_x, max_y``; a stored layer that carries them keeps its own."""
-    return df if set(_BOUNDS) <= set(df.columns) else df.withColumns(geo.bounds(geometry))
+    if set(_BOUNDS) <= set(df.columns):
+        return df
+    return df.withColumn("_box", geo.bounds(geometry)).select("*", "_box.*").drop("_box")
 
 
 def extent(df: DataFrame, geometry: str = "geometry") -> DataFrame:
@@ -119,7 +121,7 @@ def within_join(
         & (F.col("min_y") >= F.col("_c_min_y"))
         & (F.col("max_x") <= F.col("_c_max_x"))
         & (F.col("max_y") <= F.col("_c_max_y"))
-        & (F.col("_is_box") | geo.within(geo.prepare(F.col(geometry)), "_prepared_c"))
+        & (F.col("_is_box") | geo.within(geometry, "_prepared_c"))
     )
     if size <= broadcast_bytes:
         right = F.broadcast(keyed)

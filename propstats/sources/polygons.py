@@ -37,7 +37,8 @@ def read_geojson_lines(spark: SparkSession, path: str, properties: T.StructType
     shaped = features.select(
         F.from_json("f.properties", properties).alias("p"), F.transform(parts, _part).alias("geometry")
     )
-    return shaped.select("p.*", "geometry").withColumns({**geo.bounds("geometry"), "srid": F.lit(srid)})
+    boxed = shaped.withColumn("box", geo.bounds("geometry"))
+    return boxed.select("p.*", "geometry", "box.*", F.lit(srid).alias("srid"))
 
 
 def write_geojson_lines(df: DataFrame, path: str, properties: list[str], geometry: str = "geometry") -> None:
