@@ -54,28 +54,34 @@ def _plain_spaces(code: Column) -> Column:
     return F.when(code.rlike("[^ -~]"), F.translate(code, _OTHER_SPACES, " " * len(_OTHER_SPACES))).otherwise(code)
 
 
+def _known(code: Column) -> Column:
+    """Unknown for null, which also tells Catalyst that the code never is null: joins and groupings
+    on it then push no null filter down to the scan, where it would parse every postcode again."""
+    return F.coalesce(code, F.lit(UNKNOWN))
+
+
 def with_district_and_sector(df: DataFrame, postcode: str = "postcode", strict_chars: bool = True) -> DataFrame:
     """Add ``postcode_district`` and ``postcode_sector``.
 
     The district is the outward code, with ``strict_chars`` only its letters and digits; null and
     blank postcodes give Unknown. The sector is the district, a hyphen and the first character of
     the inward code, or Unknown where there is no inward code. Each step is a column of its own,
-    so that Catalyst evaluates it once per row.
+    so that Catalyst evaluates it once per row, and the codes leave through a generator of one
+    row: a filter on a code (a join infers many) then reads the code instead of being pushed
+    below it, where it would parse every postcode again.
     """
     code = F.regexp_replace("_outward", "[^A-Za-z0-9]", "") if strict_chars else F.col("_outward")
-    return (
+    steps = (
         df.withColumn("_code", F.ltrim(_plain_spaces(F.col(postcode))))
         .withColumn("_outward", F.substring_index("_code", " ", 1))
         .withColumn(
             "_initial", F.substring(F.ltrim(F.substr("_code", F.length("_outward") + F.lit(1))), 1, 1)
         )
-        .withColumn("postcode_district", F.when(F.length("_outward") > 0, code).otherwise(UNKNOWN))
-        .withColumn(
-            "postcode_sector",
-            F.when(F.length("_initial") > 0, F.concat("postcode_district", F.lit("-"), "_initial")).otherwise(UNKNOWN),
-        )
-        .drop("_code", "_outward", "_initial")
+        .withColumn("_district", _known(F.when(F.length("_outward") > 0, code)))
     )
+    sector = _known(F.when(F.length("_initial") > 0, F.concat("_district", F.lit("-"), "_initial")))
+    codes = F.struct(F.col("_district").alias("postcode_district"), sector.alias("postcode_sector"))
+    return steps.select(*df.columns, F.inline(F.array(codes)))
 
 
 def with_postcode_parts(
