@@ -17,7 +17,7 @@ from propstats.functions import names, postcode, projection
 from propstats.operators import explore, marts, price_stats, qa, quality, sampling, socio, spatial
 from propstats.operators.geography import with_geography, with_year
 from propstats.plans import gold, ingest
-from propstats.schema import ZONE
+from propstats.schema import ZONE, level_keys
 from propstats.session import scratch_path
 from propstats.sources import polygons, tables
 
@@ -181,16 +181,22 @@ def _district_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.level_statistics(fx.sales(spark, sf_dir), "district")
 
 
+def _district_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales per district, type and year: all that counting needs of the district table."""
+    placed = with_geography(fx.sales(spark, sf_dir))
+    return placed.groupBy(*level_keys("district")).agg(F.count(F.lit(1)).alias("num_transactions"))
+
+
 def type_counts_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.type_counts(_district_stats(spark, sf_dir), LATEST_YEAR)
+    return marts.type_counts(_district_counts(spark, sf_dir), LATEST_YEAR)
 
 
 def type_counts_all_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.type_counts(_district_stats(spark, sf_dir))
+    return marts.type_counts(_district_counts(spark, sf_dir))
 
 
 def type_counts_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = marts.type_counts(_district_stats(spark, sf_dir))
+    counts = marts.type_counts(_district_counts(spark, sf_dir))
     return explore.in_districts(counts, SELECTED_TRENDS, "postcode_district")
 
 
@@ -257,9 +263,9 @@ def district_socio(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- marts ---------------------------------------------------------------------------------
 
 
-def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _joined(spark: SparkSession, sf_dir: str, indicators: DataFrame | None = None) -> DataFrame:
     trends = gold.level_trends(fx.sales(spark, sf_dir), "district")
-    return marts.trends_with_socio(trends, _socio(spark, sf_dir))
+    return marts.trends_with_socio(trends, _socio(spark, sf_dir) if indicators is None else indicators)
 
 
 def district_trends_with_socio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,8 +276,8 @@ def mart_london_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.in_london(_joined(spark, sf_dir)).drop("geometry")
 
 
-def _london_flats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.in_london(_joined(spark, sf_dir), "F").drop(*marts.SPREAD_COLUMNS)
+def _london_flats(spark: SparkSession, sf_dir: str, indicators: DataFrame | None = None) -> DataFrame:
+    return marts.in_london(_joined(spark, sf_dir, indicators), "F").drop(*marts.SPREAD_COLUMNS)
 
 
 def zones_in_london(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +286,8 @@ def zones_in_london(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mart_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mart = marts.geometry_mart(_socio(spark, sf_dir), _london_flats(spark, sf_dir))
+    indicators = _socio(spark, sf_dir)
+    mart = marts.geometry_mart(indicators, _london_flats(spark, sf_dir, indicators))
     return mart.withColumn("num_points", geo.num_points("geometry")).drop("geometry")
 
 
@@ -289,8 +296,9 @@ def mart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mart_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = marts.series_mart(_london_flats(spark, sf_dir))
-    return marts.rejoin(series, marts.geometry_mart(_socio(spark, sf_dir), series)).drop("geometry")
+    indicators = _socio(spark, sf_dir)
+    series = marts.series_mart(_london_flats(spark, sf_dir, indicators))
+    return marts.rejoin(series, marts.geometry_mart(indicators, series)).drop("geometry")
 
 
 def first_values_per_district(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,7 +342,7 @@ def scatter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.filter_options(
-        gold.level_trends(fx.sales(spark, sf_dir), "district"),
+        _district_counts(spark, sf_dir),
         {"zone": ZONE, "district": "postcode_district", "property_type": "property_type", "year": "year"},
     )
 

@@ -31,11 +31,18 @@ def histogram_statistics(histogram: DataFrame, keys: Sequence[str]) -> DataFrame
     whole = by_price.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     priced = F.when(F.col("price").isNotNull(), F.col("n")).otherwise(F.lit(0))
-    ranked = (
-        histogram.withColumn("_priced", priced)
-        .withColumn("_below", F.sum("_priced").over(so_far))
-        .withColumn("_total", F.sum("_priced").over(whole))
-        .withColumn("_sum", F.sum(F.col("_priced").cast("double") * F.col("price")).over(whole))
+    weighed = histogram.withColumn("_priced", priced).withColumn(
+        "_value", F.col("_priced").cast("double") * F.col("price")
+    )
+    # One window specification, so one sort and one pass over the group.
+    ranked = weighed.select(
+        *keys,
+        "price",
+        "n",
+        "_priced",
+        F.sum("_priced").over(so_far).alias("_below"),
+        F.sum("_priced").over(whole).alias("_total"),
+        F.sum("_value").over(whole).alias("_sum"),
     )
     centred = ranked.withColumn("_mean", F.try_divide(F.col("_sum"), F.col("_total"))).withColumn(
         "_off", F.col("price") - F.col("_mean")
