@@ -69,7 +69,7 @@ def class_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def area_price_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold.level_statistics(fx.sales(spark, sf_dir), "area")
+    return price_stats.level_statistics(fx.sales(spark, sf_dir), "area")
 
 
 def area_price_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +178,7 @@ def hotspot_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _district_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold.level_statistics(fx.sales(spark, sf_dir), "district")
+    return price_stats.level_statistics(fx.sales(spark, sf_dir), "district")
 
 
 def _district_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propstats.functions import postcode as pc
-from propstats.operators.geography import with_year
-from propstats.schema import COMMON_KEYS, LEVELS, PERCENTILE_COLUMNS, ZONE
+from propstats.operators.geography import with_geography, with_year
+from propstats.schema import COMMON_KEYS, LEVELS, PERCENTILE_COLUMNS, ZONE, level_keys
 
 
 def price_histogram(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -136,25 +136,33 @@ def price_statistics(df: DataFrame, keys: Sequence[str] | str, accuracy: int | N
     )
 
 
-def sales_histogram(sales: DataFrame, mode: str = "all_letters") -> DataFrame:
-    """One scan of the sales, counted at the finest level: (area, district, sector, zone, type, year, price).
+def sales_histogram(sales: DataFrame, level: str = "sector", mode: str = "all_letters") -> DataFrame:
+    """One scan of the sales, counted per price at a geographic level; columns as ``level_keys`` plus price and ``n``.
 
-    Area and zone follow from the district, so they are left out of the shuffled key and worked
-    out once per histogram row.
+    Area and zone follow from the district. From the district level down they are left out of the
+    shuffled key and worked out once per histogram row instead of once per sale.
     """
+    if level == "area":
+        return price_histogram(with_geography(sales, mode), level_keys(level))
     placed = with_year(pc.with_district_and_sector(sales.na.drop(subset=["postcode"])))
-    fine = price_histogram(placed, ["postcode_district", "postcode_sector", "property_type", "year"])
+    codes = [code for code in LEVELS[level] if code != "postcode_area"]
+    fine = price_histogram(placed, [*codes, "property_type", "year"])
     return fine.withColumn("postcode_area", pc.area_from_district("postcode_district", mode)).withColumn(
         ZONE, pc.london_zone()
     )
 
 
+def level_statistics(sales: DataFrame, level: str, mode: str = "all_letters") -> DataFrame:
+    """Statistics of one geographic level."""
+    return with_dispersion(histogram_statistics(sales_histogram(sales, level, mode), level_keys(level)))
+
+
 def multi_level_statistics(sales: DataFrame, mode: str = "all_letters") -> DataFrame:
     """Area, district and sector statistics from one scan, with a ``level`` column.
 
     The finest histogram is rolled up with grouping sets; codes below a row's level are null.
     """
-    fine = sales_histogram(sales, mode)
+    fine = sales_histogram(sales, "sector", mode)
     codes = LEVELS["sector"]
     columns = codes + COMMON_KEYS + ["price"]
     sets = [LEVELS[level] + COMMON_KEYS + ["price"] for level in LEVELS]

@@ -6,11 +6,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-from propstats.operators.geography import with_geography
-from propstats.operators.price_stats import multi_level_statistics, price_statistics
+from propstats.operators.price_stats import level_statistics, multi_level_statistics
 from propstats.operators.quality import GOLD_THRESHOLDS, with_quality_flag
 from propstats.operators.trends import price_trends
-from propstats.schema import LEVELS, ZONE, level_keys
+from propstats.schema import LEVELS, ZONE
 
 # The keys of one yearly series. All sales without an inward code share the sector Unknown, so a
 # sector series is told apart by its district as well.
@@ -21,10 +20,6 @@ SERIES_KEYS = {
 }
 
 
-def level_statistics(sales: DataFrame, level: str, mode: str = "all_letters") -> DataFrame:
-    return price_statistics(with_geography(sales, mode), level_keys(level))
-
-
 def level_trends(
     sales: DataFrame,
     level: str,
