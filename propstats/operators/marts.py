@@ -48,8 +48,8 @@ def in_london(df: DataFrame, property_type: str | None = None) -> DataFrame:
 
 
 def rows_with_key_in(df: DataFrame, other: DataFrame, key: str = "PostDist") -> DataFrame:
-    """Rows whose key occurs in the other table."""
-    return df.join(other.select(key), key, "left_semi")
+    """Rows whose key occurs in the other table; its keys are made distinct before they travel."""
+    return df.join(other.select(key).distinct(), key, "left_semi")
 
 
 def geometry_mart(socio: DataFrame, series: DataFrame) -> DataFrame:

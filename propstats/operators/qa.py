@@ -68,7 +68,10 @@ def ranges(df: DataFrame) -> DataFrame:
 
 
 def year_counts(df: DataFrame) -> DataFrame:
-    """Rows per year with the year's position from the first and from the last."""
+    """Rows per year with the year's position from the first and from the last.
+
+    The positions are taken over one row per year, not over the sales.
+    """
     counted = df.groupBy("year").agg(F.count(F.lit(1)).alias("num_transactions"))
     return counted.withColumn("from_first", F.row_number().over(Window.orderBy("year"))).withColumn(
         "from_last", F.row_number().over(Window.orderBy(F.desc("year")))

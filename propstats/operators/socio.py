@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propstats.functions import geometry as geo
@@ -54,31 +54,47 @@ def roll_up(placed: DataFrame, districts: DataFrame) -> DataFrame:
 
     Medians need all values of a district, and a district may hold a third of all areas. So the
     scores are first counted per (district, indicator, score) with map-side combining, together
-    with one entry per area under no indicator, which carries its other measures. A district's
-    medians are then taken from its distinct scores.
+    with entries under no indicator, which carry the other measures. The median is
+    read off the running count of a district's distinct scores, indicator by indicator. The area
+    name is that of the lowest code; names are a grouping key there and not an aggregate, as text
+    in an aggregate buffer would turn hashing into sorting.
     """
-    scores_by_name = ", ".join(f"'{name}', CAST({name}Score AS DOUBLE)" for name in INDICATORS)
+    entries = "".join(f", '{name}', CAST({name}Score AS DOUBLE), CAST(NULL AS STRING)" for name in INDICATORS)
     counted = (
         placed.select(
             "PostDist",
-            "LSOACode",
-            "LADName",
+            F.regexp_replace(F.col("LSOACode").cast("string"), "[^0-9]", "").try_cast("bigint").alias("_code"),
             *POPULATION_COLUMNS,
             *RANKS,
-            F.expr(f"stack({len(INDICATORS) + 1}, '', CAST(NULL AS DOUBLE), {scores_by_name}) AS (_indicator, _score)"),
+            F.expr(
+                f"stack({len(INDICATORS) + 1}, '', CAST(NULL AS DOUBLE), LADName{entries}) "
+                "AS (_indicator, _score, _name)"
+            ),
         )
         .where((F.col("_indicator") == "") | F.col("_score").isNotNull())
-        .groupBy("PostDist", "_indicator", "_score")
+        .groupBy("PostDist", "_indicator", "_score", "_name")
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            F.min_by("LADName", "LSOACode").alias("_name"),
+            F.min("_code").alias("_code"),
             *[F.sum(c).alias(c) for c in POPULATION_COLUMNS + RANKS],
             *[F.count(c).alias(f"_n_{c}") for c in RANKS],
         )
     )
 
+    by_score = Window.partitionBy("PostDist", "_indicator").orderBy("_score")
+    ranked = counted.withColumns(
+        {
+            "_below": F.sum("_n").over(by_score.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_all": F.sum("_n").over(
+                by_score.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            ),
+        }
+    )
+    # The middle two values of an even count; of an odd one, twice the same.
+    lower, upper = F.col("_below") * 2 >= F.col("_all"), F.col("_below") * 2 > F.col("_all")
+
     def base(column: str) -> Column:
-        return F.max(F.when(F.col("_indicator") == "", F.col(column)))
+        return F.sum(F.when(F.col("_indicator") == "", F.col(column)))
 
     scores: list[Column] = []
     for name in INDICATORS:
@@ -88,13 +104,13 @@ def roll_up(placed: DataFrame, districts: DataFrame) -> DataFrame:
         total_score = F.sum(score.cast("decimal(20,8)") * F.col("_n").cast("decimal(15,0)")).cast("double")
         scores += [
             round_half_up(F.try_divide(total_score, F.sum(weight))).alias(f"{name}Avg"),
-            round_half_up(F.percentile(score, F.lit(0.5), weight)).alias(f"{name}Median"),
+            round_half_up((F.min(F.when(lower, score)) + F.min(F.when(upper, score))) / 2).alias(f"{name}Median"),
             round_half_up(F.min(score)).alias(f"{name}Min"),
             round_half_up(F.max(score)).alias(f"{name}Max"),
             round_half_up(F.try_divide(base(f"{name}Rank"), base(f"_n_{name}Rank"))).alias(f"{name}RankAvg"),
         ]
-    rolled = counted.groupBy("PostDist").agg(
-        base("_name").alias("AreaName"),
+    rolled = ranked.groupBy("PostDist").agg(
+        F.min_by("_name", F.when(F.col("_indicator") == "", F.struct("_code", "_name"))).alias("AreaName"),
         base("_n").alias("CountLowLevelAreas"),
         *[F.coalesce(base(c), F.lit(0)).alias(c) for c in POPULATION_COLUMNS],
         *scores,

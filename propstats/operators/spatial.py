@@ -126,7 +126,9 @@ def within_join(
     if size <= broadcast_bytes:
         right = F.broadcast(keyed)
     else:
-        located = located.withColumn("_salt", F.pmod(F.xxhash64("min_x", "min_y", "max_x", "max_y"), F.lit(salts)))
+        # All plain columns go into the salt, so that areas with equal outlines spread as well.
+        plain = [name for name, kind in located.dtypes if not kind.startswith(("array", "map", "struct"))]
+        located = located.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
         right = keyed.withColumn("_salt_c", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
             "_salt_c", F.col("_salt_c").cast("bigint")
         )
