@@ -24,6 +24,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,13 @@ from pyspark.sql import functions as F
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_CONTROLS = re.compile("[\x1c-\x1f]")
 CACHE_PIECES = 600_000
-#: Proposals are tested together for so many new pieces.
-BATCH_PIECES = 20_000
+#: Proposals are made and tested together for so many new words.
+BATCH_WORDS = 20_000
+#: Words of more letters are merged with a heap.
+SHORT_WORD = 64
+#: Byte letters have codes below this.
+LETTERS = 324
+_NONE = 1 << 60
 
 
 class Tokenizer:
@@ -55,22 +61,23 @@ class Tokenizer:
         self.normalise = library.normalizer.normalize_str
         self.words = library.pre_tokenizer.pre_tokenize_str
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.longest = max(map(len, self.vocab))
+        self._load_trie()
         self._load_merges([tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]])
         self.pieces: dict[str, bytes] = {}
 
     def _load_merges(self, merges: list[tuple[str, str]]) -> None:
         v, size = self.vocab, max(self.vocab.values()) + 1
         self.size = size
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
-        made = {}
+        # Ranks by pair, the token made by rank, and the pair that makes a token first.
+        self.rank: dict[int, int] = {}
+        self.made = [v[a + b] for a, b in merges]
+        made: dict[int, tuple[int, int, int]] = {}
         for i, (a, b) in enumerate(merges):
-            self.rank.setdefault((v[a], v[b]), (i, v[a + b]))
+            self.rank.setdefault(v[a] * size + v[b], i)
             made.setdefault(v[a + b], (v[a], v[b], i))
-        keys = np.array([a * size + b for a, b in self.rank], dtype=np.int64)
+        keys = np.fromiter(self.rank.keys(), dtype=np.int64)
         order = np.argsort(keys)
-        self.merge_keys = keys[order]
-        self.merge_ranks = np.array([r for r, _ in self.rank.values()], dtype=np.int64)[order]
+        self.merge_keys, self.merge_ranks = keys[order], np.fromiter(self.rank.values(), dtype=np.int64)[order]
         # Spines: the pieces that stand at a token's right (left) border in turn, and the rank that absorbs each.
         never = np.iinfo(np.int64).max
         spines: list[list[list[tuple[int, int]]]] = [[], []]
@@ -117,71 +124,113 @@ class Tokenizer:
                 good[there[(self.merge_keys[at] == keys) & (rank < a_end[there]) & (rank <= b_end[there])]] = False
         return good
 
-    def symbols(self, word: str) -> list[str]:
-        out = list(word)
-        out[-1] += self.suffix
-        return out
+    def symbols(self, word: str) -> list[int]:
+        """A word's first tokens: its letters, the last with the end-of-word mark."""
+        return [*map(self.vocab.__getitem__, word[:-1]), self.vocab[word[-1] + self.suffix]]
 
     def merge(self, word: str) -> list[int]:
         """Exact encoding of a word."""
-        return self._merged([self.vocab[s] for s in self.symbols(word)])
+        return self._merged(self.symbols(word))
 
     def _merged(self, ids: list[int]) -> list[int]:
-        """The lowest-ranked merge first, the leftmost of equals: a heap of candidates over a linked list."""
-        rank, n = self.rank, len(ids)
-        ids = list(ids)
+        """The lowest-ranked merge first, the leftmost of equals."""
+        if len(ids) > SHORT_WORD:
+            return self._merged_long(ids)
+        rank, size = self.rank.get, self.size
+        ranks = [rank(a * size + b, _NONE) for a, b in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < _NONE:
+            i = ranks.index(least)
+            ids[i] = self.made[least]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] * size + ids[i], _NONE)
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] * size + ids[i + 1], _NONE)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of candidates over a linked list."""
+        rank, size, n = self.rank.get, self.size, len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(found[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (found := rank.get((ids[i], ids[i + 1])))]
+        heap = [(rank(a * size + b, _NONE), i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:]))]
         heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
+        while heap and heap[0][0] < _NONE:
+            least, i, a, b = heapq.heappop(heap)
             j = after[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue  # one side has merged since
-            ids[i], ids[j] = rank[a, b][1], -1
+            ids[i], ids[j] = self.made[least], -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
-                if found := rank.get((ids[i], ids[after[j]])):
-                    heapq.heappush(heap, (found[0], i, ids[i], ids[after[j]]))
-            if before[i] >= 0 and (found := rank.get((ids[before[i]], ids[i]))):
-                heapq.heappush(heap, (found[0], before[i], ids[before[i]], ids[i]))
+                heapq.heappush(heap, (rank(ids[i] * size + ids[after[j]], _NONE), i, ids[i], ids[after[j]]))
+            if before[i] >= 0:
+                heapq.heappush(heap, (rank(ids[before[i]] * size + ids[i], _NONE), before[i], ids[before[i]], ids[i]))
         return [t for t in ids if t >= 0]
 
-    def propose(self, word: str) -> list[int]:
-        """Greedy longest match; the last symbol carries the end-of-word mark."""
-        vocab, longest, n = self.vocab, self.longest, len(word)
-        ids, at = [], 0
-        while at < n:
-            token = vocab.get(word[at:] + self.suffix) if n - at <= longest else None
-            if token is not None:
-                ids.append(token)
-                break
-            for end in range(min(n - 1, at + longest), at, -1):
-                token = vocab.get(word[at:end])
-                if token is not None:
-                    break
-            ids.append(token)
-            at = end
-        return ids
+    def _load_trie(self) -> None:
+        """Tokens as paths of symbols (a letter's code, raised where it carries the end-of-word mark)."""
+        children: dict[int, int] = {}
+        token_of = [-1]
+        for text, token in self.vocab.items():
+            ending = bool(self.suffix) and text.endswith(self.suffix) and text != self.suffix
+            path = [*map(ord, text.removesuffix(self.suffix) if ending else text)]
+            if ending:
+                path[-1] += LETTERS
+            node = 0
+            for symbol in path:
+                node = children.setdefault(node * 2 * LETTERS + symbol, len(token_of))
+                if node == len(token_of):
+                    token_of.append(-1)
+            token_of[node] = token
+        keys = np.fromiter(children.keys(), dtype=np.int64)
+        order = np.argsort(keys)
+        self.trie_keys, self.trie_nodes = keys[order], np.fromiter(children.values(), dtype=np.int64)[order]
+        self.token_of = np.array(token_of, dtype=np.int64)
+
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of all words at once: tokens in order, and the word of each."""
+        symbols = np.frombuffer("".join(words).encode("utf-16-le"), dtype="<u2").astype(np.int64)
+        ends = np.cumsum([len(w) for w in words])
+        symbols[ends - 1] += LETTERS
+        at, words_left = np.concatenate([[0], ends[:-1]]), np.arange(len(words))
+        found, of = [], []
+        while len(words_left):
+            end = ends[words_left]
+            place, node = at.copy(), np.zeros(len(at), dtype=np.int64)
+            token, upto = np.full(len(at), -1), at.copy()
+            walking = np.arange(len(at))
+            while len(walking):
+                key = node[walking] * (2 * LETTERS) + symbols[place[walking]]
+                child = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
+                step = self.trie_keys[child] == key
+                walking = walking[step]
+                node[walking] = self.trie_nodes[child[step]]
+                place[walking] += 1
+                here = self.token_of[node[walking]]
+                whole = walking[here >= 0]
+                token[whole], upto[whole] = here[here >= 0], place[whole]
+                walking = walking[place[walking] < end[walking]]
+            found.append(token)
+            of.append(words_left)
+            rest = upto < end
+            at, words_left = upto[rest], words_left[rest]
+        of = np.concatenate(of)
+        order = np.argsort(of, kind="stable")
+        return np.concatenate(found)[order], of[order]
 
     def is_sound(self, token: int) -> bool:
         known = self.sound.get(token)
         if known is None:
             text = self.strings[token]
-            ending = bool(self.suffix) and text.endswith(self.suffix)
-            symbols = list(text.removesuffix(self.suffix)) if ending else list(text)
-            if ending:
-                symbols[-1] += self.suffix
-            ids = [self.vocab[s] for s in symbols]
+            ending = bool(self.suffix) and text.endswith(self.suffix) and text != self.suffix
+            ids = self.symbols(text.removesuffix(self.suffix)) if ending else [*map(self.vocab.__getitem__, text)]
             known = self.sound[token] = self._merged(ids) == [token]
         return known
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word (in byte letters): proposed, tested pair by pair, merged where a test fails."""
-        proposed = [self.propose(w) for w in words]
-        flat = np.array([t for ids in proposed for t in ids], dtype=np.int64)
-        word_of = np.repeat(np.arange(len(words)), [len(ids) for ids in proposed])
+        flat, word_of = self.propose(words)
         inner = np.flatnonzero(word_of[:-1] == word_of[1:])
         pairs, back = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
         good = self.compatible(pairs // self.size, pairs % self.size)[back]
@@ -190,9 +239,12 @@ class Tokenizer:
         tokens, back = np.unique(flat, return_inverse=True)
         sound = np.array([self.is_sound(int(t)) for t in tokens], dtype=bool)
         failed[word_of[~sound[back]]] = True
-        for i in np.flatnonzero(failed):
-            proposed[i] = self.merge(words[i])
-        return proposed
+        data = flat.astype("<u4").tobytes()
+        ends = np.cumsum(np.bincount(word_of, minlength=len(words)) * 4).tolist()
+        out = [data[a:b] for a, b in zip([0, *ends], ends)]
+        for i in np.flatnonzero(failed).tolist():
+            out[i] = array("I", self.merge(words[i])).tobytes()
+        return out
 
     def _words(self, piece: str) -> list[str]:
         """The words of a piece, one printable letter per byte, as the file's normaliser and patterns have them."""
@@ -206,17 +258,13 @@ class Tokenizer:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces that hold no white space into the cache."""
-        words, of = [], []
-        for i, piece in enumerate(pieces):
-            for word in self._words(piece):
-                words.append(word)
-                of.append(i)
-        out: list[list[int]] = [[] for _ in pieces]
-        unique = list(dict.fromkeys(words))
-        known = dict(zip(unique, self.encode_words(unique))) if unique else {}
-        for word, i in zip(words, of):
-            out[i] += known[word]
-        self.pieces.update((p, np.array(ids, dtype="<u4").tobytes()) for p, ids in zip(pieces, out))
+        words = [self._words(piece) for piece in pieces]
+        unique = list({w for found in words for w in found})
+        known: dict[str, bytes] = {}
+        for i in range(0, len(unique), BATCH_WORDS):
+            part = unique[i : i + BATCH_WORDS]
+            known.update(zip(part, self.encode_words(part)))
+        self.pieces.update((p, known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w])) for p, w in zip(pieces, words))
 
     def _pieces(self, text: str) -> list[str]:
         return (SPACE.split(text) if ODD_CONTROLS.search(text) else text.split()) if text else []
@@ -232,8 +280,8 @@ class Tokenizer:
             # What this batch uses stays: frequent pieces outlive the cache.
             self.pieces = {p: self.pieces[p] for p in wanted if p in self.pieces}
         new = [p for p in wanted if p not in self.pieces]
-        for i in range(0, len(new), BATCH_PIECES):
-            self.learn(new[i : i + BATCH_PIECES])
+        if new:
+            self.learn(new)
         get = self.pieces.__getitem__
         return [
             b"".join([b"".join(map(get, x)) if isinstance(x, list) else self.special[x].to_bytes(4, "little") for x in parts])

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from propstats.session import scratch_path
 
@@ -16,6 +22,19 @@ _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once per application: their tasks import it."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        archive = os.path.join(os.path.realpath(tempfile.mkdtemp()), package.name)
+        context.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))
+        _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,6 +47,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a number for each row, in a column whose name it returns."""
+    name = "row_number"
+    while name in df.columns:
+        name += "_"
+    return df.withColumn(name, F.monotonically_increasing_id()), name
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column in one array, and its n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propstats.llm import bpe, chat, secret_scan, sharding
-from propstats.llm.common import table
+from propstats.llm import bpe, chat, decontamination, licences, quality, secret_scan, sharding, simhash, suffix_dedup, toxicity
+from propstats.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
+    model = toxicity.fit(docs, learned)
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.even_tree(regions=2, racks=2, shards=4)
     placed = sharding.assign(table(spark, sf_dir, "documents"), tree, sharding.with_new_region(tree, 16))
@@ -35,18 +44,63 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", bpe.digest(F.col("text"), tokenizer_path()).alias("d")).select("doc_id", "d.*")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: source, language and id make one."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licences.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def _shipped(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    found = [op2_sharding, op3_chat_formatting, op6_bpe, op10_secret_scan]
-    return {f.__name__: f for f in found}
+    found = [
+        op1_toxicity,
+        op2_sharding,
+        op3_chat_formatting,
+        op4_suffix_dedup,
+        op5_simhash,
+        op6_bpe,
+        op7_quality,
+        op8_licences,
+        op9_decontamination,
+        op10_secret_scan,
+    ]
+    return {f.__name__: _shipped(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propstats.llm.common import stored
@@ -126,18 +126,20 @@ def token_score(token: str, ratios: np.ndarray) -> float:
     return float(ratios[codes[:-1], codes[1:]].sum())
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """One row per row of ``docs``: key and spans, array<struct<start, end, kind>> by start, then kind."""
+def _collect(docs: DataFrame, key: str, text: str) -> DataFrame:
     id_type = docs.schema[key].dataType.simpleString()
-    found = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInPandas(
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInPandas(
         _collected,
         f"counts boolean, k {id_type}, starts array<int>, ends array<int>, kinds array<int>, "
         "tokens array<struct<start:int,end:int,text:string>>, cells array<long>, random array<long>, ordinary array<long>",
     )
-    found = stored(found, "secrets")
+
+
+def _ratios(collected: DataFrame) -> np.ndarray | None:
+    """The trained models' log ratios; None without any sample of random strings."""
     # At most SIZE x SIZE rows, whatever the corpus.
     counted = (
-        found.where("counts")
+        collected.where("counts")
         .select(F.explode(F.arrays_zip("cells", "random", "ordinary")).alias("c"))
         .groupBy("c.cells")
         .agg(F.sum("c.random").alias("random"), F.sum("c.ordinary").alias("ordinary"))
@@ -146,15 +148,25 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", margin: float
     counts = np.zeros((2, SIZE * SIZE))
     for row in counted:
         counts[:, row[0]] = row[1], row[2]
-    trained = counts[0].sum() > 0
-    ratios = log_ratio(counts)
+    return log_ratio(counts) if counts[0].sum() else None
+
+
+def train(docs: DataFrame, text: str = "text") -> np.ndarray | None:
+    """The log ratios that ``docs`` teach; a few thousand numbers."""
+    return _ratios(_collect(docs.select(F.lit(None).cast("int").alias("k"), text), "k", text))
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", margin: float = MARGIN) -> DataFrame:
+    """One row per row of ``docs``: key and spans, array<struct<start, end, kind>> by start, then kind."""
+    found = stored(_collect(docs, key, text), "secrets")
+    ratios = _ratios(found)
 
     @F.pandas_udf("array<struct<start:int,end:int,kind:string>>")
     def all_spans(starts: pd.Series, ends: pd.Series, kinds: pd.Series, tokens: pd.Series) -> pd.Series:
         out = []
         for a, b, c, t in zip(starts, ends, kinds, tokens, strict=True):
             spans = list(zip(a, b, c, strict=True))
-            if trained:
+            if ratios is not None:
                 spans += [(x["start"], x["end"], 3) for x in t if token_score(x["text"], ratios) >= margin]
             out.append([{"start": s, "end": e, "kind": KINDS[k]} for s, e, k in sorted(spans, key=lambda x: (x[0], x[2]))])
         return pd.Series(out)
@@ -172,26 +184,25 @@ def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """``docs`` with each secret in ``text`` replaced by ``[SECRET]``; overlapping spans become one.
-
-    Spans are joined on the text's own digest, so rows that share a key do not mix.
-    """
-    digest_of = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)
-    # A third of all rows may be copies of one text: a text is scanned once, and rows without spans need no join.
-    texts = docs.select(digest_of.alias("sha"), F.col(text).cast("string").alias("t"))
-    held = scan(texts, "sha", "t", margin).where(F.size("spans") > 0)
-    held = held.groupBy("sha").agg(F.first("spans").alias("secret_spans"))
+def redacted(text: Column, ratios: np.ndarray | None, margin: float = MARGIN) -> Column:
+    """The text with each secret replaced by ``[SECRET]``; overlapping spans become one, null stays null."""
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([replaced(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)])
+    def cut(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            spans = [(s, e) for s, e, _ in base_spans(text)] if text else []
+            if text and ratios is not None:
+                spans += [(m.start(), m.end()) for m in LONG_TOKEN.finditer(text) if token_score(m[0], ratios) >= margin]
+            out.append(replaced(text, spans) if spans else text)
+        return pd.Series(out, dtype=object)
 
-    joined = docs.withColumn("secret_sha", digest_of).join(held.withColumnRenamed("sha", "secret_sha"), "secret_sha", "left")
-    new_text = F.when(F.col("secret_spans").isNull(), F.col(text)).otherwise(
-        cut(F.coalesce(F.col(text), F.lit("")), F.coalesce("secret_spans", F.array().cast("array<struct<start:int,end:int,kind:string>>")))
-    )
-    return joined.withColumn(text, new_text).select(*docs.columns)
+    return cut(text.cast("string"))
+
+
+def redact(docs: DataFrame, text: str = "text", margin: float = MARGIN) -> DataFrame:
+    """``docs`` without its secrets: one pass trains, the next replaces in place, and texts never move."""
+    return docs.withColumn(text, redacted(F.col(text), train(docs, text), margin))
 
 
 def replaced(text: str, spans: list[tuple[int, int]], by: str = "[SECRET]") -> str:
