@@ -66,8 +66,12 @@ _OTHER_MULTIPLIERS = {
     "Environment": (43, 19),
 }
 
+# Codes of two letter prefixes: the lowest code of a district is not the one with the lowest digits.
+ZONE_CODE = "concat(CASE WHEN c_custkey % 3 = 0 THEN 'E' ELSE 'W' END, lpad(CAST(c_custkey AS STRING), 8, '0'))"
+ZONE_NUMBER = "CAST(substring(LSOACode, 2) AS BIGINT)"
+
 ZONE_BOXES = {
-    "LSOACode": "c_custkey",
+    "LSOACode": ZONE_CODE,
     "x0": "CAST((c_custkey * 37) % 500 AS DOUBLE)",
     "y0": "CAST((c_custkey * 91) % 500 AS DOUBLE)",
     "x1": "CAST((c_custkey * 37) % 500 + 2 + c_custkey % 11 AS DOUBLE)",
@@ -75,7 +79,7 @@ ZONE_BOXES = {
 }
 
 ZONE_FACTS = {
-    "LSOACode": "c_custkey",
+    "LSOACode": ZONE_CODE,
     "LADName": "concat('LAD', CAST(c_custkey % 7 AS STRING))",
     "TotalPopulation": "CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE CAST(1000 + c_custkey % 1000 AS INT) END",
     "DependentChildren": "CAST(c_custkey % 300 AS INT)",
@@ -83,7 +87,7 @@ ZONE_FACTS = {
     "WorkingAgePopulation": "CAST(c_custkey % 600 AS INT)",
     "OverallScore": "CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE CAST(c_acctbal AS DOUBLE) / 100 END",
     "OverallRank": "CAST((c_custkey * 13) % 1000 + 1 AS INT)",
-    "CrimeScore": "CAST((c_custkey * 31) % 1000 AS DOUBLE) / 10",
+    "CrimeScore": "CASE WHEN c_custkey % 30 = 7 THEN CAST('NaN' AS DOUBLE) ELSE CAST((c_custkey * 31) % 1000 AS DOUBLE) / 10 END",
     "CrimeRank": "CAST((c_custkey * 17) % 1000 + 1 AS INT)",
     **{
         key: value
@@ -96,6 +100,33 @@ ZONE_FACTS = {
 }
 
 
+# The headers of the published indicator file for the columns above, written out.
+PUBLISHED_HEADERS = {
+    "LSOACode": "LSOA code (2021)",
+    "LADName": "Local Authority District name (2024)",
+    "TotalPopulation": "Total population: mid 2022",
+    "DependentChildren": "Dependent Children aged 0-15: mid 2022",
+    "Population60Plus": "Older population aged 60 and over: mid 2022",
+    "WorkingAgePopulation": "Working age population 18-66 (for use with Employment Deprivation Domain): mid 2022",
+    "OverallScore": "Index of Multiple Deprivation (IMD) Score",
+    "OverallRank": "Index of Multiple Deprivation (IMD) Rank (where 1 is most deprived)",
+    "CrimeScore": "Crime Score",
+    "CrimeRank": "Crime Rank (where 1 is most deprived)",
+    "IncomeScore": "Income Score (rate)",
+    "IncomeRank": "Income Rank (where 1 is most deprived)",
+    "EmploymentScore": "Employment Score (rate)",
+    "EmploymentRank": "Employment Rank (where 1 is most deprived)",
+    "EducationScore": "Education, Skills and Training Score",
+    "EducationRank": "Education, Skills and Training Rank (where 1 is most deprived)",
+    "HealthScore": "Health Deprivation and Disability Score",
+    "HealthRank": "Health Deprivation and Disability Rank (where 1 is most deprived)",
+    "HousingBarriersScore": "Barriers to Housing and Services Score",
+    "HousingBarriersRank": "Barriers to Housing and Services Rank (where 1 is most deprived)",
+    "EnvironmentScore": "Living Environment Score",
+    "EnvironmentRank": "Living Environment Rank (where 1 is most deprived)",
+}
+
+
 def select_list(view: dict[str, str]) -> str:
     return ", ".join(f'{expression} AS {name}' for name, expression in view.items())
 
@@ -179,7 +210,7 @@ def flawed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone rings with, in turn: no flaw, no closing point, a repeated point, a crossing, no area, too few points."""
     x0, y0, x1, y1 = _corners()
     good = geo.box_ring(x0, y0, x1, y1)
-    kind = F.col("LSOACode") % 6
+    kind = F.expr(ZONE_NUMBER) % 6
     shape = (
         F.when(kind == 0, good)
         .when(kind == 1, F.slice(good, 1, 4))

@@ -138,8 +138,10 @@ def _round(value: str, digits: int = 2) -> str:
 
 
 DISTRICTS = f"districts AS (SELECT {fx.select_list(fx.DISTRICT_BOXES)} FROM nation)"
-ZONES = f"zones AS (SELECT {fx.select_list({**fx.ZONE_BOXES, **fx.ZONE_FACTS})} FROM customer)"
-FACTS = fx.select_list(fx.ZONE_FACTS)
+# Scores that are NaN are missing.
+NAN_TO_NULL = "REPLACE (CASE WHEN isnan(CrimeScore) THEN NULL ELSE CrimeScore END AS CrimeScore)"
+ZONES = f"""zones AS (SELECT * {NAN_TO_NULL} FROM (SELECT {fx.select_list({**fx.ZONE_BOXES, **fx.ZONE_FACTS})} FROM customer))"""
+FACTS = f"SELECT * {NAN_TO_NULL} FROM (SELECT {fx.select_list(fx.ZONE_FACTS)} FROM customer)"
 INSIDE = "z.x0 >= d.x0 AND z.y0 >= d.y0 AND z.x1 <= d.x1 AND z.y1 <= d.y1"
 PAIRS = f"pairs AS (SELECT z.*, d.PostDist FROM zones z JOIN districts d ON {INSIDE})"
 
@@ -164,7 +166,7 @@ def _socio() -> str:
         SELECT PostDist, arg_min(LADName, LSOACode) AS AreaName, count(*) AS CountLowLevelAreas, {sums}, {', '.join(parts)}
         FROM pairs GROUP BY PostDist),
     socio AS (
-        SELECT r.*, (d.x1 - d.x0) * (d.y1 - d.y0) / 1000000 AS AreaKm2, {percents},
+        SELECT r.*, 27700 AS srid, (d.x1 - d.x0) * (d.y1 - d.y0) / 1000000 AS AreaKm2, {percents},
             CASE WHEN (d.x1 - d.x0) * (d.y1 - d.y0) > 0
                 THEN {_round("TotalPopulation / ((d.x1 - d.x0) * (d.y1 - d.y0) / 1000000)")} ELSE 0 END AS PopulationDensity
         FROM rolled r JOIN districts d USING (PostDist))"""
@@ -297,7 +299,7 @@ def _pass_rate() -> str:
 
 
 _STATIC = [
-    "PostDist", "AreaName", "CountLowLevelAreas", "AreaKm2", *POPULATION_COLUMNS,
+    "PostDist", "srid", "AreaName", "CountLowLevelAreas", "AreaKm2", *POPULATION_COLUMNS,
     *[f"{c}%" for c in POPULATION_COLUMNS[1:]], "PopulationDensity",
     *[f"{name}{kind}" for name in INDICATORS for kind in ("Avg", "RankAvg")],
 ]
@@ -320,7 +322,7 @@ def oracle_sql() -> dict[str, str]:
     inner_outer = f"""CASE WHEN postcode_area IN ({_texts(pc.INNER_AREAS)}) THEN 'Inner London'
         WHEN postcode_area IN ({_texts(pc.OUTER_AREAS)}) THEN 'Outer London' ELSE 'Outside London' END"""
     sales_raw = f"""SELECT l_orderkey, l_linenumber, {fx.select_list(fx.SALES)} FROM lineitem"""
-    flaw = "LSOACode % 6"
+    flaw = "CAST(substring(LSOACode, 2) AS BIGINT) % 6"
     return {
         "area_price_stats": f"WITH {_level_stats('area')} SELECT * FROM stats",
         "area_price_trends": f"WITH {level_trends('area')} SELECT * FROM trends",
@@ -394,12 +396,14 @@ def oracle_sql() -> dict[str, str]:
             latest AS (SELECT postcode_district, property_type, roll_median_pct_5_year AS "5YearAvg%PriceInc"
                 FROM kept WHERE year = {LATEST})
             SELECT * EXCLUDE (coef_var, iqr, median_mean_diff, median_mean_diff_pct, iqr_pct, lag_median_price,
-                median_pct_change_1_year, roll_median_pct_2_year, is_good_sample)
+                median_pct_change_1_year, roll_median_pct_2_year, is_good_sample),
+                CAST(row_number() OVER (ORDER BY "5YearAvg%PriceInc" DESC NULLS LAST, postcode_district, property_type, year DESC)
+                    AS BIGINT) AS position
             FROM kept JOIN latest USING (postcode_district, property_type)""",
         "type_counts_latest": _type_counts(f"year = {LATEST}"),
         "type_counts_all_years": _type_counts("true"),
         "type_counts_selected": _type_counts(f"postcode_district IN {_SELECTED_TRENDS}"),
-        "socio_renamed": f"SELECT {FACTS} FROM customer",
+        "socio_renamed": FACTS,
         "socio_polygons": f"""WITH {ZONES} SELECT * EXCLUDE (x0, y0, x1, y1), x0 AS min_x, y0 AS min_y, x1 AS max_x,
             y1 AS max_y, 27700 AS srid, (x1 - x0) * (y1 - y0) AS area FROM zones""",
         "socio_unmatched": """SELECT count(*) FILTER (WHERE c_custkey % 40 <> 0) AS matched,
@@ -413,7 +417,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'district' AS layer, PostDist AS code, 10000.0::DOUBLE / 1000000 AS area_km2 FROM districts
             UNION ALL SELECT 'shaped', PostDist, CASE n_nationkey % 3 WHEN 0 THEN 9600.0::DOUBLE WHEN 1 THEN 9200.0::DOUBLE
                 ELSE 9000.0::DOUBLE END / 1000000 FROM (SELECT n_nationkey, {fx.select_list(fx.DISTRICT_BOXES)} FROM nation)
-            UNION ALL SELECT 'zone', CAST(LSOACode AS VARCHAR), (x1 - x0) * (y1 - y0) / 1000000 FROM zones""",
+            UNION ALL SELECT 'zone', LSOACode, (x1 - x0) * (y1 - y0) / 1000000 FROM zones""",
         "district_socio": f"WITH {ZONES}, {DISTRICTS}, {PAIRS}, {_socio()} SELECT * FROM socio",
         "district_trends_with_socio": f"{marts} SELECT * FROM joined",
         "mart_london_all": f"{marts} SELECT * FROM london",

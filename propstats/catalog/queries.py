@@ -204,21 +204,20 @@ def type_counts_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def socio_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    headers = {short: published for published, short in names.indicator_names().items()}
-    published = fx.zone_facts(spark, sf_dir).withColumnsRenamed(headers)
-    return names.rename_indicators(published)
+    published = fx.zone_facts(spark, sf_dir).withColumnsRenamed(fx.PUBLISHED_HEADERS)
+    return socio.clean_indicators(names.rename_indicators(published))
 
 
 def socio_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = socio.with_indicators(
-        fx.zone_polygons(spark, sf_dir).withColumnRenamed("LSOACode", "LSOA11CD"), fx.zone_facts(spark, sf_dir), "LSOA11CD"
+        fx.zone_polygons(spark, sf_dir).withColumnRenamed("LSOACode", "LSOA11CD"), socio.clean_indicators(fx.zone_facts(spark, sf_dir)), "LSOA11CD"
     )
     return joined.withColumn("area", geo.area("geometry")).drop("geometry", "LSOA11CD")
 
 
 def socio_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     recoded = fx.zone_polygons(spark, sf_dir).withColumn(
-        "LSOA11CD", F.when(F.col("LSOACode") % 40 == 0, -F.col("LSOACode") - 1).otherwise(F.col("LSOACode"))
+        "LSOA11CD", F.when(F.expr(fx.ZONE_NUMBER) % 40 == 0, F.concat(F.lit("X"), "LSOACode")).otherwise(F.col("LSOACode"))
     )
     return socio.unmatched_codes(recoded, fx.zone_facts(spark, sf_dir), "LSOA11CD")
 
@@ -245,7 +244,7 @@ def district_area(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("shaped").alias("layer"), F.col("PostDist").alias("code"), "geometry"
         ),
         fx.zone_polygons(spark, sf_dir).select(
-            F.lit("zone").alias("layer"), F.col("LSOACode").cast("string").alias("code"), "geometry"
+            F.lit("zone").alias("layer"), F.col("LSOACode").alias("code"), "geometry"
         ),
     ]
     layer = layers[0].unionByName(layers[1]).unionByName(layers[2])
@@ -354,7 +353,7 @@ def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "geojson")
     zones = fx.zones(spark, sf_dir).select("LSOACode", "LADName", "OverallScore", "geometry")
     polygons.write_geojson_lines(zones, path, ["LSOACode", "LADName", "OverallScore"])
-    layer = polygons.read_geojson_lines(spark, path, "LSOACode bigint, LADName string, OverallScore double", 27700)
+    layer = polygons.read_geojson_lines(spark, path, "LSOACode string, LADName string, OverallScore double", 27700)
     return layer.withColumn("area", geo.area("geometry")).withColumn("num_points", geo.num_points("geometry")).drop(
         "geometry"
     )

@@ -161,8 +161,8 @@ def _edge_inside(edge: str, others: str, tolerance: float) -> str:
 
 def _part_within(inner: str, outer: str, tolerance: float) -> str:
     boxed = (
-        f"{inner}.box.min_x >= {outer}.box.min_x AND {inner}.box.min_y >= {outer}.box.min_y "
-        f"AND {inner}.box.max_x <= {outer}.box.max_x AND {inner}.box.max_y <= {outer}.box.max_y"
+        f"{inner}.box.min_x >= {outer}.box.min_x - {tolerance!r}D AND {inner}.box.min_y >= {outer}.box.min_y - {tolerance!r}D "
+        f"AND {inner}.box.max_x <= {outer}.box.max_x + {tolerance!r}D AND {inner}.box.max_y <= {outer}.box.max_y + {tolerance!r}D"
     )
     # With the whole boundary inside, only a hole of the outer part can be missing from it, and
     # such a hole lies inside as a whole; one of its points tells.

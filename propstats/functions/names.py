@@ -22,7 +22,7 @@ _INDICES = [
     ("IncomeDeprChildren", "Income Deprivation Affecting Children Index (IDACI)", "Score (rate)", _RANK, _DECILE),
     ("IncomeDeprOlder", "Income Deprivation Affecting Older People (IDAOPI)", "Score (rate)", _RANK, _DECILE),
     # The published file cuts this decile header short.
-    ("Services4Young", "Children and Young People Sub-domain", "Score", _RANK, _DECILE[:-3]),
+    ("Services4Young", "Children and Young People Sub-domain", "Score", _RANK, "Decile (where 1 is most deprived 10% of LSO"),
     ("AdultSkills", "Adult Skills Sub-domain", "Score", _RANK, _DECILE),
     ("GeographicalBarriers", "Geographical Barriers Sub-domain", "Score", _RANK, _DECILE),
     ("WiderBarriers", "Wider Barriers Sub-domain", "Score", _RANK, _DECILE),

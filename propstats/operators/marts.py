@@ -14,7 +14,7 @@ from propstats.schema import DISPERSION_COLUMNS, INDICATORS, STATISTIC_COLUMNS,
 
 # Columns of the geometry mart and of the series mart.
 GEOMETRY_COLUMNS = [
-    "PostDist", "geometry", "AreaName", "CountLowLevelAreas", "AreaKm2",
+    "PostDist", "geometry", "srid", "AreaName", "CountLowLevelAreas", "AreaKm2",
     "TotalPopulation", "DependentChildren", "Population60Plus", "WorkingAgePopulation",
     "DependentChildren%", "Population60Plus%", "WorkingAgePopulation%", "PopulationDensity",
     *[f"{name}{kind}" for name in INDICATORS for kind in ("Avg", "RankAvg")],
@@ -23,6 +23,7 @@ SERIES_COLUMNS = [
     "postcode_area", "postcode_district", "PostDist", ZONE, "property_type", "year",
     *STATISTIC_COLUMNS, *DISPERSION_COLUMNS, *TREND_COLUMNS, "is_good_sample",
 ]
+# Columns of the price chart, and those that later tables leave out.
 PRICE_GRAPH_COLUMNS = ["postcode_district", "year", "avg_price", "median_price", "num_transactions"]
 SPREAD_COLUMNS = [f"{name}{kind}" for name in INDICATORS for kind in ("Median", "Min", "Max")]
 UNUSED_COLUMNS = [
@@ -118,8 +119,17 @@ def with_latest_metric(
 
 
 def hotspots(df: DataFrame, year: int) -> DataFrame:
-    """Rows ordered by the latest five-year growth, then district, then year backwards."""
-    ranked = with_latest_metric(df, year).orderBy(
-        F.desc(LATEST_METRIC), F.asc("postcode_district"), F.desc("year")
-    )
-    return ranked.drop(*UNUSED_COLUMNS)
+    """Rows with their position by the latest five-year growth, then district, type, and year backwards.
+
+    Only one row per district and type is ranked; a row's position is the rows of the keys before its
+    own, and its place among its key's years.
+    """
+    keys = ["postcode_district", "property_type"]
+    rows = with_latest_metric(df, year)
+    key_rows = rows.groupBy(*keys, LATEST_METRIC).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.orderBy(F.desc_nulls_last(LATEST_METRIC), *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = key_rows.select(*keys, (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("year")))
+    ranked = rows.withColumn("_place", place).join(before, keys)
+    ranked = ranked.withColumn("position", F.col("_before") + F.col("_place")).orderBy("position")
+    return ranked.drop("_before", "_place", *UNUSED_COLUMNS)

@@ -47,24 +47,50 @@ def frequency(df: DataFrame, column: str = "property_type", top: int = 10) -> Da
     return ordered.withColumn("position", position)
 
 
-def exact_median(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
-    """The interpolated median per group, from a histogram so that equal values travel once."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.groupBy(*keys).agg(F.percentile(column, F.lit(0.5), F.col("_n")).alias(f"median_{column}"))
+# Width of the buckets in which a median is first looked for. An INT price has at most 65,536 of them,
+# and a bucket as many distinct prices.
+MEDIAN_BUCKET = 65_536
 
 
 def ranges(df: DataFrame) -> DataFrame:
-    """One row: first and last date, lowest and highest price, median price."""
-    by_price = df.groupBy("price").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("date_transfer").alias("_first"), F.max("date_transfer").alias("_last")
+    """One row: first and last date, lowest and highest price, median price.
+
+    The median is exact. Sales are counted per price and per bucket of prices; a running count over
+    the buckets tells which one or two hold the middle, and another over the prices inside those
+    finds it. Neither sees more rows than a bucket has prices, however many sales there are.
+    """
+    by_price = (
+        df.groupBy("price")
+        .agg(F.count("price").alias("_n"), F.min("date_transfer").alias("_first"), F.max("date_transfer").alias("_last"))
+        .withColumn("_bucket", F.floor(F.col("price") / MEDIAN_BUCKET))
+    )
+    buckets = by_price.groupBy("_bucket").agg(
+        F.sum("_n").alias("_in_bucket"),
+        F.min("price").alias("_low"),
+        F.max("price").alias("_high"),
+        F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"),
     )
-    return by_price.agg(
-        F.min("_first").alias("min_date"),
-        F.max("_last").alias("max_date"),
-        F.min("price").alias("min_price"),
-        F.max("price").alias("max_price"),
-        F.percentile("price", F.lit(0.5), F.col("_n")).alias("median_price"),
+    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = buckets.withColumns(
+        {"_upto": F.sum("_in_bucket").over(running), "_all": F.sum("_in_bucket").over(everything)}
+    ).withColumn("_before", F.col("_upto") - F.col("_in_bucket"))
+    # Ranks of the middle two, from 1; of an odd count twice the same.
+    lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    middle = placed.where((F.col("_before") < upper) & (F.col("_upto") >= lower)).select("_bucket", "_before", "_all")
+    in_bucket = Window.partitionBy("_bucket").orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = by_price.join(middle, "_bucket").withColumn("_rank", F.col("_before") + F.sum("_n").over(in_bucket))
+    median = ranked.agg(
+        (
+            (F.min(F.when(F.col("_rank") >= lower, F.col("price"))) + F.min(F.when(F.col("_rank") >= upper, F.col("price")).cast("double"))) / 2
+        ).alias("median_price")
     )
+    kept = {"min_date": F.min("_first"), "max_date": F.max("_last"), "min_price": F.min("_low"), "max_price": F.max("_high")}
+    overall = buckets.agg(*[measure.alias(name) for name, measure in kept.items()])
+    # Two results of one row each, put into one.
+    both = overall.unionByName(median, allowMissingColumns=True)
+    return both.agg(*[F.max(name).alias(name) for name in [*kept, "median_price"]])
 
 
 def year_counts(df: DataFrame) -> DataFrame:

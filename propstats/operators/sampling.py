@@ -15,11 +15,16 @@ def hash_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
 def class_samples(df: DataFrame, label: str, key: str, fraction: float = 0.01, cap: int = 100) -> DataFrame:
     """A sample of every class, at most ``cap`` rows each (the lowest hashes).
 
-    The rank filter is applied by every task before the shuffle, so a hot class never gathers.
+    Rows are ranked within one of 256 hash buckets of their class first, so a hot class spreads over that
+    many groups whatever the cap; only the best ``cap`` of each bucket meet in the second ranking.
     """
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key)), F.col(key))
-    sampled = hash_sample(df, key, fraction)
-    return sampled.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= cap).drop("_rank")
+    order = [F.md5(F.col(key)), F.col(key)]
+    # The last digits: the sample itself is cut by the first ones.
+    sampled = hash_sample(df, key, fraction).withColumn("_bucket", F.substring(F.md5(F.col(key)), 31, 2))
+    for keys in ([label, "_bucket"], [label]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        sampled = sampled.withColumn("_rank", rank).where(F.col("_rank") <= cap)
+    return sampled.drop("_rank", "_bucket")
 
 
 def random_sample(df: DataFrame, fraction: float, cap: int, seed: int | None = None) -> DataFrame:

@@ -9,13 +9,14 @@ from propstats.functions import geometry as geo
 from propstats.functions.labels import guarded_percent, guarded_ratio, nan_to_null, round_half_up
 from propstats.operators.spatial import within_join
 from propstats.schema import INDICATORS, POPULATION_COLUMNS
+from propstats.sources.tables import stored
 
 RANKS = [f"{name}Rank" for name in INDICATORS]
 
 
 def clean_indicators(facts: DataFrame) -> DataFrame:
     """Turn NaN into null, which every aggregate then skips."""
-    doubles = [name for name, kind in facts.dtypes if kind == "double"]
+    doubles = [name for name, kind in facts.dtypes if kind in ("double", "float")]
     return facts.withColumns({name: nan_to_null(name) for name in doubles})
 
 
@@ -52,33 +53,26 @@ def district_layer(districts: DataFrame) -> DataFrame:
 def roll_up(placed: DataFrame, districts: DataFrame) -> DataFrame:
     """One row per district with small areas: counts, population, shares, density, indicator statistics.
 
-    Medians need all values of a district, and a district may hold a third of all areas. So the
-    scores are first counted per (district, indicator, score) with map-side combining, together
-    with entries under no indicator, which carry the other measures. The median is
-    read off the running count of a district's distinct scores, indicator by indicator. The area
-    name is that of the lowest code; names are a grouping key there and not an aggregate, as text
-    in an aggregate buffer would turn hashing into sorting.
+    NaN counts as missing. Medians need all values of a district, and a district may hold a third of
+    all areas. So the scores are first counted per (district, indicator, score) with map-side combining,
+    and the median is read off the running count of a district's distinct scores, indicator by
+    indicator. Counts, sums and the area name (that of the lowest code) come from a grouping of their own.
+    ``placed`` is read twice: hand in a stored table.
     """
-    entries = "".join(f", '{name}', CAST({name}Score AS DOUBLE), CAST(NULL AS STRING)" for name in INDICATORS)
+    placed = clean_indicators(placed)
+    entries = ", ".join(f"'{name}', CAST({name}Score AS DOUBLE)" for name in INDICATORS)
     counted = (
-        placed.select(
-            "PostDist",
-            F.regexp_replace(F.col("LSOACode").cast("string"), "[^0-9]", "").try_cast("bigint").alias("_code"),
-            *POPULATION_COLUMNS,
-            *RANKS,
-            F.expr(
-                f"stack({len(INDICATORS) + 1}, '', CAST(NULL AS DOUBLE), LADName{entries}) "
-                "AS (_indicator, _score, _name)"
-            ),
-        )
-        .where((F.col("_indicator") == "") | F.col("_score").isNotNull())
-        .groupBy("PostDist", "_indicator", "_score", "_name")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("_code").alias("_code"),
-            *[F.sum(c).alias(c) for c in POPULATION_COLUMNS + RANKS],
-            *[F.count(c).alias(f"_n_{c}") for c in RANKS],
-        )
+        placed.select("PostDist", F.expr(f"stack({len(INDICATORS)}, {entries}) AS (_indicator, _score)"))
+        .where(F.col("_score").isNotNull())
+        .groupBy("PostDist", "_indicator", "_score")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    code = F.col("LSOACode").cast("string")
+    measures = placed.groupBy("PostDist").agg(
+        F.min(F.struct(code.alias("code"), F.col("LADName").alias("name")))["name"].alias("AreaName"),
+        F.count(F.lit(1)).alias("CountLowLevelAreas"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in POPULATION_COLUMNS],
+        *[round_half_up(F.try_divide(F.sum(c), F.count(c))).alias(f"{c}Avg") for c in RANKS],
     )
 
     by_score = Window.partitionBy("PostDist", "_indicator").orderBy("_score")
@@ -93,9 +87,6 @@ def roll_up(placed: DataFrame, districts: DataFrame) -> DataFrame:
     # The middle two values of an even count; of an odd one, twice the same.
     lower, upper = F.col("_below") * 2 >= F.col("_all"), F.col("_below") * 2 > F.col("_all")
 
-    def base(column: str) -> Column:
-        return F.sum(F.when(F.col("_indicator") == "", F.col(column)))
-
     scores: list[Column] = []
     for name in INDICATORS:
         score = F.when(F.col("_indicator") == name, F.col("_score"))
@@ -107,21 +98,17 @@ def roll_up(placed: DataFrame, districts: DataFrame) -> DataFrame:
             round_half_up((F.min(F.when(lower, score)) + F.min(F.when(upper, score))) / 2).alias(f"{name}Median"),
             round_half_up(F.min(score)).alias(f"{name}Min"),
             round_half_up(F.max(score)).alias(f"{name}Max"),
-            round_half_up(F.try_divide(base(f"{name}Rank"), base(f"_n_{name}Rank"))).alias(f"{name}RankAvg"),
         ]
-    rolled = ranked.groupBy("PostDist").agg(
-        F.min_by("_name", F.when(F.col("_indicator") == "", F.struct("_code", "_name"))).alias("AreaName"),
-        base("_n").alias("CountLowLevelAreas"),
-        *[F.coalesce(base(c), F.lit(0)).alias(c) for c in POPULATION_COLUMNS],
-        *scores,
-    )
+    rolled = measures.join(ranked.groupBy("PostDist").agg(*scores), "PostDist", "left")
     total = F.col("TotalPopulation")
     shares = [guarded_percent(F.col(m), total).alias(f"{m}%") for m in POPULATION_COLUMNS[1:]]
-    layer = districts.select("PostDist", "geometry", "AreaKm2")
+    reference = [c for c in ("srid",) if c in districts.columns]
+    layer = districts.select("PostDist", "geometry", "AreaKm2", *reference)
     statistics = [f"{name}{kind}" for name in INDICATORS for kind in ("Avg", "Median", "Min", "Max", "RankAvg")]
     return rolled.join(layer, "PostDist").select(
         "PostDist",
         "geometry",
+        *reference,
         "AreaName",
         "CountLowLevelAreas",
         "AreaKm2",
@@ -133,6 +120,8 @@ def roll_up(placed: DataFrame, districts: DataFrame) -> DataFrame:
 
 
 def district_socio(zones: DataFrame, districts: DataFrame) -> DataFrame:
-    """Place the small areas, then roll them up."""
+    """Place the small areas, store where they lie, then roll them up."""
     layer = district_layer(districts)
-    return roll_up(place_in_districts(zones, layer), layer)
+    columns = ["PostDist", "LSOACode", "LADName", *POPULATION_COLUMNS, *RANKS, *[f"{name}Score" for name in INDICATORS]]
+    placed = place_in_districts(zones, layer).select(*columns)
+    return roll_up(stored(placed, "placed"), layer)

@@ -76,6 +76,8 @@ def within_join(
     a cell, boxes are compared first; the exact test runs on what is left, and not at all for
     containers that are plain rectangles. ``how='left'`` keeps small areas that fit nowhere.
 
+    Layers that name their reference system must name the same one.
+
     One pass over the container layer measures its size. Small layers are broadcast, and the small
     areas are not shuffled, however many crowd one cell. Larger ones shuffle on (cell, salt): the
     small areas of a cell spread over the salts, the containers are copied to each, so a hot cell
@@ -86,6 +88,8 @@ def within_join(
     boxes = with_bounds(containers, geometry).withColumnsRenamed({name: f"_c_{name}" for name in _BOUNDS})
     side = F.greatest(F.col("_c_max_x") - F.col("_c_min_x"), F.col("_c_max_y") - F.col("_c_min_y"))
     weight = geo.num_points(geometry) * _EDGE_BYTES + _ROW_BYTES
+    if "srid" in small.columns and "srid" in containers.columns:
+        require_same_srid(small, containers)
     layer = boxes.agg(
         F.avg(side).alias("side"),
         F.coalesce(F.sum(weight), F.lit(0)).alias("b"),
@@ -97,7 +101,9 @@ def within_join(
     size = layer.bss / cell**2 + 4 * layer.bs / cell + 4 * layer.b
 
     def cells(low: str, high: str):
-        first, last = (F.floor(F.col(c) / cell).cast("bigint") for c in (low, high))
+        # As tolerant as the comparison of boxes below.
+        reach = ((low, -geo.TOLERANCE), (high, geo.TOLERANCE))
+        first, last = (F.floor((F.col(c) + by) / cell).cast("bigint") for c, by in reach)
         return F.sequence(first, last)
 
     keyed = (
@@ -117,10 +123,10 @@ def within_join(
     condition = (
         (F.col("_x") == F.col("_cx"))
         & (F.col("_y") == F.col("_cy"))
-        & (F.col("min_x") >= F.col("_c_min_x"))
-        & (F.col("min_y") >= F.col("_c_min_y"))
-        & (F.col("max_x") <= F.col("_c_max_x"))
-        & (F.col("max_y") <= F.col("_c_max_y"))
+        & (F.col("min_x") >= F.col("_c_min_x") - geo.TOLERANCE)
+        & (F.col("min_y") >= F.col("_c_min_y") - geo.TOLERANCE)
+        & (F.col("max_x") <= F.col("_c_max_x") + geo.TOLERANCE)
+        & (F.col("max_y") <= F.col("_c_max_y") + geo.TOLERANCE)
         & (F.col("_is_box") | geo.within(geometry, "_prepared_c"))
     )
     if size <= broadcast_bytes:

@@ -51,7 +51,12 @@ def ingest(
     retire_source: bool = False,
     probe_year: int | None = None,
 ) -> dict:
-    """Convert, verify, report; with ``retire_source`` delete the CSV, but only if all rows arrived."""
+    """Convert, verify, report; with ``retire_source`` delete the CSV, but only if all rows arrived.
+
+    Only a single file can be retired; a folder is refused before anything is converted.
+    """
+    if retire_source and not tables.is_file(spark, csv_path):
+        raise ValueError(f"only a single file can be retired: {csv_path}")
     silver = to_silver(spark, csv_path, silver_path)
     counts = {row.step: row.num_rows for row in reconciliation(spark, csv_path, silver_path).collect()}
     report = {**counts, **tables.verify_table(spark, silver_path, counts["parsed"], probe_year)}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -19,9 +22,6 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.parquet.compression.codec", "snappy")
         .getOrCreate()
     )
 
@@ -29,9 +29,20 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for an intermediate table.
 
-    Every executor must see it, so it lies under ``spark.checkpoint.dir`` where the cluster
-    names one. Only where that is unset (a local test) does it fall back to a local folder.
+    Every executor must see it, so it lies under ``spark.checkpoint.dir``. Only a local session may
+    leave that unset: its one process then uses a local folder, removed when the process ends.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared if shared else tempfile.mkdtemp(prefix="propstats-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder all executors share (master is {master!r})")
+        root = _local_root()
     return f"{root.rstrip('/')}/propstats/{name}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_root() -> str:
+    root = tempfile.mkdtemp(prefix="propstats-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from propstats.session import scratch_path
+
 
 def write_by_year(df: DataFrame, path: str, cluster: bool = True) -> None:
     """Overwrite ``path`` with Snappy Parquet in one directory per year.
@@ -27,6 +29,13 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to shared scratch and read it back, so that several readers compute it once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A headered CSV; types are inferred only where no schema is given."""
     reader = spark.read.option("header", True).option("enforceSchema", False)
@@ -54,6 +63,15 @@ def verify_table(spark: SparkSession, path: str, expected_rows: int, probe_year:
 
 def delete_source(spark: SparkSession, path: str) -> bool:
     """Delete one file (never a folder's contents) through the Hadoop file system of its scheme."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, False))
+    files, target = _file(spark, path)
+    return bool(files.delete(target, False))
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    files, target = _file(spark, path)
+    return bool(files.exists(target)) and not files.getFileStatus(target).isDirectory()
+
+
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target

@@ -34,7 +34,7 @@ def test_query_agrees_with_sql(spark, sf_dir, connection, name):
 def test_hotspots_come_sorted(spark, sf_dir):
     rows = catalog.hotspot_ranking(spark, sf_dir).collect()
     keys = [(-r[marts.LATEST_METRIC], r.postcode_district, -r.year) for r in rows]
-    assert keys == sorted(keys)
+    assert keys == sorted(keys) and [r.position for r in rows] == list(range(1, len(rows) + 1))
 
 
 def test_selections_read_only_what_they_need(spark, sf_dir):

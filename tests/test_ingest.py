@@ -1,8 +1,12 @@
 import datetime as dt
 import os
+import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
+from propstats import session
+from propstats.catalog import fixtures as fx
 from propstats.operators import qa, sampling
 from propstats.plans import ingest
 from propstats.sources import sales_csv, tables
@@ -79,10 +83,22 @@ def test_district_numbering_cases(spark):
     assert qa.district_numbering(middle).head().has_gap
 
 
-def test_median_interpolates(spark):
-    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("a", 9), ("b", 5), ("b", None)], "k string, price int")
-    rows = {r.k: r.median_price for r in qa.exact_median(df, "price", ["k"]).collect()}
-    assert rows == {"a": 2.0, "b": 5.0}
+@pytest.mark.parametrize(
+    "prices",
+    [[1, 2, 2, 9], [5, None], [None], [], [1, 70_000], [-70_000, -1, 3], [1, 65_535, 65_536, 200_000], [2**31 - 1, 2**31 - 2]],
+)
+def test_median_is_exact(spark, prices):
+    df = spark.createDataFrame([(p, dt.date(2000, 1, 1)) for p in prices], "price int, date_transfer date")
+    row = qa.ranges(df).head()
+    known = [p for p in prices if p is not None]
+    assert row.median_price == (statistics.median(known) if known else None)
+    assert (row.min_price, row.max_price) == (min(known, default=None), max(known, default=None))
+    assert row.min_date == (dt.date(2000, 1, 1) if prices else None)
+
+
+def test_median_gathers_no_prices_in_one_task(spark, sf_dir):
+    plan = qa.ranges(fx.sales(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "percentile" not in plan
 
 
 def test_key_difference(spark):
@@ -100,7 +116,11 @@ def test_samples_repeat_and_respect_the_cap(spark):
     assert sampled.exceptAll(again).count() == 0
     assert 100 < sampling.hash_sample(df, "id", 0.01).count() < 300
     assert sampling.random_sample(df, 0.5, 10, seed=1).count() == 10
-    assert "WindowGroupLimit" in sampled._jdf.queryExecution().executedPlan().toString()
+    # However large the cap, a class is ranked in buckets before it is ranked as a whole.
+    large = sampling.class_samples(df, "c", "id", fraction=0.2, cap=1500)
+    assert {r.c: r["count"] for r in large.groupBy("c").count().collect()}["hot"] == 1500
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number()") >= 2 and "_bucket" in plan
 
 
 def test_csv_export_and_import(spark, tmp_path):
@@ -109,3 +129,34 @@ def test_csv_export_and_import(spark, tmp_path):
     assert len([f for f in os.listdir(tmp_path / "csv") if f.endswith(".csv")]) == 1
     assert tables.read_csv(spark, str(tmp_path / "csv"), df.schema).exceptAll(df).count() == 0
     assert tables.read_csv(spark, str(tmp_path / "csv")).dtypes == [("k", "string"), ("n", "int")]
+
+
+def test_a_folder_is_not_retired(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    raw_file(tmp_path / "in")
+    with pytest.raises(ValueError, match="single file"):
+        ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "silver"), retire_source=True)
+    assert not (tmp_path / "silver").exists()
+    report = ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "silver"))
+    assert report["match"] and not report["source_deleted"]
+
+
+class Settings:
+    """A session's configuration, as far as scratch folders ask for it."""
+
+    def __init__(self, **values):
+        self.values = {k.replace("__", "."): v for k, v in values.items()}
+        self.conf = self
+
+    def get(self, name, default=None):
+        return self.values.get(name, default)
+
+
+def test_scratch_is_shared_wherever_executors_are_apart():
+    shared = Settings(spark__master="spark://host:7077", spark__checkpoint__dir="hdfs://x/y/")
+    assert session.scratch_path(shared, "t").startswith("hdfs://x/y/propstats/t-")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.scratch_path(Settings(spark__master=master), "t")
+    for master in ("local", "local[4]", "local[*]"):
+        assert os.path.isdir(session.scratch_path(Settings(spark__master=master), "t").split("/propstats/")[0])
