@@ -27,6 +27,8 @@ HEADLINE = [
     "type_counts_all_years",
     "spatial_within_inner",
     "spatial_within_shapes",
+    "spatial_within_detailed",
+    "geometry_validity",
     "district_socio",
     "district_trends_with_socio",
     "mart_rejoined",

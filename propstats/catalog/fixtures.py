@@ -190,6 +190,20 @@ def shaped_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _layer(_district_boxes(spark, sf_dir), shape).drop("n_nationkey")
 
 
+def detailed_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same squares with borders of about 2,000 points; the upper one is a saw whose teeth reach half a unit down."""
+    side = "transform(sequence(0, 332), i -> named_struct('x', {x}, 'y', {y}))"
+    sides = [
+        side.format(x="x0 + i * 0.3", y="y0"),
+        side.format(x="x1", y="y0 + i * 0.3"),
+        "transform(sequence(0, 1000), i -> named_struct('x', x1 - i * 0.1, 'y', y1 - i % 2 * 0.5))",
+        side.format(x="x0", y="y1 - i * 0.3"),
+        "array(named_struct('x', x0, 'y', y0))",
+    ]
+    points = f"transform(concat({', '.join(sides)}), p -> named_struct('x', CAST(p.x AS DOUBLE), 'y', CAST(p.y AS DOUBLE)))"
+    return _layer(_district_boxes(spark, sf_dir), F.array(F.array(F.expr(points)))).drop("n_nationkey")
+
+
 def zone_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in ZONE_BOXES.items()])
     return _layer(boxes, geo.box(*_corners()))
@@ -207,17 +221,38 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flawed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zone rings with, in turn: no flaw, no closing point, a repeated point, a crossing, no area, too few points."""
+    """Zones with, in turn: no flaw, no closing point, a repeated point, a crossing, no area, too few points,
+    a ring that touches itself, a spike, a good hole, a hole outside, a hole across the border, two overlapping parts,
+    and a hole within a hole.
+    """
     x0, y0, x1, y1 = _corners()
     good = geo.box_ring(x0, y0, x1, y1)
-    kind = F.expr(ZONE_NUMBER) % 6
+    kind = F.expr(ZONE_NUMBER) % 13
+    w, h = x1 - x0, y1 - y0
+
+    def inner(a: float, b: float) -> Column:
+        """A square hole from share a to share b of the sides, clockwise."""
+        return geo.ring((x0 + w * a, y0 + h * a), (x0 + w * a, y0 + h * b), (x0 + w * b, y0 + h * b), (x0 + w * b, y0 + h * a))
+
+    middle = (x0 + w / 2, y0 + h / 2)
+    eight = geo.ring((x0, y0), (x1, y0), middle, (x1, y1), (x0, y1), middle)
+    spike = geo.ring((x0, y0), (x1, y0), (x1, y1), (x1, y1 + h), (x1, y1), (x0, y1))
     shape = (
         F.when(kind == 0, good)
         .when(kind == 1, F.slice(good, 1, 4))
         .when(kind == 2, F.concat(F.slice(good, 1, 2), F.slice(good, 2, 4)))
         .when(kind == 3, geo.ring((x0, y0), (x1, y1), (x1, y0), (x0, y1)))
         .when(kind == 4, geo.ring((x0, y0), ((x0 + x1) / 2, y0), (x1, y0)))
-        .otherwise(geo.ring((x0, y0), (x1, y1)))
+        .when(kind == 5, geo.ring((x0, y0), (x1, y1)))
+        .when(kind == 6, eight)
+        .when(kind == 7, spike)
     )
+    holes = {8: [inner(0.25, 0.75)], 9: [inner(1.25, 1.75)], 10: [inner(0.5, 1.5)], 12: [inner(0.25, 0.75), inner(0.375, 0.625)]}
+    geometry = F.when(shape.isNotNull(), F.array(F.array(shape)))
+    for number, cut in holes.items():
+        geometry = geometry.when(kind == number, F.array(F.array(good, *cut)))
+    overlapping = geo.box_ring(x0 + w / 2, y0 + h / 2, x1 + w / 2, y1 + h / 2)
+    geometry = geometry.otherwise(F.array(F.array(good), F.array(overlapping)))
     boxes = _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in ZONE_BOXES.items()])
-    return _layer(boxes, F.array(F.array(shape)))
+    # Bounds come from the geometry: some flaws reach beyond the square.
+    return boxes.select("LSOACode", geometry.alias("geometry"), F.lit(27700).alias("srid"))

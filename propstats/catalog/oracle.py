@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from propstats.catalog import fixtures as fx
-from propstats.functions import postcode as pc
-from propstats.functions import projection
 from propstats.schema import COMMON_KEYS, INDICATORS, LEVELS, POPULATION_COLUMNS
 
 
@@ -12,16 +10,17 @@ def _names(columns: list[str]) -> str:
     return ", ".join(f'"{c}"' for c in columns)
 
 
-def _texts(values: list[str]) -> str:
-    return ", ".join(f"'{v}'" for v in values)
-
-
 SALES = f"sales AS (SELECT {fx.select_list(fx.SALES)} FROM lineitem)"
 
-ZONE_CASE = f"""CASE
-    WHEN postcode_area IN ({_texts(pc.CENTRAL_AREAS)}) OR postcode_district IN ({_texts(pc.CENTRAL_DISTRICTS)})
+# The classification lists, written out anew so that a slip in the engine's own lists shows.
+ZONE_CASE = """CASE
+    WHEN postcode_area IN ('EC', 'WC') OR postcode_district IN (
+        'W1', 'SW1', 'NW1', 'SE1', 'E1', 'N1', 'WC1', 'WC2', 'EC1', 'EC2', 'EC3', 'EC4',
+        'EC1A', 'EC1M', 'EC1N', 'EC1P', 'EC1R', 'EC1V', 'EC1Y', 'EC2A', 'EC2M', 'EC2N', 'EC2P', 'EC2R', 'EC2V', 'EC2Y',
+        'EC3A', 'EC3M', 'EC3N', 'EC3P', 'EC3R', 'EC3V', 'EC4A', 'EC4M', 'EC4N', 'EC4P', 'EC4R', 'EC4V', 'EC4Y', 'EC50')
         THEN 'Central London'
-    WHEN postcode_area IN ({_texts(pc.GREATER_AREAS)}) THEN 'Greater London'
+    WHEN postcode_area IN ('EC', 'WC', 'E', 'N', 'NW', 'SE', 'SW', 'W', 'BR', 'CR', 'DA', 'EN', 'HA',
+        'IG', 'KT', 'RM', 'SM', 'TW', 'UB', 'WD') THEN 'Greater London'
     ELSE 'Outside London' END"""
 
 # Sales with postcode parts, zone and year.
@@ -207,9 +206,27 @@ def _long(pairs: dict[str, str], first: str, second: str, tail: str) -> str:
     return " UNION ALL ".join(f"SELECT '{k}' AS {first}, {v} AS {second} {tail}" for k, v in pairs.items())
 
 
-def _reprojection() -> str:
+class _Projection:
+    """The published ellipsoids, National Grid series and datum shift, written out anew."""
+
+    AIRY_A, AIRY_B = 6377563.396, 6356256.909
+    AIRY_E2 = 1 - 6356256.909**2 / 6377563.396**2
+    SCALE = 0.9996012717
+    LAT0, LON0 = 0.8552113334772214, -0.03490658503988659
+    EAST0, NORTH0 = 400000.0, -100000.0
+    WGS_A = 6378137.0
+    WGS_E2 = 1 - 6356752.3141**2 / 6378137.0**2
+    SHIFT = (446.448, -125.157, 542.060)
+    SHIFT_SCALE = -20.4894e-6
+    TURN = (7.281901490265231e-07, 1.1974897923405538e-06, 4.082616008623402e-06)
+    N = (6377563.396 - 6356256.909) / (6377563.396 + 6356256.909)
+    ARC = (1 + N + 1.25 * N**2 + 1.25 * N**3, 3 * N + 3 * N**2 + 2.625 * N**3, 1.875 * N**2 + 1.875 * N**3, 35 / 24 * N**3)
+    ITERATIONS = 5
+
+
+def _reprojection(points: str = "SELECT LSOACode, x0 AS px, y0 AS py FROM zones", key: str = "LSOACode") -> str:
     """The published series step by step, one CTE per step."""
-    p = projection
+    p = _Projection
     arc = p.ARC
 
     def meridian(lat: str) -> str:
@@ -221,8 +238,8 @@ def _reprojection() -> str:
 
     af = repr(p.AIRY_A * p.SCALE)
     steps = [
-        f"""s0 AS (SELECT LSOACode, CAST(530000 + x0 * 100 AS DOUBLE) - {p.EAST0!r} AS e,
-            CAST(180000 + y0 * 100 AS DOUBLE) - {p.NORTH0!r} AS n FROM zones)""",
+        f"""s0 AS (SELECT {key}, CAST(530000 + px * 100 AS DOUBLE) - {p.EAST0!r} AS e,
+            CAST(180000 + py * 100 AS DOUBLE) - {p.NORTH0!r} AS n FROM ({points}))""",
         f"p0 AS (SELECT *, n / {af} + {p.LAT0!r} AS lat FROM s0)",
     ]
     for i in range(1, p.ITERATIONS + 1):
@@ -231,7 +248,8 @@ def _reprojection() -> str:
     steps += [
         f"q1 AS (SELECT *, tan(lat) AS t, 1 / cos(lat) AS sec, 1 - {p.AIRY_E2!r} * sin(lat) * sin(lat) AS w FROM {last})",
         f"q2 AS (SELECT *, {af} / sqrt(w) AS nu, {p.AIRY_A * p.SCALE * (1 - p.AIRY_E2)!r} / (w * sqrt(w)) AS rho FROM q1)",
-        """q3 AS (SELECT LSOACode,
+        f"q3 AS (SELECT {key}, "
+        + """
             lat - t / (2 * rho * nu) * e**2 + t / (24 * rho * nu**3) * (5 + 3 * t**2 + (nu / rho - 1) - 9 * t**2 * (nu / rho - 1)) * e**4
                 - t / (720 * rho * nu**5) * (61 + 90 * t**2 + 45 * t**4) * e**6 AS lat,
             """
@@ -239,9 +257,9 @@ def _reprojection() -> str:
                 + sec / (120 * nu**5) * (5 + 28 * t**2 + 24 * t**4) * e**5
                 - sec / (5040 * nu**7) * (61 + 662 * t**2 + 1320 * t**4 + 720 * t**6) * e**7 AS lon FROM q2)""",
         f"q4 AS (SELECT *, {p.AIRY_A!r} / sqrt(1 - {p.AIRY_E2!r} * sin(lat)**2) AS v FROM q3)",
-        f"""q5 AS (SELECT LSOACode, v * cos(lat) * cos(lon) AS x, v * cos(lat) * sin(lon) AS y,
+        f"""q5 AS (SELECT {key}, v * cos(lat) * cos(lon) AS x, v * cos(lat) * sin(lon) AS y,
             v * {1 - p.AIRY_E2!r} * sin(lat) AS z FROM q4)""",
-        f"""q6 AS (SELECT LSOACode,
+        f"""q6 AS (SELECT {key},
             {p.SHIFT[0]!r} + {1 + p.SHIFT_SCALE!r} * x - {p.TURN[2]!r} * y + {p.TURN[1]!r} * z AS x,
             {p.SHIFT[1]!r} + {p.TURN[2]!r} * x + {1 + p.SHIFT_SCALE!r} * y - {p.TURN[0]!r} * z AS y,
             {p.SHIFT[2]!r} - {p.TURN[1]!r} * x + {p.TURN[0]!r} * y + {1 + p.SHIFT_SCALE!r} * z AS z FROM q5)""",
@@ -252,7 +270,7 @@ def _reprojection() -> str:
             f"""r{i} AS (SELECT * EXCLUDE (lat), atan2(z + {p.WGS_E2 * p.WGS_A!r} * sin(lat)
                 / sqrt(1 - {p.WGS_E2!r} * sin(lat)**2), r) AS lat FROM r{i - 1})"""
         )
-    return f"""WITH {ZONES}, {', '.join(steps)} SELECT LSOACode, round(degrees(atan2(y, x)), 7) AS lon,
+    return f"""WITH {ZONES}, {', '.join(steps)} SELECT {key}, round(degrees(atan2(y, x)), 7) AS lon,
         round(degrees(lat), 7) AS lat FROM r{p.ITERATIONS}"""
 
 
@@ -319,10 +337,13 @@ def oracle_sql() -> dict[str, str]:
     marts = _marts()
     series = ", ".join(f'f."{c}" AS "{_pascal(c)}"' for c in _SERIES_MART if c != "PostDist")
     static = ", ".join(f's."{c}" AS "{_pascal(c)}"' for c in _STATIC if c != "PostDist")
-    inner_outer = f"""CASE WHEN postcode_area IN ({_texts(pc.INNER_AREAS)}) THEN 'Inner London'
-        WHEN postcode_area IN ({_texts(pc.OUTER_AREAS)}) THEN 'Outer London' ELSE 'Outside London' END"""
+    inner_outer = """CASE WHEN postcode_area IN ('EC', 'WC', 'N', 'NW', 'E', 'SE', 'SW', 'W') THEN 'Inner London'
+        WHEN postcode_area IN ('HA', 'UB', 'EN', 'KT', 'TW', 'BR', 'RM') THEN 'Outer London' ELSE 'Outside London' END"""
     sales_raw = f"""SELECT l_orderkey, l_linenumber, {fx.select_list(fx.SALES)} FROM lineitem"""
-    flaw = "CAST(substring(LSOACode, 2) AS BIGINT) % 6"
+    flaw = "CAST(substring(LSOACode, 2) AS BIGINT) % 13"
+    flaws = """WHEN 3 THEN 'Self-intersection' WHEN 4 THEN 'Zero area' WHEN 5 THEN 'Too few points' WHEN 6 THEN 'Self-intersection'
+        WHEN 7 THEN 'Self-intersection' WHEN 9 THEN 'Hole lies outside shell' WHEN 10 THEN 'Rings cross'
+        WHEN 11 THEN 'Overlapping parts' WHEN 12 THEN 'Nested holes' ELSE 'Valid'"""
     return {
         "area_price_stats": f"WITH {_level_stats('area')} SELECT * FROM stats",
         "area_price_trends": f"WITH {level_trends('area')} SELECT * FROM trends",
@@ -413,6 +434,8 @@ def oracle_sql() -> dict[str, str]:
         "spatial_within_left": f"""WITH {ZONES}, {DISTRICTS}
             SELECT LSOACode, PostDist FROM zones z LEFT JOIN districts d ON {INSIDE}""",
         "spatial_within_shapes": _shapes(),
+        "spatial_within_detailed": f"""WITH {ZONES}, {DISTRICTS}
+            SELECT LSOACode, PostDist FROM zones z JOIN districts d ON {INSIDE} AND z.y1 <= d.y1 - 0.5""",
         "district_area": f"""WITH {ZONES}, {DISTRICTS}
             SELECT 'district' AS layer, PostDist AS code, 10000.0::DOUBLE / 1000000 AS area_km2 FROM districts
             UNION ALL SELECT 'shaped', PostDist, CASE n_nationkey % 3 WHEN 0 THEN 9600.0::DOUBLE WHEN 1 THEN 9200.0::DOUBLE
@@ -453,11 +476,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT *, CAST(row_number() OVER (PARTITION BY option ORDER BY value) AS INTEGER) AS position FROM o""",
         "geojson_features": f"""WITH {ZONES} SELECT LSOACode, LADName, OverallScore, x0 AS min_x, y0 AS min_y,
             x1 AS max_x, y1 AS max_y, 27700 AS srid, (x1 - x0) * (y1 - y0) AS area, 5 AS num_points FROM zones""",
-        "geometry_validity": f"""WITH {ZONES} SELECT LSOACode, CASE {flaw} WHEN 0 THEN 'Valid' WHEN 1 THEN 'Ring not closed'
-            WHEN 2 THEN 'Repeated point' WHEN 3 THEN 'Self-intersection' WHEN 4 THEN 'Zero area'
-            ELSE 'Too few points' END AS reason FROM zones""",
-        "geometry_repaired": f"""WITH {ZONES} SELECT LSOACode, CASE {flaw} WHEN 3 THEN 'Self-intersection'
-            WHEN 4 THEN 'Zero area' WHEN 5 THEN 'Too few points' ELSE 'Valid' END AS reason,
-            CASE WHEN {flaw} < 3 THEN (x1 - x0) * (y1 - y0) ELSE 0.0::DOUBLE END AS area FROM zones""",
+        "geometry_validity": f"""WITH {ZONES} SELECT LSOACode, CASE {flaw} WHEN 1 THEN 'Ring not closed' {flaws} END AS reason,
+            CAST(CASE {flaw} WHEN 2 THEN 1 ELSE 0 END AS INTEGER) AS repeated_points FROM zones""",
+        "geometry_repaired": f"""WITH {ZONES} SELECT LSOACode, CASE {flaw} {flaws} END AS reason, CAST(0 AS INTEGER) AS repeated_points,
+            (x1 - x0) * (y1 - y0) * CASE {flaw} WHEN 3 THEN 0.0::DOUBLE WHEN 4 THEN 0.0::DOUBLE WHEN 5 THEN 0.0::DOUBLE
+                WHEN 6 THEN 0.5::DOUBLE WHEN 8 THEN 0.75::DOUBLE WHEN 9 THEN 0.75::DOUBLE WHEN 10 THEN 0.0::DOUBLE
+                WHEN 11 THEN 2.0::DOUBLE WHEN 12 THEN 0.6875::DOUBLE ELSE 1.0::DOUBLE END AS area FROM zones""",
+        "small_area_load": f"""WITH {ZONES} SELECT * EXCLUDE (x0, y0, x1, y1), x0 AS min_x, y0 AS min_y, x1 AS max_x,
+            y1 AS max_y, 27700 AS srid, (x1 - x0) * (y1 - y0) AS area FROM zones""",
+        "polygon_quarantine": f"""WITH {ZONES} SELECT LSOACode, CASE {flaw} {flaws} END AS reason, CAST(CASE {flaw} WHEN 3 THEN 5 WHEN 4 THEN 4
+            WHEN 5 THEN 3 WHEN 6 THEN 7 WHEN 7 THEN 7 WHEN 12 THEN 15 ELSE 10 END AS INTEGER) AS num_points
+            FROM zones WHERE {flaw} IN (3, 4, 5, 6, 7, 9, 10, 11, 12)""",
+        "reproject_layer": _reprojection(
+            """SELECT LSOACode, 4326 AS srid, CAST(i AS INTEGER) AS place, CASE WHEN i IN (1, 2) THEN x1 ELSE x0 END AS px,
+                CASE WHEN i IN (2, 3) THEN y1 ELSE y0 END AS py FROM zones, range(5) AS r(i)""",
+            "LSOACode, srid, place",
+        ),
         "reproject_points": _reprojection(),
     }

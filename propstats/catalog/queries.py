@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from propstats.catalog import fixtures as fx
 from propstats.functions import geometry as geo
 from propstats.functions import names, postcode, projection
-from propstats.operators import explore, marts, price_stats, qa, quality, sampling, socio, spatial
-from propstats.operators.geography import with_geography, with_year
-from propstats.plans import gold, ingest
+from propstats.operators import explore, marts, price_stats, qa, quality, sampling, socio, spatial, validity
+from propstats.operators.geography import counts_by_place, with_geography, with_year
+from propstats.plans import areas, gold, ingest
 from propstats.schema import ZONE, level_keys
 from propstats.session import scratch_path
 from propstats.sources import polygons, tables
@@ -48,7 +48,7 @@ def postcode_parts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zone_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_geography(fx.sales(spark, sf_dir)).groupBy(ZONE).agg(F.count(F.lit(1)).alias("num_transactions"))
+    return counts_by_place(fx.sales(spark, sf_dir), [ZONE])
 
 
 def zone_counts_inner_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,8 +183,7 @@ def _district_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _district_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales per district, type and year: all that counting needs of the district table."""
-    placed = with_geography(fx.sales(spark, sf_dir))
-    return placed.groupBy(*level_keys("district")).agg(F.count(F.lit(1)).alias("num_transactions"))
+    return counts_by_place(fx.sales(spark, sf_dir), level_keys("district"))
 
 
 def type_counts_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,6 +236,11 @@ def spatial_within_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return socio.place_in_districts(zones, districts).select("LSOACode", "PostDist")
 
 
+def spatial_within_detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones, districts = fx.zone_polygons(spark, sf_dir), tables.stored(fx.detailed_districts(spark, sf_dir), "detailed")
+    return socio.place_in_districts(zones, districts).select("LSOACode", "PostDist")
+
+
 def district_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = [
         fx.districts(spark, sf_dir).select(F.lit("district").alias("layer"), F.col("PostDist").alias("code"), "geometry"),
@@ -285,7 +289,7 @@ def zones_in_london(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mart_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indicators = _socio(spark, sf_dir)
+    indicators = tables.stored(_socio(spark, sf_dir), "socio")
     mart = marts.geometry_mart(indicators, _london_flats(spark, sf_dir, indicators))
     return mart.withColumn("num_points", geo.num_points("geometry")).drop("geometry")
 
@@ -295,8 +299,8 @@ def mart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mart_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indicators = _socio(spark, sf_dir)
-    series = marts.series_mart(_london_flats(spark, sf_dir, indicators))
+    indicators = tables.stored(_socio(spark, sf_dir), "socio")
+    series = tables.stored(marts.series_mart(_london_flats(spark, sf_dir, indicators)), "series")
     return marts.rejoin(series, marts.geometry_mart(indicators, series)).drop("geometry")
 
 
@@ -360,12 +364,38 @@ def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geometry_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.flawed_zones(spark, sf_dir).select("LSOACode", geo.validity_reason("geometry").alias("reason"))
+    return validity.report(tables.stored(fx.flawed_zones(spark, sf_dir), "flawed"), "LSOACode")
 
 
 def geometry_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mended = fx.flawed_zones(spark, sf_dir).withColumn("geometry", geo.repair("geometry"))
-    return mended.select("LSOACode", geo.validity_reason("geometry").alias("reason"), geo.area("geometry").alias("area"))
+    mended = tables.stored(validity.repaired(fx.flawed_zones(spark, sf_dir)), "mended")
+    areas = mended.select("LSOACode", geo.area("geometry").alias("area"))
+    return validity.report(mended, "LSOACode").join(areas, "LSOACode")
+
+
+def small_area_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "indicators")
+    tables.write_csv(fx.zone_facts(spark, sf_dir).withColumnsRenamed(fx.PUBLISHED_HEADERS), path)
+    polygons_only = fx.zone_polygons(spark, sf_dir).withColumnRenamed("LSOACode", "LSOA11CD").drop("srid")
+    joined, _ = areas.load_small_areas(spark, path, polygons_only, "LSOA11CD")
+    return joined.withColumn("area", geo.area("geometry")).drop("geometry", "LSOA11CD")
+
+
+def polygon_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays invalid after repair, with its reason."""
+    mended = tables.stored(validity.repaired(fx.flawed_zones(spark, sf_dir)), "mended")
+    _, bad = validity.split(mended, validity.report(mended, "LSOACode"), "LSOACode")
+    return bad.select("LSOACode", "reason", geo.num_points("geometry").alias("num_points"))
+
+
+def reproject_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point of every zone in degrees, with its place in the ring."""
+    # The zones' squares, moved to where the grid has land.
+    moved = F.transform("geometry", lambda part: F.transform(part, lambda ring: F.transform(
+        ring, lambda p: geo.point(F.lit(530000) + p["x"] * 100, F.lit(180000) + p["y"] * 100))))
+    layer = areas.in_degrees(fx.zone_polygons(spark, sf_dir).withColumn("geometry", moved))
+    points = layer.select("LSOACode", "srid", F.posexplode(F.flatten(F.flatten("geometry"))).alias("place", "p"))
+    return points.select("LSOACode", "srid", "place", F.round("p.x", 7).alias("lon"), F.round("p.y", 7).alias("lat"))
 
 
 def reproject_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,6 +440,7 @@ def queries() -> dict[str, Query]:
         spatial_within_inner,
         spatial_within_left,
         spatial_within_shapes,
+        spatial_within_detailed,
         district_area,
         district_socio,
         district_trends_with_socio,
@@ -429,6 +460,9 @@ def queries() -> dict[str, Query]:
         geojson_features,
         geometry_validity,
         geometry_repaired,
+        small_area_load,
+        polygon_quarantine,
+        reproject_layer,
         reproject_points,
     ]
     return {query.__name__: query for query in listed}

@@ -7,9 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from propstats.functions import names
 from propstats.functions.labels import year_start
 from propstats.operators.quality import drop_low_volume
 from propstats.schema import ZONE
+from propstats.sources.tables import stored
 
 
 def select_zone_districts(df: DataFrame, zones: Sequence[str], threshold: int, since_year: int) -> DataFrame:
@@ -42,7 +44,13 @@ def value_domain(df: DataFrame, variable: str) -> DataFrame:
 
 
 def color_scale(df: DataFrame, variable: str, keys: Sequence[str] = ("PostDist",)) -> DataFrame:
-    """Each row's value and its place between the smallest (0) and the largest (1)."""
+    """Each row's value and its place between the smallest (0) and the largest (1).
+
+    The rows are stored once: the value domain is read from them and not computed a second time.
+    """
+    if variable not in names.numeric_columns(df):
+        raise ValueError(f"no numeric column: {variable}")
+    df = stored(df.select(*keys, variable), "scale")
     domain = value_domain(df, variable)
     low, high = domain.select("low").scalar(), domain.select("high").scalar()
     return df.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,16 @@ def with_year(df: DataFrame) -> DataFrame:
     return df if "year" in df.columns else df.withColumn("year", F.year("date_transfer"))
 
 
+def counts_by_place(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sales counted per ``keys`` (of the columns that ``with_geography`` adds, and the sales' own).
+
+    Sales are counted per raw postcode first: there are far fewer postcodes than sales, and each is parsed once.
+    """
+    own = [k for k in keys if k in df.columns and k != "year"]
+    raw = with_year(df.na.drop(subset=["postcode"])).groupBy("postcode", *own, "year").agg(F.count(F.lit(1)).alias("_n"))
+    return with_geography(raw).groupBy(*keys).agg(F.sum("_n").alias("num_transactions"))
+
+
 def with_geography(df: DataFrame, mode: str = "all_letters") -> DataFrame:
     """Drop sales without a postcode; add the postcode parts, the London zone and the year."""
     placed = pc.with_postcode_parts(df.na.drop(subset=["postcode"]), mode=mode)

@@ -158,19 +158,21 @@ def level_statistics(sales: DataFrame, level: str, mode: str = "all_letters") ->
 
 
 def multi_level_statistics(sales: DataFrame, mode: str = "all_letters") -> DataFrame:
-    """Area, district and sector statistics from one scan, with a ``level`` column.
+    """Area, district and sector statistics from one scan, with a ``level`` column; codes below a level are null.
 
-    The finest histogram is rolled up with grouping sets; codes below a row's level are null.
+    Each coarser histogram is summed from the finer one, and each level's statistics come from its own
+    histogram: the finest one, which hardly shrinks, is not copied for the others.
     """
-    fine = sales_histogram(sales, "sector", mode)
-    codes = LEVELS["sector"]
-    columns = codes + COMMON_KEYS + ["price"]
-    sets = [LEVELS[level] + COMMON_KEYS + ["price"] for level in LEVELS]
-    rolled = fine.groupingSets(sets, *columns).agg(
-        F.sum("n").alias("n"),
-        F.when(F.grouping("postcode_district") == 1, "area")
-        .when(F.grouping("postcode_sector") == 1, "district")
-        .otherwise("sector")
-        .alias("level"),
-    )
-    return with_dispersion(histogram_statistics(rolled, ["level", *codes, *COMMON_KEYS]))
+    histograms = {"sector": sales_histogram(sales, "sector", mode)}
+    for level, finer in (("district", "sector"), ("area", "district")):
+        histograms[level] = histograms[finer].groupBy(*level_keys(level), "price").agg(F.sum("n").alias("n"))
+    parts = []
+    for level in LEVELS:
+        stats = histogram_statistics(histograms[level], level_keys(level)).withColumn("level", F.lit(level))
+        below = {c: F.lit(None).cast("string") for c in LEVELS["sector"] if c not in LEVELS[level]}
+        parts.append(stats.withColumns(below) if below else stats)
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    first = ["level", *LEVELS["sector"], *COMMON_KEYS]
+    return with_dispersion(union.select(*first, *[c for c in union.columns if c not in first]))

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from propstats.functions import geometry as geo
+from propstats.sources.tables import stored
 
 # The container layer is broadcast only up to this measured size; beyond it the join shuffles.
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 16
 _EDGE_BYTES = 64
 _ROW_BYTES = 512
 
@@ -59,84 +59,81 @@ def extent(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     )
 
 
+def _cells(low: str, high: str):
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    # As tolerant as the comparison of boxes.
+    first, last = (F.floor((F.col(c) + by) / size).cast("bigint") for c, by in ((low, -geo.TOLERANCE), (high, geo.TOLERANCE)))
+    return F.sequence(first, last)
+
+
+def container_cells(boxes: DataFrame) -> DataFrame:
+    """Containers once for each cell (``_level``, ``_cx``, ``_cy``) they reach, on a grid as coarse as they are large.
+
+    The cells of a container are at least as wide as it is: it reaches four at most, whatever the others' size.
+    """
+    side = F.greatest(F.col("_c_max_x") - F.col("_c_min_x"), F.col("_c_max_y") - F.col("_c_min_y")) + 4 * geo.TOLERANCE
+    levelled = boxes.where(F.col("_c_min_x").isNotNull()).withColumn("_level", F.ceil(F.log2(side)).cast("int"))
+    return levelled.withColumn("_cx", F.explode(_cells("_c_min_x", "_c_max_x"))).withColumn(
+        "_cy", F.explode(_cells("_c_min_y", "_c_max_y"))
+    )
+
+
 def within_join(
     small: DataFrame,
     containers: DataFrame,
     container_columns: Sequence[str],
     how: str = "inner",
     geometry: str = "geometry",
-    cell_size: float | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join every row of ``small`` to the containers it lies within; touching their border is allowed.
 
-    A small area is keyed by the one grid cell its lower left corner falls in, a container by
-    every cell its box covers, so a pair meets in exactly one cell and needs no de-duplication. In
+    Each container is keyed by the cells its box reaches on a grid of its own size, four at most. A small
+    area is looked up by its lower left corner on each grid in use, so a pair meets in exactly one cell. In
     a cell, boxes are compared first; the exact test runs on what is left, and not at all for
-    containers that are plain rectangles. ``how='left'`` keeps small areas that fit nowhere.
+    containers that are plain rectangles. ``how='left'`` keeps small areas that fit nowhere; it stores
+    ``small`` first, to number its rows.
 
     Layers that name their reference system must name the same one.
 
-    One pass over the container layer measures its size. Small layers are broadcast, and the small
-    areas are not shuffled, however many crowd one cell. Larger ones shuffle on (cell, salt): the
-    small areas of a cell spread over the salts, the containers are copied to each, so a hot cell
-    becomes ``salts`` tasks.
+    One pass over the container layer measures its size and the grids in use. Small layers are broadcast,
+    and the small areas are not shuffled, however many crowd one cell. Larger ones shuffle on the cell, and
+    adaptive execution splits the cells that turn out hot.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join kind: {how}")
-    boxes = with_bounds(containers, geometry).withColumnsRenamed({name: f"_c_{name}" for name in _BOUNDS})
-    side = F.greatest(F.col("_c_max_x") - F.col("_c_min_x"), F.col("_c_max_y") - F.col("_c_min_y"))
-    weight = geo.num_points(geometry) * _EDGE_BYTES + _ROW_BYTES
     if "srid" in small.columns and "srid" in containers.columns:
         require_same_srid(small, containers)
-    layer = boxes.agg(
-        F.avg(side).alias("side"),
-        F.coalesce(F.sum(weight), F.lit(0)).alias("b"),
-        F.coalesce(F.sum(weight * side), F.lit(0.0)).alias("bs"),
-        F.coalesce(F.sum(weight * side * side), F.lit(0.0)).alias("bss"),
-    ).head()
-    cell = float(cell_size or layer.side or 1.0)
-    # A container of side s covers at most (s / cell + 2) squared cells, each with its own copy.
-    size = layer.bss / cell**2 + 4 * layer.bs / cell + 4 * layer.b
-
-    def cells(low: str, high: str):
-        # As tolerant as the comparison of boxes below.
-        reach = ((low, -geo.TOLERANCE), (high, geo.TOLERANCE))
-        first, last = (F.floor((F.col(c) + by) / cell).cast("bigint") for c, by in reach)
-        return F.sequence(first, last)
-
-    keyed = (
-        boxes.where(F.col("_c_min_x").isNotNull())
-        .withColumn("_prepared_c", geo.prepare(geometry))
+    boxes = with_bounds(containers, geometry).withColumnsRenamed({name: f"_c_{name}" for name in _BOUNDS})
+    keyed = container_cells(boxes)
+    weight = geo.num_points(geometry) * _EDGE_BYTES + _ROW_BYTES
+    layer = keyed.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("size"), F.collect_set("_level").alias("levels")).head()
+    prepared = (
+        keyed.withColumn("_prepared_c", geo.prepare(geometry))
         .withColumn("_is_box", geo.is_box(geometry))
-        .select(*container_columns, "_prepared_c", "_is_box", "_c_min_x", "_c_min_y", "_c_max_x", "_c_max_y")
-        .withColumn("_cx", F.explode(cells("_c_min_x", "_c_max_x")))
-        .withColumn("_cy", F.explode(cells("_c_min_y", "_c_max_y")))
+        .select(*container_columns, "_prepared_c", "_is_box", "_c_min_x", "_c_min_y", "_c_max_x", "_c_max_y", "_level", "_cx", "_cy")
     )
-    located = with_bounds(small, geometry).withColumns(
+    rows = small
+    if how == "left":
+        rows = stored(small.withColumn("_row", F.monotonically_increasing_id()), "small")
+    # A level for each factor of two between the sizes of containers: a few dozen at the very most.
+    levels = F.array(*[F.lit(level) for level in sorted(layer.levels)]).cast("array<int>")
+    located = with_bounds(rows, geometry).withColumn("_level", F.explode(levels)).withColumns(
         {
-            "_x": F.floor(F.col("min_x") / cell).cast("bigint"),
-            "_y": F.floor(F.col("min_y") / cell).cast("bigint"),
+            "_cx": F.floor(F.col("min_x") / F.pow(F.lit(2.0), F.col("_level"))).cast("bigint"),
+            "_cy": F.floor(F.col("min_y") / F.pow(F.lit(2.0), F.col("_level"))).cast("bigint"),
         }
     )
     condition = (
-        (F.col("_x") == F.col("_cx"))
-        & (F.col("_y") == F.col("_cy"))
-        & (F.col("min_x") >= F.col("_c_min_x") - geo.TOLERANCE)
+        (F.col("min_x") >= F.col("_c_min_x") - geo.TOLERANCE)
         & (F.col("min_y") >= F.col("_c_min_y") - geo.TOLERANCE)
         & (F.col("max_x") <= F.col("_c_max_x") + geo.TOLERANCE)
         & (F.col("max_y") <= F.col("_c_max_y") + geo.TOLERANCE)
         & (F.col("_is_box") | geo.within(geometry, "_prepared_c"))
     )
-    if size <= broadcast_bytes:
-        right = F.broadcast(keyed)
-    else:
-        # All plain columns go into the salt, so that areas with equal outlines spread as well.
-        plain = [name for name, kind in located.dtypes if not kind.startswith(("array", "map", "struct"))]
-        located = located.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
-        right = keyed.withColumn("_salt_c", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
-            "_salt_c", F.col("_salt_c").cast("bigint")
-        )
-        condition = (F.col("_salt") == F.col("_salt_c")) & condition
-    return located.join(right, condition, how).select(*small.columns, *container_columns)
+    right = F.broadcast(prepared) if layer.size <= broadcast_bytes else prepared.hint("merge")
+    matched = located.join(right, ["_level", "_cx", "_cy"]).where(condition)
+    if how == "inner":
+        return matched.select(*small.columns, *container_columns)
+    pairs = matched.select("_row", *[F.col(c).alias(f"_m_{c}") for c in container_columns])
+    return rows.join(pairs, "_row", "left").select(*small.columns, *[F.col(f"_m_{c}").alias(c) for c in container_columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propstats.operators import qa
+from propstats.operators import qa, sampling
 from propstats.operators.geography import with_year
 from propstats.sources import sales_csv, tables
 
@@ -40,6 +40,8 @@ def quality_reports(silver: DataFrame) -> dict[str, DataFrame]:
         "ranges": qa.ranges(silver),
         "year_counts": qa.year_counts(silver),
         "postcodes_without_space": qa.postcodes_without_space(silver),
+        "sample_without_postcode": sampling.random_sample(silver.where(F.col("postcode").isNull()), 1.0, 20),
+        "sample": sampling.random_sample(silver, 0.01, 20),
     }
 
 

@@ -42,9 +42,3 @@ def record_counts(raw: DataFrame) -> DataFrame:
         F.count_if(F.col(_CORRUPT).isNull()).alias("parsed"),
         F.count_if(F.col(_CORRUPT).isNotNull()).alias("malformed"),
     )
-
-
-def load_sales(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """The well-formed records and how many there are."""
-    raw = read_raw_sales(spark, path)
-    return well_formed(raw), record_counts(raw).head().parsed

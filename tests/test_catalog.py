@@ -54,3 +54,14 @@ def test_first_values_skip_nulls(spark):
     df = spark.createDataFrame([("a", 1, None, 5), ("a", 2, 7, None), ("a", 3, 8, 6)], "k string, y int, u int, v int")
     row = marts.first_values(df, "k", F.col("y"), ["u", "v"]).head()
     assert (row.u, row.v) == (7, 5)
+
+
+def scans(df, table):
+    """How often a finished plan reads a table; stages that are reused are not read again."""
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString().count(f"/{table}.parquet")
+
+
+def test_stored_results_are_not_computed_twice(spark, sf_dir):
+    for name in ("choropleth_scale", "mart_rejoined"):
+        assert scans(contract.queries()[name](spark, sf_dir), "lineitem") == 0, name

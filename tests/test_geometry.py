@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from propstats.functions import geometry as geo
 from propstats.functions import projection
-from propstats.operators import spatial
+from propstats.operators import spatial, validity
 from propstats.schema import GEOMETRY_TYPE
 from propstats.sources import polygons
 
@@ -52,6 +52,8 @@ CASES = [
     ("across the gap", box(40, 10, 60, 20), TWO_PARTS, False),
     ("a part in each part", box(1, 1, 5, 5) + box(60, 1, 65, 5), TWO_PARTS, True),
     ("one part outside", box(1, 1, 5, 5) + box(46, 1, 50, 5), TWO_PARTS, False),
+    ("outside a ring that repeats a point", box(90, 40, 110, 60), [[SQUARE[0][0][:2] + SQUARE[0][0][1:]]], False),
+    ("inside a ring that repeats a point", box(10, 10, 20, 20), [[SQUARE[0][0][:2] + SQUARE[0][0][1:] + SQUARE[0][0][:1]]], True),
     ("corner past a slope", box(0, 0, 20, 20), TRIANGLE, False),
     ("corner on a slope", box(20, 0, 80, 40), TRIANGLE, True),
     ("edge along a border that turns", [[ring((30, 30), (40, 40), (60, 40), (70, 30))]], [[ring((0, 0), (100, 0), (100, 100), (60, 100), (60, 40), (40, 40), (40, 100), (0, 100))]], True),
@@ -114,7 +116,18 @@ def test_join_against_brute_force_with_a_hot_cell(spark, limit):
     kept = [(r.id, r.code) for r in left.collect()]
     assert {k for k in kept if k[1]} == expected and {k for k, _ in kept} == {s for s, _ in small}
     joins = pairs._jdf.queryExecution().executedPlan().toString()
-    assert ("_salt" in joins) == (limit == 0)
+    assert ("BroadcastHashJoin" in joins) != (limit == 0) and ("SortMergeJoin" in joins) == (limit == 0)
+
+
+def test_a_giant_container_is_not_copied_into_small_cells(spark):
+    unit = spark.range(400).selectExpr("concat('u', id) AS code", "id % 20 * 10D AS x", "floor(id / 20) * 10D AS y", "1D AS side")
+    giant = spark.range(1).selectExpr("'giant' AS code", "-7D AS x", "-7D AS y", "1000D AS side")
+    containers = unit.unionByName(giant).withColumn("geometry", geo.box(F.col("x"), F.col("y"), F.col("x") + F.col("side"), F.col("y") + F.col("side")))
+    boxes = spatial.with_bounds(containers).withColumnsRenamed({c: f"_c_{c}" for c in ("min_x", "min_y", "max_x", "max_y")})
+    assert spatial.container_cells(boxes).groupBy("code").count().agg(F.max("count")).head()[0] <= 4
+    small = unit.select("code", geo.box(F.col("x") + 0.25, F.col("y") + 0.25, F.col("x") + 0.5, F.col("y") + 0.5).alias("geometry")).withColumnRenamed("code", "id")
+    rows = [(r.id, r.code) for r in spatial.within_join(small, containers.select("code", "geometry"), ["code"]).collect()]
+    assert sorted(rows) == sorted([(f"u{i}", f"u{i}") for i in range(400)] + [(f"u{i}", "giant") for i in range(400)])
 
 
 def test_reference_systems_must_agree(spark):
@@ -140,17 +153,35 @@ def test_validity_and_repair(spark):
     rows = [
         ("ok", SQUARE, "Valid", "Valid"),
         ("open", [[good[:-1]]], "Ring not closed", "Valid"),
-        ("repeat", [[good[:2] + good[1:]]], "Repeated point", "Valid"),
+        ("repeat", [[good[:2] + good[1:]]], "Valid", "Valid"),
         ("bow tie", [[ring((0, 0), (10, 10), (10, 0), (0, 10))]], "Self-intersection", "Self-intersection"),
         ("flat", [[ring((0, 0), (5, 0), (10, 0))]], "Zero area", "Zero area"),
         ("short", [[ring((0, 0), (5, 0))]], "Too few points", "Too few points"),
         ("none", [], "Empty geometry", "Empty geometry"),
         ("clockwise", [clockwise], "Valid", "Valid"),
+        ("eight", [[ring((0, 0), (10, 0), (5, 5), (10, 10), (0, 10), (5, 5))]], "Self-intersection", "Self-intersection"),
+        ("spike", [[ring((0, 0), (10, 0), (10, 10), (10, 15), (10, 10), (0, 10))]], "Self-intersection", "Self-intersection"),
+        ("hole out", [[*SQUARE[0], ring((200, 0), (200, 9), (209, 9))]], "Hole lies outside shell", "Hole lies outside shell"),
+        ("hole above", [[*SQUARE[0], ring((20, 200), (20, 209), (29, 209))]], "Hole lies outside shell", "Hole lies outside shell"),
+        ("hole across", [[*SQUARE[0], ring((90, 40), (90, 60), (110, 50))]], "Rings cross", "Rings cross"),
+        ("holes nested", [[*HOLED[0], ring((45, 45), (45, 55), (55, 55))]], "Nested holes", "Nested holes"),
+        ("hole", HOLED, "Valid", "Valid"),
+        ("concave", CONCAVE_HOLE, "Valid", "Valid"),
+        ("parts", TWO_PARTS, "Valid", "Valid"),
+        ("parts overlap", box(0, 0, 10, 10) + box(5, 5, 15, 15), "Overlapping parts", "Overlapping parts"),
+        ("part inside", box(0, 0, 10, 10) + box(2, 2, 4, 4), "Overlapping parts", "Overlapping parts"),
+        ("part in hole", HOLED + box(45, 45, 55, 55), "Valid", "Valid"),
+        ("part twice", box(0, 0, 10, 10) + box(0, 0, 10, 10), "Overlapping parts", "Overlapping parts"),
+        ("parts touch at a corner", box(0, 0, 10, 10) + box(10, 10, 20, 20), "Valid", "Valid"),
     ]
-    df = layer(spark, [(r[0], r[1]) for r in rows]).withColumn("fixed", geo.repair("geometry"))
-    got = df.select("id", geo.validity_reason("geometry").alias("before"), geo.validity_reason("fixed").alias("after"), "fixed")
+    df = layer(spark, [(r[0], r[1]) for r in rows])
+    before = validity.report(df, "id").withColumnRenamed("reason", "before")
+    mended = validity.repaired(df)
+    after = validity.report(mended, "id").select("id", F.col("reason").alias("after"))
+    got = before.join(after, "id").join(mended.withColumnRenamed("geometry", "fixed"), "id")
     found = {r.id: r for r in got.collect()}
     assert {k: (r.before, r.after) for k, r in found.items()} == {r[0]: (r[2], r[3]) for r in rows}
+    assert {k: r.repeated_points for k, r in found.items() if r.repeated_points} == {"repeat": 1}
     turned = [(p.x, p.y) for p in found["clockwise"].fixed[0][0]]
     assert sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(turned, turned[1:])) > 0
 

@@ -1,9 +1,12 @@
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from propstats.catalog import fixtures as fx
 from propstats.operators import marts
 from propstats.operators.geography import with_year
-from propstats.plans import gold, publish
+from propstats.plans import areas, gold, publish
 from propstats.sources import tables
 
 
@@ -12,7 +15,8 @@ def test_publish_writes_every_mart(spark, sf_dir, tmp_path):
     tables.write_by_year(with_year(fx.sales(spark, sf_dir)), silver_path)
     silver = tables.read_table(spark, silver_path)
     written = publish.publish(
-        spark, silver, fx.zones(spark, sf_dir), fx.districts(spark, sf_dir), str(tmp_path / "out"), csv_export=True
+        spark, silver, fx.zones(spark, sf_dir), fx.districts(spark, sf_dir), str(tmp_path / "out"), csv_export=True, single_csv=True,
+        latest_year=2000, low_volume=0
     )
     stored = {name: spark.read.parquet(path) for name, path in written.items() if name != "csv_export"}
     assert all(df.count() > 0 for df in stored.values())
@@ -28,3 +32,34 @@ def test_publish_writes_every_mart(spark, sf_dir, tmp_path):
     assert marts.rejoin(series, geometry).count() == series.count()
     assert set(series.columns) == set(marts.SERIES_COLUMNS) and set(geometry.columns) == set(marts.GEOMETRY_COLUMNS)
     assert sorted(os.listdir(written["csv_export"])) == ["area_pct_change", "district_pct_change", "sector_pct_change"]
+    degrees = stored["mart_geometry_wgs84"]
+    assert {r.srid for r in degrees.select("srid").collect()} == {4326} and degrees.count() == geometry.count()
+    assert {r.srid for r in geometry.select("srid").collect()} == {27700}
+    assert stored["hotspots"].agg(F.max("position")).head()[0] == stored["hotspots"].count()
+    assert stored["trends_london"].count() > stored["trends_london_flats"].count()
+
+
+def test_small_areas_from_a_published_file(spark, sf_dir, tmp_path):
+    facts = fx.zone_facts(spark, sf_dir).withColumnsRenamed(fx.PUBLISHED_HEADERS)
+    tables.write_csv(facts, str(tmp_path / "indicators"))
+    polygons = fx.zone_polygons(spark, sf_dir).withColumnRenamed("LSOACode", "LSOA11CD").drop("srid")
+    zones, unmatched = areas.load_small_areas(spark, str(tmp_path / "indicators"), polygons, "LSOA11CD")
+    assert zones.count() == polygons.count() and set(fx.PUBLISHED_HEADERS) <= set(zones.columns)
+    assert zones.where("isnan(CrimeScore)").count() == 0 and zones.where("CrimeScore IS NULL").count() > 0
+    assert zones.select("srid").distinct().head().srid == 27700
+    assert unmatched.head().polygons_only == unmatched.head().indicators_only == 0
+
+
+@pytest.mark.parametrize("flawed", [False, True])
+def test_polygons_are_saved_only_if_all_are_valid(spark, sf_dir, tmp_path, flawed):
+    layer = fx.districts(spark, sf_dir)
+    if flawed:
+        bow_tie = fx.flawed_zones(spark, sf_dir).where("LSOACode LIKE '%3'").limit(1).select("geometry").head().geometry
+        crossed = spark.createDataFrame([("ZZ9", [[[(0.0, 0.0), (9.0, 9.0), (9.0, 0.0), (0.0, 9.0), (0.0, 0.0)]]])], "PostDist string, g array<array<array<struct<x:double,y:double>>>>")
+        assert bow_tie
+        layer = layer.unionByName(crossed.selectExpr("PostDist", "0D min_x", "0D min_y", "9D max_x", "9D max_y", "g AS geometry", "27700 AS srid"))
+    codes = spark.createDataFrame([("E1",), ("XX1",)], "postcode_district string")
+    report = areas.check_polygons(spark, layer, "PostDist", str(tmp_path / "qa"), codes)
+    assert (report["polygons"], report["invalid_before"], report["quarantined"]) == ((26, 1, 1) if flawed else (25, 0, 0))
+    assert (report["layer"] is None) == flawed and os.path.exists(tmp_path / "qa" / "layer") != flawed
+    assert spark.read.parquet(str(tmp_path / "qa" / "overlap")).where("only_in = 'transactions'").head().key == "XX1"
