@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -67,6 +68,18 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str = "t", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows whose texts have a few million bytes together: what is computed per byte stays small."""
+    for batch in batches:
+        _, ends = text_buffers(batch.column(text))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+        pa.default_memory_pool().release_unused()
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values: every input bit reaches every output bit."""
     values = (values ^ (values >> np.uint64(30))) * _MIX_1

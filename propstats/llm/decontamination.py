@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propstats.llm.common import mix, text_buffers, with_row, word_hashes, word_spans
+from propstats.llm.common import mix, slices, text_buffers, with_row, word_hashes, word_spans
 
 #: 1 marks a token that is hashed. Some mask avoids one substitution in any 12 tokens, two in 20, three in 24, four in 32.
 MASKS = ("110110110110", "101101101101", "011011011011", "111100001111", "000011111111", "111111110000")
@@ -136,7 +136,7 @@ def overlaps(block: Block, hashes: np.ndarray, text: np.ndarray, n_texts: int) -
 
 def _found(block: Block, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes, text = tokens(batch.column("t"))
             rows = overlaps(block, hashes, text, batch.num_rows)
             if rows:
@@ -149,7 +149,7 @@ def _found(block: Block, schema: pa.Schema):
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         hashes, text = tokens(batch.column("t"))
         first = np.searchsorted(text, np.arange(batch.num_rows + 1))
         lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes.view(np.int64)))

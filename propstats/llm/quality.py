@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propstats.llm.common import WHITE_SPACE, mix, stored, text_buffers, word_hashes, word_spans
+from propstats.llm.common import WHITE_SPACE, mix, slices, stored, text_buffers, word_hashes, word_spans
 
 CELLS = 1 << 16
 MAX_LABELLED = 20_000
@@ -80,7 +80,7 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw_counts, trusted_counts = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         cells, text = grams(*text_buffers(batch.column("t")))
         trusted = np.asarray(batch.column("trusted").to_numpy(zero_copy_only=False), dtype=bool)
         raw_counts += np.bincount(cells, minlength=CELLS)
@@ -91,7 +91,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scores(ratios: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw, offsets = text_buffers(batch.column("t"))
             cells, text = grams(raw, offsets)
             n = len(offsets) - 1
