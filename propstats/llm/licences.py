@@ -5,7 +5,8 @@ sparse TF-IDF vectors over words; the best cosine to a template's vector decides
 frequencies are counted over all texts, for the words of the templates; a word that no template has
 weighs as much as a word of one text in ``OTHER_ODDS``, so it pulls a cosine down.
 
-A text whose whole is a licence (``FILE_COSINE``) licenses its directory. A text without a header gets
+A text whose whole is a licence (``FILE_COSINE``) licenses its directory if it is named like a licence file or has
+``FILE_WORDS`` words: a short notice alone in a file speaks for that file only. A text without a header gets
 the license of the nearest directory above it that has one: paths become ancestor rows, joined to the
 licensed directories, and the longest match stays. Directories are resolved once each, then
 texts join their own directory.
@@ -76,6 +77,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 MARKS = ("licen", "permission", "redistribut", "cc0", "creative commons", "free software")
 HEADER_COSINE, FILE_COSINE = 0.8, 0.8
+FILE_WORDS = 20
+FILE_NAME = re.compile(r"(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$", re.IGNORECASE)
 OTHER_ODDS = 100
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _MARK = re.compile("|".join(MARKS))
@@ -141,7 +144,7 @@ def _judged(counts: dict[str, int]):
         matcher = Matcher(counts)
         for batch in batches:
             rows = []
-            for text in batch["t"]:
+            for text, path in zip(batch["t"], batch["path"], strict=True):
                 name, cosine, line_no, whole = None, 0.0, None, False
                 low = text.lower() if text else ""
                 if _MARK.search(low):
@@ -151,7 +154,7 @@ def _judged(counts: dict[str, int]):
                             if c > cosine:
                                 name, cosine, line_no = matcher.names[t], c, i
                     c, t = matcher.best(text)
-                    whole = c >= FILE_COSINE
+                    whole = c >= FILE_COSINE and (bool(path and FILE_NAME.search(path)) or len(WORD.findall(low)) >= FILE_WORDS)
                     if c > cosine:
                         name, cosine, line_no = matcher.names[t], c, 0
                 rows.append((name, cosine, line_no, whole))

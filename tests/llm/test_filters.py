@@ -162,7 +162,7 @@ def test_inheritance(spark):
     mit, gpl = licences.TEMPLATES["MIT"][2], licences.TEMPLATES["GPL-3.0"][1]
     files = [
         (1, "a/LICENSE", mit), (2, "a/x.py", "def f(): pass"), (3, "a/b/c/y.py", None), (4, "a/b/COPYING", gpl), (5, "a/b/z.py", "# " + licences.TEMPLATES["Apache-2.0"][0] + "\n" + "code " * 100),
-        (6, "other/q.py", "code"), (7, None, "code"), (8, "top.py", ""), (9, "ab/c.py", "the license to thrill is not one"), (2, "a/x.py", "def f(): pass"), (None, "a/n", "x " * 200_000),
+        (10, "notes/a.txt", licences.TEMPLATES["MIT"][0]), (11, "notes/b.txt", "code"), (6, "other/q.py", "code"), (7, None, "code"), (8, "top.py", ""), (9, "ab/c.py", "the license to thrill is not one"), (2, "a/x.py", "def f(): pass"), (None, "a/n", "x " * 200_000),
     ]
     df = spark.createDataFrame([(*f, "x", 1) for f in files], "doc_id long, path string, text string, license string, dir int")
     rows = licences.scan(df).collect()
@@ -170,6 +170,6 @@ def test_inheritance(spark):
     assert len(rows) == len(files)
     assert got == {
         1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("GPL-3.0", "inherited"), 4: ("GPL-3.0", "file"), 5: ("Apache-2.0", "header"),
-        6: (None, None), 7: (None, None), 8: (None, None), 9: (None, None), None: ("MIT", "inherited"),
+        10: ("MIT", "header"), 11: (None, None), 6: (None, None), 7: (None, None), 8: (None, None), 9: (None, None), None: ("MIT", "inherited"),
     }
     assert licences.scan(df.limit(0)).count() == 0
