@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 
+from propstats.catalog import check
 from propstats.llm import chat, queries, sharding
 from propstats.llm.common import table
 
@@ -60,6 +61,11 @@ def test_windows_keep_turns_whole_and_budgets(spark, budget, history):
         assert any(r.n_repeated > 1 for r in rows)
 
 
+def test_op3_agrees_with_sql(spark, sf_dir):
+    problems, rows = check.compare(queries.op3_chat_formatting(spark, sf_dir), check.connect(sf_dir), queries.oracle_sql()["op3_chat_formatting"])
+    assert not problems and rows > 0
+
+
 def test_no_python_in_the_formatter(spark, sf_dir):
     plan = queries.op3_chat_formatting(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
