@@ -14,9 +14,10 @@ suffixes found on both sides are long matches to be looked at. Two levels of equ
 twice the size, so each suffix is rewritten a logarithmic number of times.
 
 *Exact windows.* Of matching suffixes, those whose whole run of windows occurs twice are settled by a hash of
-the run. For the others, all windows of one occurrence per distinct run are hashed and counted, in
-a pre-aggregated grouping that no hot passage can skew. The hashes of a window (64 bits) and its anchor
-(64 bits) are compared together.
+the run. For the others, the bytes of one occurrence per distinct run go to their anchor's group, where all
+windows are hashed and compared. A group of more than ``HOT_RUNS`` distinct runs is not gathered: its
+windows are hashed where the texts are and counted in a pre-aggregated grouping. The hashes of
+a window (64 bits) and its anchor (64 bits) are compared together.
 
 Exact copies are one text here: each is removed whole if it has ``LENGTH`` bytes, and only the one text
 enters the index. Texts are moved twice, compressed; suffixes carry hashes and places only.
@@ -28,6 +29,7 @@ copies; matches never cross texts; an empty table gives no rows; other columns a
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +38,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propstats.llm.common import inverse_powers, mix, powers, stored
+from propstats.llm.common import inverse_powers, mix, powers, slices, stored
 
 LENGTH = 400
 GRAM = 32
 BATCHES = 4
+#: Distinct runs of one anchor that a task compares, some 600 bytes each.
+HOT_RUNS = 10_000
 #: Bytes handled at once; a longer text is cut into overlapping parts of as many windows.
-PART = 1 << 20
+PART = 1 << 18
 _PLACE_BITS = np.uint64(22)
 _PLACE = np.uint64((1 << 22) - 1)
 _POWERS, _INVERSE = powers(PART + LENGTH + 1), inverse_powers(PART + LENGTH + 1)
@@ -111,7 +115,7 @@ def _parts(sizes: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "t", PART):
         texts = batch.column("t").to_pylist()
         names = batch.column("text")
         for group in _parts(np.array([len(t) for t in texts], dtype=np.int64)):
@@ -129,33 +133,78 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in slices(batches, "t", PART):
         yield pa.RecordBatch.from_pydict(
             {"text": batch.column("text"), "blob": pa.array([squeeze(t) for t in batch.column("t").to_pylist()], pa.binary())}
         )
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of the asked runs: the text is unpacked, each window hashed."""
+def _windows(data: np.ndarray, at: int) -> np.ndarray:
+    """The hash of each window of a run's bytes, with its place before the anchor."""
+    starts = np.arange(len(data) - LENGTH + 1)
+    return mix(Hashed(data).of(starts, starts + LENGTH) + (at - starts).astype(np.uint64))
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray]]:
+    """Each asked run and its bytes."""
     expand = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        columns = [[], [], [], []]
-        size = 0
+    for batch in slices(batches, "blob", PART):
         for blob, runs in zip(batch.column("blob").to_pylist(), batch.column("runs").to_pylist(), strict=True):
             data = np.frombuffer(expand(blob), dtype=np.uint8)
             for r in runs:
-                lo, hi = r["lo"], r["hi"]
-                starts = np.arange(hi - lo + 1)
-                columns[0].append(np.full(len(starts), r["gram"], dtype=np.int64))
-                columns[1].append(mix(Hashed(data[lo : hi + LENGTH]).of(starts, starts + LENGTH) + (r["at"] - lo - starts).astype(np.uint64)).view(np.int64))
-                columns[2].append(np.full(len(starts), r["id"], dtype=np.int64))
-                columns[3].append((r["at"] - lo - starts).astype(np.int16))
-                size += len(starts)
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["gram", "window", "id", "offset"])
-                    columns, size = [[], [], [], []], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["gram", "window", "id", "offset"])
+                yield r, data[r["lo"] : r["hi"] + LENGTH]
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    names = ["gram", "id", "open", "at", "data"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+    for r, data in _asked(batches):
+        rows.append((r["gram"], r["id"], r["open"], r["at"] - r["lo"], data.tobytes()))
+        if len(rows) == 2000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each open run, the windows (first, last) that another run of its group has; groups come sorted."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("gram", "id", "open", "at", "data")), strict=True)
+
+    out: list[tuple[int, int, int]] = []
+    for _, group in itertools.groupby(rows(), key=lambda r: r[0]):
+        runs = list(group)
+        hashes = [_windows(np.frombuffer(data, dtype=np.uint8), at) for _, _, _, at, data in runs]
+        values, times = np.unique(np.concatenate(hashes), return_counts=True)
+        twice = values[times > 1]
+        if not len(twice):
+            continue
+        for (_, name, is_open, _, _), own in zip(runs, hashes, strict=True):
+            if is_open:
+                found = np.concatenate([[False], twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own, [False]])
+                steps = np.flatnonzero(found[1:] != found[:-1]).tolist()
+                out += [(name, a, b - 1) for a, b in zip(steps[::2], steps[1::2], strict=True)]
+        if len(out) > 10_000:
+            yield _spans(out)
+            out = []
+    if out:
+        yield _spans(out)
+
+
+def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["id", "first", "last"])
+
+
+def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of the asked runs, one row each."""
+    for r, data in _asked(batches):
+        window = _windows(data, r["at"] - r["lo"]).view(np.int64)
+        same = [np.full(len(window), r[c], dtype=np.int64) for c in ("gram", "id")]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*same, window, np.arange(len(window)))], ["gram", "id", "window", "first"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -171,7 +220,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in slices(batches, "blob", PART):
         rows = []
         for blob, spans in zip(batch.column("blob").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             data, at, kept = expand(blob), 0, hashlib.sha256()
@@ -235,18 +284,26 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: i
         F.count(F.lit(1)).alias("n"), F.min(F.struct("text", "at", "lo", "hi")).alias("one")
     )
     runs = stored(runs.withColumn("id", F.xxhash64(*KEY, "run")), "runs")
-    open_keys = runs.groupBy(*KEY).agg(F.count_if(F.col("n") == 1).alias("open"), F.count(F.lit(1)).alias("of")).where("open > 0 AND of > 1")
-    asked = runs.join(open_keys.select(*KEY), KEY).select("one.*", "gram", "id")
-    asked = asked.groupBy("text").agg(F.collect_list(F.struct("at", "lo", "hi", "gram", "id")).alias("runs"))
-    blobs = long.select("text", "t").mapInArrow(_squeezed, "text binary, blob binary").groupBy("text").agg(F.first("blob").alias("blob"))
-    windows = stored(
-        blobs.join(asked, "text").select("blob", "runs").mapInArrow(_window_hashes, "gram long, window long, id long, offset short"), "windows"
+    open_keys = runs.groupBy(*KEY).agg(F.count_if(F.col("n") == 1).alias("open_runs"), F.count(F.lit(1)).alias("of"))
+    open_keys = open_keys.where("open_runs > 0 AND of > 1").select(*KEY, (F.col("of") > HOT_RUNS).alias("hot"))
+    asked = runs.join(open_keys, KEY).select("one.*", "gram", "id", (F.col("n") == 1).alias("open"), "hot")
+    asked = stored(
+        asked.groupBy("text", "hot").agg(F.collect_list(F.struct("at", "lo", "hi", "gram", "id", "open")).alias("runs")), "asked"
     )
-    twice = windows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram", "window")
-    offsets = windows.join(twice, ["gram", "window"]).select("id", "offset")
-    single = runs.where("n = 1").select("id", "one.text", "one.at")
-    starts = F.col("at") - F.col("offset")
-    spans = offsets.join(single, "id").select("text", starts.alias("lo"), starts.alias("hi"))
+    blobs = long.select("text", "t").mapInArrow(_squeezed, "text binary, blob binary").groupBy("text").agg(F.first("blob").alias("blob"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cold = blobs.join(asked.where("NOT hot"), "text").select("blob", "runs")
+    cold = cold.mapInArrow(_contents, "gram long, id long, open boolean, at int, data binary")
+    cold = cold.repartition(partitions, "gram").sortWithinPartitions("gram")
+    found = cold.mapInArrow(_shared, "id long, first long, last long")
+    if asked.where("hot").limit(1).count():
+        windows = blobs.join(asked.where("hot"), "text").select("blob", "runs")
+        windows = stored(windows.mapInArrow(_window_hashes, "gram long, id long, window long, first long"), "windows")
+        twice = windows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram", "window")
+        found = found.union(windows.join(twice, ["gram", "window"]).select("id", "first", F.col("first").alias("last")))
+    single = runs.where("n = 1").select("id", "one.text", "one.lo")
+    place = lambda c: (F.col("lo") + F.col(c)).cast("int").alias("lo" if c == "first" else "hi")
+    spans = found.join(single, "id").select("text", place("first"), place("last"))
     settled = runs.where("n > 1").select(*KEY, "run")
     spans = spans.union(matching.join(settled, [*KEY, "run"]).select("text", "lo", "hi"))
     spans = spans.groupBy("text").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))

@@ -46,8 +46,9 @@ def test_op4_against_brute_force(spark, sf_dir):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_repeated_passages(spark, batches):
+@pytest.mark.parametrize("batches,hot_runs", [(1, suffix_dedup.HOT_RUNS), (3, 1)])
+def test_repeated_passages(spark, monkeypatch, batches, hot_runs):
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot_runs)
     rng = random.Random(11)
     prose = passages(rng)
     shared, other = prose(150), prose(200)
