@@ -6,8 +6,9 @@ number of n-grams. The threshold lies midway between the ratio that all but ``LO
 texts reach and the one that all but ``MISSED_SHARE`` of the texts labelled bad stay below; where
 these overlap, the first alone decides. Each text's verdict thus follows from the tables.
 
-Corpus counts cover every text; labelled ones are at most ``MAX_LABELLED`` rows, those with the smallest
-hash of their key.
+Counts and thresholds cover every text and every labelled row; labels are joined on by shuffles. Each order
+statistic is found in ranges of the ratio: a range's rows are counted in ``PARTS`` parts, and the part that holds
+the wanted position is the next range, until it is a single value.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows get equal
 verdicts; labels that are null or of unknown keys are not used; a key labelled both ways is
@@ -17,6 +18,7 @@ and the base rules alone decide; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from propstats.llm.common import WHITE_SPACE, mix, slices, stored, text_buffers, word_hashes, word_spans
 
 CELLS = 1 << 16
-MAX_LABELLED = 20_000
+PARTS = 1024
 LOST_SHARE, MISSED_SHARE = 0.002, 0.05
 #: The symbols that are counted, the words in a window, the least words, the most repeats in percent.
 SYMBOLS = b"#*$%&|<>"
@@ -79,14 +81,22 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw_counts, trusted_counts = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
+    counts = np.zeros(CELLS, np.int64)
     for batch in slices(batches):
-        cells, text = grams(*text_buffers(batch.column("t")))
-        trusted = np.asarray(batch.column("trusted").to_numpy(zero_copy_only=False), dtype=bool)
-        raw_counts += np.bincount(cells, minlength=CELLS)
-        trusted_counts += np.bincount(cells[trusted[text]], minlength=CELLS)
-    at = np.flatnonzero(raw_counts)
-    yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int32()), "n": raw_counts[at], "n_trusted": trusted_counts[at]})
+        cells, _ = grams(*text_buffers(batch.column("t")))
+        counts += np.bincount(cells, minlength=CELLS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int32()), "n": counts[at]})
+
+
+def cell_counts(texts: DataFrame) -> np.ndarray:
+    """How many n-grams of the texts ``t`` fall into each cell."""
+    counted = texts.select("t").mapInArrow(_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    # As many rows as there are cells, whatever the corpus.
+    counts = np.zeros(CELLS)
+    for row in counted.collect():
+        counts[row.cell] = row.n
+    return counts
 
 
 def _scores(ratios: np.ndarray):
@@ -100,19 +110,41 @@ def _scores(ratios: np.ndarray):
             data = raw.tobytes()
             base = np.array([base_row(data[offsets[i] : offsets[i + 1]]) for i in range(n)], dtype=np.int64).reshape(n, 5)
             columns = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), base.T.copy(), strict=True))
-            yield pa.RecordBatch.from_pydict(
-                {"k": batch.column("k"), "label": batch.column("label")} | columns | {"ratio": sums / np.maximum(1, sizes)}
-            )
+            yield pa.RecordBatch.from_pydict({"k": batch.column("k")} | columns | {"ratio": sums / np.maximum(1, sizes)})
 
     return run
 
 
+def nth(values: DataFrame, at: int) -> float:
+    """The value at a position (from 0) of the sorted column ``ratio``; at most ``PARTS`` rows reach the driver at a time."""
+    low, high = values.agg(F.min("ratio"), F.max("ratio")).head()
+    while low < high:
+        part = F.least(F.floor((F.col("ratio") - low) / max((high - low) / PARTS, 5e-324)), F.lit(PARTS - 1))
+        parts = values.where(F.col("ratio").between(low, high)).groupBy(part.alias("part"))
+        for row in sorted(parts.agg(F.count(F.lit(1)).alias("n"), F.min("ratio").alias("low"), F.max("ratio").alias("high")).collect()):
+            if at < row.n:
+                low, high = row.low, row.high
+                break
+            at -= row.n
+    return low
+
+
+def percentile(values: DataFrame, share: float) -> float | None:
+    """The exact percentile of column ``ratio``, interpolated between neighbours; null without rows."""
+    n = values.count()
+    if not n:
+        return None
+    place = share * (n - 1)
+    below = math.floor(place)
+    low = nth(values, below)
+    return low if place == below else low + (place - below) * (nth(values, below + 1) - low)
+
+
 def judge(
     docs: DataFrame,
     labels: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    max_labelled: int = MAX_LABELLED,
     lost_share: float = LOST_SHARE,
     missed_share: float = MISSED_SHARE,
 ) -> DataFrame:
@@ -123,27 +155,17 @@ def judge(
     id_type = docs.schema[key].dataType.simpleString()
     # Where a key is labelled both ways, it is bad.
     known = labels.where("quality IN (0, 1)").groupBy(F.col(key).alias("k")).agg(F.min("quality").cast("int").alias("label")).na.drop()
-    known = known.orderBy(F.xxhash64("k"), "k").limit(max_labelled)
-    texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(known), "k", "left")
-    trusted = F.coalesce(F.col("label") == 1, F.lit(False)).alias("trusted")
-    counted = texts.select("t", trusted).mapInArrow(_counts, "cell int, n long, n_trusted long")
-    # As many rows as there are cells, whatever the corpus.
-    counted = counted.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n_trusted").alias("n_trusted")).collect()
-    both = np.zeros((2, CELLS))
-    for row in counted:
-        both[:, row.cell] = row.n_trusted, row.n
+    texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    both = np.stack([cell_counts(texts.join(known.where("label = 1").hint("merge"), "k")), cell_counts(texts)])
     ratios = np.zeros(CELLS)
     if both[0].sum():
         share = (both + 1.0) / (both.sum(axis=1, keepdims=True) + CELLS)
         ratios = np.log(share[0] / share[1])
-    schema = f"k {id_type}, label int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double"
+    schema = f"k {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double"
     scored = stored(texts.mapInArrow(_scores(ratios), schema), "quality")
-    # Exact order statistics of the labelled rows, which are few by their bound (copies of a key count once each).
-    few = scored.where("label IS NOT NULL").groupBy("k", "label").agg(F.min("ratio").alias("ratio"))
-    good, bad = few.agg(
-        F.percentile(F.when(F.col("label") == 1, F.col("ratio")), F.lit(lost_share)),
-        F.percentile(F.when(F.col("label") == 0, F.col("ratio")), F.lit(1 - missed_share)),
-    ).head()
+    # Copies of a key count once each.
+    labelled = stored(scored.select("k", "ratio").join(known, "k").groupBy("k", "label").agg(F.min("ratio").alias("ratio")), "labelled")
+    good, bad = percentile(labelled.where("label = 1"), lost_share), percentile(labelled.where("label = 0"), 1 - missed_share)
     least = -float("inf") if good is None else (good + bad) / 2 if bad is not None and bad < good else good
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATS * F.col("n_words"))
     return scored.select(

@@ -65,6 +65,38 @@ def test_ratio_by_hand(spark):
         assert abs(r.ratio - score(grams[r.doc_id])) < 1e-12
 
 
+def test_every_label_counts(spark):
+    """Beyond 20,000 labels too, counts and thresholds cover each of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from propstats.llm.common import text_buffers
+
+    n = 24_000
+    texts = [f"{'good' if i % 4 else 'bad'} w{i % 7} v{i % 1009} u{i % 211}" for i in range(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(n)], "doc_id long, quality int")
+    cells, of = quality.grams(*text_buffers(pa.array(texts)))
+    good = np.arange(n) % 4 > 0
+    both = np.stack([np.bincount(c, minlength=quality.CELLS) + 1.0 for c in (cells[good[of]], cells)])
+    logs = np.log(np.divide(*(both / both.sum(axis=1, keepdims=True))))
+    want = np.bincount(of, logs[cells]) / np.bincount(of)
+    got = {r.doc_id: r for r in quality.judge(df, labels).collect()}
+    assert max(abs(got[i].ratio - want[i]) for i in range(n)) < 1e-12
+    low, high = np.percentile(want[good], 100 * quality.LOST_SHARE), np.percentile(want[~good], 100 * (1 - quality.MISSED_SHARE))
+    assert abs(got[0].threshold - ((low + high) / 2 if high < low else low)) < 1e-12
+
+
+@pytest.mark.parametrize("values", [[0.5], [1.0, 1.0, 1.0], [-3.0, 1e-9, 2e-9, 2e-9, 7.5], [0.1 + i * 2.0**-56 for i in range(40)]])
+def test_percentile_is_exact(spark, values):
+    import numpy as np
+
+    df = spark.createDataFrame([(v,) for v in values], "ratio double")
+    assert [quality.nth(df, i) for i in (0, len(values) // 2, len(values) - 1)] == [sorted(values)[i] for i in (0, len(values) // 2, -1)]
+    assert abs(quality.percentile(df, 0.3) - np.percentile(values, 30)) < 1e-15
+    assert quality.percentile(df.limit(0), 0.3) is None
+
+
 def test_op1_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
