@@ -2,8 +2,8 @@
 
 One model is trained on random strings, the other on ordinary identifiers. Both are first-order and
 their transition counts come from every text: what a fixed pattern holds is a labelled sample of random
-strings, each other word of letters, digits and underscores one of identifiers (tokens long enough to be
-judged are left out). A further long token
+strings, each other run of the characters of long tokens one of identifiers, long tokens included. Both models
+are smoothed alike, so a character that neither has seen says nothing. A further long token
 is a secret where the random model makes it likelier by ``MARGIN`` nats. One pass over the texts finds the
 fixed spans, the long tokens and the counts; later steps see only those.
 
@@ -44,12 +44,15 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.
 SIZE = len(ALPHABET) + 1
 #: The odds of a thousand to one that a token is no secret, in nats.
 MARGIN = float(np.log(1000.0))
-PRIOR = 50.0
+#: A row of n transitions weighs n / (n + TRUST): the few that a judged token adds itself must not decide on it.
+TRUST = 500.0
+#: The share of the common background in a model's characters.
+BACKGROUND = 0.1
 
 _CODES = np.full(256, SIZE - 1, dtype=np.int64)
 _CODES[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(SIZE - 1)
 _WORD = np.zeros(256, dtype=bool)
-_WORD[np.frombuffer(ALPHABET[:62].encode() + b"_", dtype=np.uint8)] = True
+_WORD[np.frombuffer(ALPHABET[:-1].encode(), dtype=np.uint8)] = True
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -68,7 +71,7 @@ def _transitions(codes: np.ndarray) -> np.ndarray:
 
 
 def _ordinary(raw: np.ndarray) -> np.ndarray:
-    """Transition counts within words; whatever lies between words has the code that is left out."""
+    """Transition counts within runs of token characters; whatever lies between them has the code that is left out."""
     codes = np.where(_WORD[raw], _CODES[raw], SIZE - 1)
     return _transitions(codes) if len(codes) > 1 else np.zeros(SIZE * SIZE, np.int64)
 
@@ -90,7 +93,7 @@ def _collected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rest.append(text[at:start])
                 at = max(at, end)
             rest.append(text[at:])
-            raw = np.frombuffer(LONG_TOKEN.sub(" ", " ".join(rest)).encode(), dtype=np.uint8)
+            raw = np.frombuffer(" ".join(rest).encode(), dtype=np.uint8)
             ordinary += _ordinary(raw)
             for m in LONG_TOKEN.finditer(text):
                 if not any(m.start() < end and start < m.end() for start, end, _ in spans):
@@ -111,13 +114,18 @@ def _collected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def log_ratio(counts: np.ndarray) -> np.ndarray:
     """Log of random over ordinary transition probability, SIZE x SIZE, from counts of shape (2, SIZE * SIZE).
 
-    A transition's count is joined by ``PRIOR`` more that follow the second character's own frequency
-    (itself add-one smoothed), so rare characters stay rare after characters that are hardly seen.
+    A model's characters are mixed with a background that both share. A transition is mixed with its second
+    character's own frequency, by a weight that both share too: that of the model which knows the first
+    character less. So what neither model has seen has ratio 0, however much larger one of them is.
     """
     both = counts.reshape(2, SIZE, SIZE)[:, :-1, :-1].astype(float)
-    own = both.sum(axis=1, keepdims=True) + 1.0
-    own /= own.sum(axis=2, keepdims=True)
-    both = np.log((both + PRIOR * own) / (both.sum(axis=2, keepdims=True) + PRIOR))
+    own = both.sum(axis=1, keepdims=True)
+    total = own.sum(axis=2, keepdims=True)
+    background = ((own + 1.0) / (total + SIZE - 1)).mean(axis=0, keepdims=True)
+    own = np.where(total > 0, (1 - BACKGROUND) * own / np.maximum(total, 1) + BACKGROUND * background, background)
+    seen = both.sum(axis=2, keepdims=True)
+    trust = (seen / (seen + TRUST)).min(axis=0, keepdims=True)
+    both = np.log(trust * both / np.maximum(seen, 1) + (1 - trust) * own)
     return np.pad(both[0] - both[1], ((0, 1), (0, 1)))
 
 

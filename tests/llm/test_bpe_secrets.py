@@ -121,3 +121,18 @@ def test_secrets_odd_and_learned(spark):
     assert secret_scan.redact(df).columns == df.columns
     assert secret_scan.scan(df.limit(0)).count() == 0
     assert secret_scan.digest(secret_scan.scan(df.where("doc_id = 1"))).head().spans == ""
+
+
+def test_rules_paths_and_slugs_are_no_secrets(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    clean = ["-" * 40, "=" * 16, "_" * 30, "-=-=-=-=-=-=-=-=-=-=", "usr/share/" + "/".join(words[:5]), "a-lot-of-" + "-".join(words[5:12]), "_".join(words[12:18])]
+    value = lambda n: "".join(rng.choice(secret_scan.ALPHABET[:62]) for _ in range(n))
+    texts = [" ".join(rng.choice(words) for _ in range(3000)) + f" token = {value(40)}" for _ in range(60)] + clean
+    hidden = value(40)
+    df = spark.createDataFrame(list(enumerate([*texts, f"see {hidden} there"])), "doc_id long, text string")
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "markov"] for r in secret_scan.scan(df).collect()}
+    assert not any(spans[i] for i in range(len(texts)))
+    assert spans[len(texts)] == [(4, 44)]
+    cut = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert [cut[60 + i] for i in range(len(clean))] == clean
