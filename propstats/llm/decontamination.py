@@ -4,7 +4,11 @@ A seed is the hash of some of the tokens of a window; fixed masks say which. A s
 mask ignores leaves the seed as it is. Seeds of the benchmark items are looked up among those of all
 windows of the training texts, and the tokens around each hit are compared along its diagonal: an
 overlap is the run that scores best with ``MATCH`` for an equal token and ``MISMATCH`` for another, and counts
-from ``LEAST_OVERLAP`` equal tokens on (from all tokens of a shorter item).
+from ``LEAST_OVERLAP`` equal tokens on.
+
+Items of up to ``SHORT_ITEM`` tokens also count as a whole: from ``SHORT_SHARE`` equal tokens in the item's place on. With
+s substitutions allowed, some s + 1st part of the item is left whole, so seeds of two to four neighbouring tokens
+find every such place; they are compared in arrays before anything else.
 
 Items are loaded in blocks of a bounded number of tokens, and each block is held against all texts. So
 neither a task nor the driver holds more of the benchmark than a block; texts never move.
@@ -30,6 +34,8 @@ from propstats.llm.common import mix, slices, text_buffers, with_row, word_hashe
 MASKS = ("110110110110", "101101101101", "011011011011", "111100001111", "000011111111", "111111110000")
 LEAST_ITEM = 5
 LEAST_OVERLAP = 12
+#: The longest item that is held against a place as a whole, and the percent of its tokens that have to be equal.
+SHORT_ITEM, SHORT_SHARE = 20, 80
 MATCH, MISMATCH = 1, -3
 #: At most so many item tokens are held at a time.
 BLOCK_TOKENS = 1_000_000
@@ -64,16 +70,31 @@ def hash_of(mask: str) -> int:
     return (int(mask, 2) << 8) + len(mask)
 
 
+def least_equal(n_tokens: int) -> int:
+    """The equal tokens that a short item has to have."""
+    return -(-SHORT_SHARE * n_tokens // 100)
+
+
+def short_mask(n_tokens: int) -> str:
+    """Neighbouring tokens that some part of a short item has unchanged, as long as enough of its tokens are equal."""
+    return "1" * (n_tokens // (n_tokens - least_equal(n_tokens) + 1))
+
+
 class Block:
     """Some benchmark items, as sorted seeds with their places and as token hashes."""
 
     def __init__(self, ids: list, hashes: list[np.ndarray]):
         self.ids, self.hashes = ids, hashes
-        short = sorted({len(h) for h in hashes if len(h) < len(MASKS[0])})
-        self.masks = [(m, None) for m in MASKS] + [("1" * n, n) for n in short]
+        short = [short_mask(len(h)) if len(h) <= SHORT_ITEM else None for h in hashes]
+        self.masks = [*MASKS, *sorted({m for m in short if m})]
+        self.sizes = np.array([len(h) for h in hashes])
+        self.padded = np.zeros((len(hashes), SHORT_ITEM), np.uint64)
+        for i, h in enumerate(hashes):
+            if len(h) <= SHORT_ITEM:
+                self.padded[i, : len(h)] = h
         seeds, items, places = [], [], []
-        for mask, only in self.masks:
-            wanted = [i for i, h in enumerate(hashes) if (len(h) == only if only else len(h) >= len(mask))]
+        for mask in self.masks:
+            wanted = [i for i, h in enumerate(hashes) if (len(h) >= len(mask) if mask in MASKS else short[i] == mask)]
             if not wanted:
                 continue
             flat = np.concatenate([hashes[i] for i in wanted])
@@ -94,7 +115,7 @@ class Block:
     def hits(self, hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Distinct rows (text, item, token of the batch where the item's first would lie)."""
         rows = []
-        for mask, _ in self.masks:
+        for mask in self.masks:
             at, seed = _seeds(hashes, text, mask)
             some = self.may[(seed >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
             at, seed = at[some], seed[some]
@@ -108,6 +129,19 @@ class Block:
             rows.append(np.unique(np.stack([text[at[of]], self.item[place], at[of] - self.place[place]], axis=1), axis=0))
         return np.unique(np.concatenate(rows), axis=0) if rows else np.zeros((0, 3), np.int64)
 
+    def likely(self, found: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The hits without those of short items that too few equal tokens stand behind."""
+        out = [found[self.sizes[found[:, 1]] > SHORT_ITEM]]
+        found = found[self.sizes[found[:, 1]] <= SHORT_ITEM]
+        for part in np.array_split(found, len(found) // 100_000 + 1):
+            t, i, at = part.T
+            equal = np.zeros(len(part), np.int64)
+            for j in range(SHORT_ITEM):
+                inside = (j < self.sizes[i]) & (at + j >= first[t]) & (at + j < first[t + 1])
+                equal += inside & (hashes[np.where(inside, at + j, 0)] == self.padded[i, j])
+            out.append(part[equal >= np.minimum(LEAST_OVERLAP, -(-SHORT_SHARE * self.sizes[i] // 100))])
+        return np.concatenate(out)
+
 
 def best_run(same: np.ndarray) -> tuple[int, int]:
     """Start and end of the run that scores best, the first of equals; (0, 0) without an equal token."""
@@ -121,13 +155,16 @@ def overlaps(block: Block, hashes: np.ndarray, text: np.ndarray, n_texts: int) -
     """Rows (text, item, first token in the text, in the item, tokens, equal tokens), the best of each pair."""
     first = np.searchsorted(text, np.arange(n_texts + 1))
     best: dict[tuple[int, int], tuple] = {}
-    for t, i, at in block.hits(hashes, text).tolist():
+    for t, i, at in block.likely(block.hits(hashes, text), hashes, first).tolist():
         item = block.hashes[i]
         low, high = max(at, first[t]), min(at + len(item), first[t + 1])
         same = hashes[low:high] == item[low - at : high - at]
         a, b = best_run(same)
+        whole = len(item) <= SHORT_ITEM and int(same.sum()) >= least_equal(len(item))
+        if whole:
+            a, b = int(same.argmax()), len(same) - int(same[::-1].argmax())
         equal = int(same[a:b].sum())
-        if equal >= min(LEAST_OVERLAP, len(item)):
+        if whole or equal >= LEAST_OVERLAP:
             row = (equal, -(b - a), -(low + a - first[t]), low - at + a)
             if (t, i) not in best or row > best[t, i]:
                 best[t, i] = row

@@ -1,6 +1,7 @@
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import pytest
 
@@ -175,6 +176,23 @@ def test_substitutions_and_odd_rows(spark, block):
     assert decontamination.find(df, items.limit(0)).count() == 0
 
 
+def test_every_substitution_in_short_items(spark):
+    """Items of 5 to 20 tokens are found with each choice of up to a fifth of their tokens substituted."""
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(5, 21)}
+    texts, want = [], set()
+    for n, item in items.items():
+        for s in range(n // 5 + 1):
+            for at in combinations(range(n), s):
+                want.add((len(texts), n, n - s))
+                texts.append("pre " + " ".join("other" if k in at else w for k, w in enumerate(item)) + " post")
+        # Every second one is too many.
+        gone = range(0, n, 2)
+        texts.append(" ".join("other" if k in gone else w for k, w in enumerate(item)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    known = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_equal) for r in decontamination.find(df, known).collect()} == want
+
+
 def test_op8_headers(spark, sf_dir):
     docs = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
     lines = {
