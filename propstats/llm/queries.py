@@ -8,16 +8,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propstats.llm import bpe, chat, decontamination, licences, quality, secret_scan, sharding, simhash, suffix_dedup, toxicity
+from propstats.llm import (
+    bpe,
+    chat,
+    decontamination,
+    filter_audit,
+    lexical,
+    licences,
+    quality,
+    secret_scan,
+    sentence_pieces,
+    sharding,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
 from propstats.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +92,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(table(spark, sf_dir, "documents"), "doc_id", tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _shipped(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +125,9 @@ def queries() -> dict[str, Query]:
         op8_licences,
         op9_decontamination,
         op10_secret_scan,
+        op11_sentencepiece,
+        op12_filter_audit,
+        op13_lexical_search,
     ]
     return {f.__name__: _shipped(f) for f in found}
 
@@ -140,5 +169,60 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM packed JOIN formatted USING (conv_id) GROUP BY conv_id"""
 
 
+#: The filters of op12 one after the other over every document, in every order.
+AUDIT_SQL = r"""
+WITH worded AS (
+    SELECT row_number() OVER () AS d, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM worded GROUP BY t),
+said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+tested AS (
+    SELECT d, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, unnest([
+        {'f': 'A', 'fails': len(ws) < 100},
+        {'f': 'B', 'fails': 100 * len(list_distinct(ws)) < 80 * len(ws)},
+        {'f': 'C', 'fails': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t)},
+        {'f': 'D', 'fails': regexp_matches(t, '[#$%&*|]')},
+        {'f': 'E', 'fails': coalesce(worded.doc_id > first, false)}], recursive := true)
+    FROM worded JOIN firsts USING (t) LEFT JOIN said ON worded.doc_id = said.doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+failing AS (SELECT d, part, good, toxic, string_agg(f, '' ORDER BY f) FILTER (WHERE fails) AS fs FROM tested GROUP BY ALL),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+counted AS (
+    SELECT part, filter_order, step, fs, good, toxic, count(*) AS n,
+        coalesce(len(regexp_extract(filter_order, '^[^' || fs || ']*')) + 1, 99) AS falls,
+        coalesce(contains(fs, filter_order[step]), false) AS own
+    FROM failing, steps GROUP BY ALL),
+rows AS (
+    SELECT part, filter_order, step::INTEGER AS step, coalesce(sum(n) FILTER (WHERE falls > step), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (WHERE falls = step), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (WHERE own AND falls < step), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (WHERE own AND len(fs) = 1), 0)::BIGINT AS unique_fails,
+        coalesce(sum(n) FILTER (WHERE falls = step AND good), 0)::BIGINT AS good_lost,
+        coalesce(sum(n) FILTER (WHERE falls = step AND toxic), 0)::BIGINT AS toxic_lost
+    FROM counted GROUP BY ALL)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM rows"""
+
+#: The ranking of op13 with every document scored for every item.
+SEARCH_SQL = r"""
+WITH doc_terms AS (
+    SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+sizes AS (SELECT count(*) AS docs, sum(len(ts))::BIGINT AS total FROM doc_terms WHERE len(ts) > 0),
+postings AS (SELECT d, doc_id, len(ts) AS n, term, count(*) AS tf FROM (SELECT d, doc_id, ts, unnest(ts) AS term FROM doc_terms) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, sizes GROUP BY term, docs),
+item_terms AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+    SELECT item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))))::BIGINT AS score
+    FROM item_terms JOIN weights USING (term) JOIN postings USING (term), sizes GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": CHAT_SQL}
+    return {"op3_chat_formatting": CHAT_SQL, "op12_filter_audit": AUDIT_SQL, "op13_lexical_search": SEARCH_SQL}
