@@ -256,3 +256,35 @@ def flawed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in ZONE_BOXES.items()])
     # Bounds come from the geometry: some flaws reach beyond the square.
     return boxes.select("LSOACode", geometry.alias("geometry"), F.lit(27700).alias("srid"))
+
+
+def cut_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones with, in turn: a hole that touches the border twice, two holes that meet twice, a hole that touches once,
+    a coordinate that is no number, an infinite one, two holes from border to border, and no flaw.
+    """
+    x0, y0, x1, y1 = _corners()
+    w, h = x1 - x0, y1 - y0
+
+    def at(a: float, b: float) -> tuple[Column, Column]:
+        return x0 + w * a, y0 + h * b
+
+    def holed(*holes: Column) -> Column:
+        return F.array(F.array(geo.box_ring(x0, y0, x1, y1), *holes))
+
+    def broken(value: str) -> Column:
+        return F.array(F.array(geo.ring((x0, y0), (F.lit(value).cast("double"), y0), (x1, y1))))
+
+    shapes = [
+        holed(geo.ring(at(0, 0.5), at(0.5, 0.75), at(1, 0.5), at(0.5, 0.25))),
+        holed(geo.ring(at(0.25, 0.5), at(0.5, 0.875), at(0.75, 0.5), at(0.5, 0.625)), geo.ring(at(0.25, 0.5), at(0.5, 0.125), at(0.75, 0.5), at(0.5, 0.375))),
+        holed(geo.ring(at(0, 0.5), at(0.5, 0.75), at(0.5, 0.25))),
+        broken("NaN"),
+        broken("Infinity"),
+        holed(geo.ring(at(0, 0.5), at(0.25, 0.75), at(0.5, 0.5), at(0.25, 0.25)), geo.ring(at(0.5, 0.5), at(0.75, 0.75), at(1, 0.5), at(0.75, 0.25))),
+        holed(),
+    ]
+    kind, geometry = F.expr(ZONE_NUMBER) % len(shapes), F.when(F.lit(False), shapes[-1])
+    for number, shape in enumerate(shapes):
+        geometry = geometry.when(kind == number, shape)
+    boxes = _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in ZONE_BOXES.items()])
+    return boxes.select("LSOACode", geometry.alias("geometry"), F.lit(27700).alias("srid"))

@@ -341,6 +341,7 @@ def oracle_sql() -> dict[str, str]:
         WHEN postcode_area IN ('HA', 'UB', 'EN', 'KT', 'TW', 'BR', 'RM') THEN 'Outer London' ELSE 'Outside London' END"""
     sales_raw = f"""SELECT l_orderkey, l_linenumber, {fx.select_list(fx.SALES)} FROM lineitem"""
     flaw = "CAST(substring(LSOACode, 2) AS BIGINT) % 13"
+    cut = "CAST(substring(LSOACode, 2) AS BIGINT) % 7"
     flaws = """WHEN 3 THEN 'Self-intersection' WHEN 4 THEN 'Zero area' WHEN 5 THEN 'Too few points' WHEN 6 THEN 'Self-intersection'
         WHEN 7 THEN 'Self-intersection' WHEN 9 THEN 'Hole lies outside shell' WHEN 10 THEN 'Rings cross'
         WHEN 11 THEN 'Overlapping parts' WHEN 12 THEN 'Nested holes' ELSE 'Valid'"""
@@ -482,6 +483,19 @@ def oracle_sql() -> dict[str, str]:
             (x1 - x0) * (y1 - y0) * CASE {flaw} WHEN 3 THEN 0.0::DOUBLE WHEN 4 THEN 0.0::DOUBLE WHEN 5 THEN 0.0::DOUBLE
                 WHEN 6 THEN 0.5::DOUBLE WHEN 8 THEN 0.75::DOUBLE WHEN 9 THEN 0.75::DOUBLE WHEN 10 THEN 0.0::DOUBLE
                 WHEN 11 THEN 2.0::DOUBLE WHEN 12 THEN 0.6875::DOUBLE ELSE 1.0::DOUBLE END AS area FROM zones""",
+        "geometry_interiors": f"""WITH {ZONES} SELECT LSOACode, CASE {cut} WHEN 2 THEN 'Valid' WHEN 3 THEN 'Coordinates not finite'
+            WHEN 4 THEN 'Coordinates not finite' WHEN 6 THEN 'Valid' ELSE 'Interior is disconnected' END AS reason FROM zones""",
+        "geometry_mended": f"""WITH {ZONES}, drawn AS (
+            SELECT 'flawed ' || LSOACode AS LSOACode, (x1 - x0) * (y1 - y0) AS size,
+                CASE {flaw} WHEN 4 THEN 'Zero area' WHEN 5 THEN 'Too few points' ELSE 'Valid' END AS reason,
+                CASE WHEN {flaw} IN (3, 6) THEN 2 ELSE 1 END AS parts,
+                CASE {flaw} WHEN 3 THEN 0.5 WHEN 6 THEN 0.5 WHEN 8 THEN 0.75 WHEN 10 THEN 0.75 WHEN 11 THEN 1.75 WHEN 12 THEN 0.75
+                    ELSE 1 END AS share FROM zones
+            UNION ALL SELECT 'cut ' || LSOACode, (x1 - x0) * (y1 - y0),
+                CASE WHEN {cut} IN (3, 4) THEN 'Coordinates not finite' ELSE 'Valid' END, CASE WHEN {cut} IN (0, 1, 5) THEN 2 ELSE 1 END,
+                CASE {cut} WHEN 0 THEN 0.75 WHEN 1 THEN 0.875 WHEN 2 THEN 0.875 WHEN 5 THEN 0.75 ELSE 1 END FROM zones)
+            SELECT LSOACode, reason, CASE WHEN reason = 'Valid' THEN CAST(parts AS INTEGER) END AS num_parts,
+                CASE WHEN reason = 'Valid' THEN size * share::DOUBLE END AS area FROM drawn""",
         "small_area_load": f"""WITH {ZONES} SELECT * EXCLUDE (x0, y0, x1, y1), x0 AS min_x, y0 AS min_y, x1 AS max_x,
             y1 AS max_y, 27700 AS srid, (x1 - x0) * (y1 - y0) AS area FROM zones""",
         "polygon_quarantine": f"""WITH {ZONES} SELECT LSOACode, CASE {flaw} {flaws} END AS reason, CAST(CASE {flaw} WHEN 3 THEN 5 WHEN 4 THEN 4

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from propstats.catalog import fixtures as fx
 from propstats.functions import geometry as geo
 from propstats.functions import names, postcode, projection
-from propstats.operators import explore, marts, price_stats, qa, quality, sampling, socio, spatial, validity
+from propstats.operators import explore, marts, price_stats, qa, quality, repair, sampling, socio, spatial, validity
 from propstats.operators.geography import counts_by_place, with_geography, with_year
 from propstats.plans import areas, gold, ingest
 from propstats.schema import ZONE, level_keys
@@ -373,6 +373,25 @@ def geometry_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validity.report(mended, "LSOACode").join(areas, "LSOACode")
 
 
+def geometry_interiors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons whose holes touch the border or each other, and coordinates that are not finite."""
+    return validity.report(tables.stored(fx.cut_zones(spark, sf_dir), "cut"), "LSOACode").drop("repeated_points")
+
+
+def geometry_mended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both flawed layers drawn anew: what they are then, their parts and area."""
+    layers = [fx.flawed_zones(spark, sf_dir), fx.cut_zones(spark, sf_dir)]
+    named = [df.withColumn("LSOACode", F.concat(F.lit(name), "LSOACode")) for name, df in zip(("flawed ", "cut "), layers)]
+    layer = tables.stored(named[0].unionByName(named[1]), "layers")
+    mended = tables.stored(repair.mended(layer, validity.report(layer, "LSOACode"), "LSOACode"), "mended")
+    checked = validity.report(mended, "LSOACode").drop("repeated_points")
+    shapes = mended.select("LSOACode", F.size("geometry").alias("num_parts"), geo.area("geometry").alias("area"))
+    valid = F.col("reason") == validity.VALID
+    return checked.join(shapes, "LSOACode").select(
+        "LSOACode", "reason", F.when(valid, F.col("num_parts")).alias("num_parts"), F.when(valid, F.col("area")).alias("area")
+    )
+
+
 def small_area_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "indicators")
     tables.write_csv(fx.zone_facts(spark, sf_dir).withColumnsRenamed(fx.PUBLISHED_HEADERS), path)
@@ -460,6 +479,8 @@ def queries() -> dict[str, Query]:
         geojson_features,
         geometry_validity,
         geometry_repaired,
+        geometry_interiors,
+        geometry_mended,
         small_area_load,
         polygon_quarantine,
         reproject_layer,

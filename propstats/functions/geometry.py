@@ -221,6 +221,13 @@ def _on_one_line(points: str) -> str:
     return _let(far, "fp", off)
 
 
+def all_finite(geometry: str) -> str:
+    """SQL text: does every point of a geometry have two coordinates whose products stay within doubles?"""
+    # NaN compares as larger than any number.
+    fine = " AND ".join(f"coalesce(abs(fp.{c}) <= 1e100D, false)" for c in "xy")
+    return f"coalesce(forall(flatten(flatten({geometry})), fp -> {fine}), true)"
+
+
 def ring_problem_code(geometry: str, codes: dict[str, int]) -> str:
     """SQL text: the least code of the problems that single rings show, null if none does."""
     each = _let(
@@ -232,6 +239,7 @@ def ring_problem_code(geometry: str, codes: dict[str, int]) -> str:
     )
     return (
         f"CASE WHEN {geometry} IS NULL OR size(flatten({geometry})) = 0 THEN {codes['Empty geometry']} "
+        f"WHEN NOT {all_finite(geometry)} THEN {codes['Coordinates not finite']} "
         f"ELSE array_min(transform(flatten({geometry}), ring -> {each})) END"
     )
 

@@ -3,6 +3,9 @@
 Rings are taken apart into edges, and edges into the cells of a grid that each geometry gets by its
 own size and number of edges. Only edges that share a cell are compared, so a ring of thousands
 of points costs about as many comparisons, and the work of one geometry spreads over tasks.
+
+Rings of one part may touch in points. Rings and the points where they touch form a graph; a cycle in it
+is a closed line of boundary, which cuts the part's interior in two.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ VALID = "Valid"
 # In the order in which they are reported; the first that applies is a geometry's reason.
 REASONS = [
     "Empty geometry",
+    "Coordinates not finite",
     "Too few points",
     "Ring not closed",
     "Zero area",
@@ -26,6 +30,7 @@ REASONS = [
     "Hole lies outside shell",
     "Nested holes",
     "Overlapping parts",
+    "Interior is disconnected",
 ]
 _BOX = ["min_x", "min_y", "max_x", "max_y"]
 
@@ -34,7 +39,7 @@ def _reason(name: str) -> Column:
     return F.lit(REASONS.index(name))
 
 
-def _edges(df: DataFrame, key: str, geometry: str) -> DataFrame:
+def edges_of(df: DataFrame, key: str, geometry: str) -> DataFrame:
     """Every edge with its part, ring, place in the ring, the ring's edges, and its geometry's grid."""
     boxed = with_bounds(df.select(key, geometry, *[c for c in _BOX if c in df.columns]), geometry)
     # About as many cells as edges.
@@ -61,15 +66,18 @@ def _side(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> str:
     return f"signum(({bx} - {ax}) * ({py} - {ay}) - ({by} - {ay}) * ({px} - {ax}))"
 
 
-def _meetings(edges: DataFrame, key: str) -> DataFrame:
-    """(key, code) for each kind of forbidden meeting of two edges."""
+def edge_pairs(edges: DataFrame, key: str) -> DataFrame:
+    """Every two edges of a geometry that share a cell, once for each such cell, as ``a_`` and ``b_`` columns.
+
+    ``s1`` and ``s2`` say on which side of a the ends of b lie, ``s3`` and ``s4`` the same of the ends of a.
+    """
     low_x, high_x = F.least("x1", "x2"), F.greatest("x1", "x2")
     low_y, high_y = F.least("y1", "y2"), F.greatest("y1", "y2")
     celled = edges.withColumn("cx", F.explode(F.sequence(_column(low_x), _column(high_x)))).withColumn(
         "cy", F.explode(F.sequence(_row(low_y), _row(high_y)))
     )
     names = [c for c in celled.columns if c not in (key, "cx", "cy", "min_x", "min_y", "cell")]
-    left = celled.select(key, "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in names])
+    left = celled.select(key, "cx", "cy", "cell", *[F.col(c).alias(f"a_{c}") for c in names])
     right = celled.select(key, "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in names])
     pairs = left.join(right, [key, "cx", "cy"]).where("struct(a_part, a_ring, a_at) < struct(b_part, b_ring, b_at)")
     a, b = ("a_x1", "a_y1", "a_x2", "a_y2"), ("b_x1", "b_y1", "b_x2", "b_y2")
@@ -79,27 +87,74 @@ def _meetings(edges: DataFrame, key: str) -> DataFrame:
         "s3": _side(*b, *a[:2]),
         "s4": _side(*b, *a[2:]),
     }
-    pairs = pairs.withColumns({name: F.expr(text) for name, text in sides.items()})
-    proper = "(s1 * s2 < 0 AND s3 * s4 < 0)"
+    return pairs.withColumns({name: F.expr(text) for name, text in sides.items()})
+
+
+PROPER = "(s1 * s2 < 0 AND s3 * s4 < 0)"
+
+
+def _on(side: str, p: str, e: str, end: int) -> str:
+    x, y = f"{p}_x{end}", f"{p}_y{end}"
+    return f"({side} = 0 AND {x} BETWEEN least({e}_x1, {e}_x2) AND greatest({e}_x1, {e}_x2) AND {y} BETWEEN least({e}_y1, {e}_y2) AND greatest({e}_y1, {e}_y2))"
+
+
+#: Whether an end of one edge lies on the other, with that end.
+TOUCHES = {
+    _on("s1", "b", "a", 1): ("b_x1", "b_y1"),
+    _on("s2", "b", "a", 2): ("b_x2", "b_y2"),
+    _on("s3", "a", "b", 1): ("a_x1", "a_y1"),
+    _on("s4", "a", "b", 2): ("a_x2", "a_y2"),
+}
+
+
+def _meetings(edges: DataFrame, key: str) -> DataFrame:
+    """(key, code) for each kind of forbidden meeting of two edges, (key, part, rings, touches) where rings of a part touch."""
     # How far two edges on one line overlap, by their longer direction.
     overlap = "(s1 = 0 AND s2 = 0 AND (" + " OR ".join(
         f"least(greatest(a_{c}1, a_{c}2), greatest(b_{c}1, b_{c}2)) > greatest(least(a_{c}1, a_{c}2), least(b_{c}1, b_{c}2))"
         for c in "xy"
     ) + "))"
-
-    def on(side: str, p: str, e: str, end: int) -> str:
-        x, y = f"{p}_x{end}", f"{p}_y{end}"
-        return f"({side} = 0 AND {x} BETWEEN least({e}_x1, {e}_x2) AND greatest({e}_x1, {e}_x2) AND {y} BETWEEN least({e}_y1, {e}_y2) AND greatest({e}_y1, {e}_y2))"
-
-    touch = f"({on('s1', 'b', 'a', 1)} OR {on('s2', 'b', 'a', 2)} OR {on('s3', 'a', 'b', 1)} OR {on('s4', 'a', 'b', 2)})"
+    touch = f"({' OR '.join(TOUCHES)})"
     neighbours = "(b_at - a_at = 1 OR b_at - a_at = a_n - 1)"
     one_ring = "(a_part = b_part AND a_ring = b_ring)"
     code = F.expr(
-        f"CASE WHEN {one_ring} AND ({proper} OR {overlap} OR (NOT {neighbours} AND {touch})) THEN {REASONS.index('Self-intersection')} "
-        f"WHEN NOT {one_ring} AND a_part = b_part AND ({proper} OR {overlap}) THEN {REASONS.index('Rings cross')} "
-        f"WHEN a_part <> b_part AND ({proper} OR {overlap}) THEN {REASONS.index('Overlapping parts')} END"
+        f"CASE WHEN {one_ring} AND ({PROPER} OR {overlap} OR (NOT {neighbours} AND {touch})) THEN {REASONS.index('Self-intersection')} "
+        f"WHEN NOT {one_ring} AND a_part = b_part AND ({PROPER} OR {overlap}) THEN {REASONS.index('Rings cross')} "
+        f"WHEN a_part <> b_part AND ({PROPER} OR {overlap}) THEN {REASONS.index('Overlapping parts')} END"
     )
-    return pairs.select(key, code.alias("code")).where("code IS NOT NULL")
+    ends = ", ".join(f"CASE WHEN {test} THEN named_struct('x', {x}, 'y', {y}) END" for test, (x, y) in TOUCHES.items())
+    met = F.expr(f"CASE WHEN a_part = b_part AND a_ring <> b_ring THEN filter(array({ends}), t -> t IS NOT NULL) END")
+    return (
+        edge_pairs(edges, key)
+        .select(key, code.alias("code"), F.col("a_part").alias("part"), F.array("a_ring", "b_ring").alias("rings"), met.alias("touches"))
+        .where("code IS NOT NULL OR size(touches) > 0")
+    )
+
+
+def _cut_off(met: DataFrame, key: str) -> DataFrame:
+    """(key, code) for parts whose interior falls apart: rings and the points where they touch have a cycle.
+
+    Such a graph has one exactly if it has more lines than nodes less components. Components come from the
+    least ring that a ring reaches, in stored rounds that also look up the label of the label.
+    """
+    part = [key, "part"]
+    touched = met.where("size(touches) > 0").select(*part, "rings", F.explode("touches").alias("t"))
+    lines = stored(touched.select(*part, F.explode("rings").alias("ring"), "t.x", "t.y").distinct(), "touching")
+    labels, last = lines.select(*part, "ring", F.col("ring").alias("label")).distinct(), None
+    while True:
+        labels = stored(labels, "labels")
+        total = labels.agg(F.sum("label")).head()[0]
+        if total == last:
+            break
+        last = total
+        by_point = lines.join(labels, [*part, "ring"]).groupBy(*part, "x", "y").agg(F.min("label").alias("label"))
+        reached = lines.join(by_point, [*part, "x", "y"]).groupBy(*part, "ring").agg(F.min("label").alias("label"))
+        further = labels.select(*part, F.col("ring").alias("label"), F.col("label").alias("further"))
+        labels = reached.join(further, [*part, "label"]).select(*part, "ring", F.least("label", "further").alias("label"))
+    rings = labels.groupBy(*part).agg(F.count(F.lit(1)).alias("rings"), F.count_distinct("label").alias("components"))
+    points = lines.groupBy(*part).agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("x", "y").alias("points"))
+    cyclic = rings.join(points, part).where("lines > rings + points - components")
+    return cyclic.select(key, _reason("Interior is disconnected").alias("code"))
 
 
 def _misplaced(edges: DataFrame, key: str) -> DataFrame:
@@ -137,17 +192,22 @@ def _misplaced(edges: DataFrame, key: str) -> DataFrame:
 def report(df: DataFrame, key: str, geometry: str = "geometry") -> DataFrame:
     """One row per geometry: ``key``, ``reason`` (``Valid`` or the first problem) and ``repeated_points``, a note.
 
-    ``key`` tells geometries apart. Points that repeat their neighbour are no fault. The edges are stored
-    once and compared from there.
+    ``key`` tells geometries apart. Points that repeat their neighbour are no fault. A coordinate that is null, NaN,
+    infinite or beyond 1e100 has a reason of its own; such a geometry's edges are not compared. The edges are
+    stored once and compared from there.
     """
-    own = F.expr(geo.ring_problem_code(geometry, {name: i for i, name in enumerate(REASONS)}))
-    simple = df.select(key, own.alias("code"), F.expr(geo.repeated_points_count(geometry)).alias("repeated_points"))
-    edges = stored(_edges(df, key, geometry), "edges")
-    met = _meetings(edges, key).unionByName(_misplaced(edges, key)).groupBy(key).agg(F.min("code").alias("met_code"))
+    own = F.expr(geo.ring_problem_code("_rings", {name: i for i, name in enumerate(REASONS)}))
+    shapes = df.select(F.col(key).alias("_key"), F.col(geometry).alias("_rings"))
+    simple = shapes.select("_key", own.alias("code"), F.expr(geo.repeated_points_count("_rings")).alias("repeated_points"))
+    edges = stored(edges_of(shapes.where(F.expr(geo.all_finite("_rings"))), "_key", "_rings"), "edges")
+    pairs = stored(_meetings(edges, "_key"), "meetings")
+    found = pairs.where("code IS NOT NULL").select("_key", "code")
+    met = found.unionByName(_misplaced(edges, "_key")).unionByName(_cut_off(pairs, "_key"))
+    met = met.groupBy("_key").agg(F.min("code").alias("met_code"))
     names = F.array(*[F.lit(name) for name in REASONS])
     worst = F.least("code", "met_code")
-    return simple.join(met, key, "left").select(
-        key, F.when(worst.isNull(), F.lit(VALID)).otherwise(F.get(names, worst)).alias("reason"), "repeated_points"
+    return simple.join(met, "_key", "left").select(
+        F.col("_key").alias(key), F.when(worst.isNull(), F.lit(VALID)).otherwise(F.get(names, worst)).alias("reason"), "repeated_points"
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from propstats.functions import names, projection
-from propstats.operators import qa, socio, validity
+from propstats.operators import qa, repair, socio, validity
 from propstats.operators.spatial import with_srid
 from propstats.sources import tables
 
@@ -34,6 +34,8 @@ def check_polygons(
 ) -> dict:
     """Repair a polygon layer, report on it, and save it only if every polygon is valid then.
 
+    Rings are closed and turned; polygons that were reported invalid are drawn anew (``operators.repair``).
+
     Writes below ``path``: ``before`` and ``after`` (validity reports), ``quarantine`` (what stays invalid,
     with its reason), ``numbering`` of the district codes, ``overlap`` with ``codes`` if given, and
     ``layer`` if nothing was put in quarantine. Returns the counts and where the layer lies, if saved.
@@ -45,7 +47,7 @@ def check_polygons(
         return tables.read_table(spark, f"{root}/{name}")
 
     before = store("before", validity.report(layer, key))
-    mended = tables.stored(validity.repaired(layer), "mended")
+    mended = tables.stored(repair.mended(validity.repaired(layer), before, key), "mended")
     after = store("after", validity.report(mended, key))
     good, bad = validity.split(mended, after, key)
     quarantined = store("quarantine", bad).count()
