@@ -6,6 +6,8 @@ check SQL read the same input. Every view covers its whole base table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,24 @@ RAW_LINE = """CASE
         property_type, ',N,F,', CAST(l_linenumber AS STRING), ',,"HIGH STREET, NORTH",,LONDON,CITY,LONDON,A,A')
     END"""
 
+# Two monthly files of changes to the feed, as (which sales, id, price, date, status): new prices, deletions, sales moved by
+# a year and new sales; then deletions of changed sales, deleted ones that come back, and sales both added and deleted.
+_NEXT_YEAR = "concat(CAST(CAST(year(date_transfer) AS INT) + 1 AS STRING), '-06-15')"
+CHANGES = [
+    [
+        ("l_orderkey % 50 = 0", "transaction_id", "price + 1000", "CAST(date_transfer AS STRING)", "C"),
+        ("l_orderkey % 50 = 1", "transaction_id", "price", "CAST(date_transfer AS STRING)", "D"),
+        ("l_orderkey % 50 = 2", "transaction_id", "price", _NEXT_YEAR, "C"),
+        ("l_orderkey % 50 = 3 AND l_linenumber = 1", "concat('new-', transaction_id)", "price", "CAST(date_transfer AS STRING)", "A"),
+    ],
+    [
+        ("l_orderkey % 50 = 0 AND l_linenumber = 1", "transaction_id", "price", "CAST(date_transfer AS STRING)", "D"),
+        ("l_orderkey % 50 = 1 AND l_linenumber = 1", "transaction_id", "price + 5", "CAST(date_transfer AS STRING)", "C"),
+        ("l_orderkey % 50 = 4 AND l_linenumber = 2", "transaction_id", "price", "CAST(date_transfer AS STRING)", "D"),
+        ("l_orderkey % 50 = 4 AND l_linenumber = 2", "transaction_id", "price + 7", "CAST(date_transfer AS STRING)", "A"),
+    ],
+]
+
 # Text dates as a lenient parser meets them: every 13th is an impossible day, every 17th no date.
 DATE_TEXT = """CASE WHEN l_orderkey % 13 = 0 THEN '1999-02-30' WHEN l_orderkey % 17 = 0 THEN 'not known'
     ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END"""
@@ -147,6 +167,17 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.selectExpr(f"{RAW_LINE} AS value")
 
 
+def change_lines(spark: SparkSession, sf_dir: str, month: int) -> DataFrame:
+    """The lines of one of the monthly files."""
+    base = _read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", *[f"{e} AS {n}" for n, e in SALES.items()])
+    parts = []
+    for which, key, price, date, status in CHANGES[month]:
+        line = f"""concat({key}, ',', CAST({price} AS STRING), ',', {date}, ' 00:00,"', coalesce(postcode, ''), '",',
+            property_type, ',N,F,', CAST(l_linenumber AS STRING), ',,"HIGH STREET, NORTH",,LONDON,CITY,LONDON,A,{status}')"""
+        parts.append(base.where(which).selectExpr(f"{line} AS value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def dated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").selectExpr(f"{DATE_TEXT} AS date_text")
 

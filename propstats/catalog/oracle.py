@@ -331,6 +331,33 @@ _SERIES_MART = [
 ]
 
 
+def _monthly(sales_raw: str) -> str:
+    """The feed after its monthly files: of each sale's records the last, deletions last of a month."""
+    records = [
+        f"""SELECT {month} AS month, {dict(A=0, C=1, D=2)[status]} AS place, {key} AS transaction_id, {price} AS price,
+            CAST({date} AS DATE) AS date_transfer, postcode, property_type, '{status}' AS record_status FROM s WHERE {which}"""
+        for month, file in enumerate(fx.CHANGES)
+        for which, key, price, date, status in file
+    ]
+    return f"""WITH s AS ({sales_raw}), records AS ({' UNION ALL '.join(records)}),
+        base AS (SELECT transaction_id, price, date_transfer, CASE WHEN l_orderkey % 109 = 0 THEN NULL ELSE postcode END AS postcode,
+            property_type, 'A' AS record_status FROM s WHERE {_CLEAN} AND transaction_id NOT IN (SELECT transaction_id FROM records)),
+        last AS (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY month DESC, place DESC, price DESC, date_transfer DESC,
+            postcode DESC NULLS LAST, property_type DESC) = 1)
+        SELECT *, CAST(year(date_transfer) AS INTEGER) AS year FROM (SELECT * FROM base
+            UNION ALL SELECT * EXCLUDE (month, place) FROM last WHERE record_status <> 'D')"""
+
+
+def _common(a: str, b: str, x0: str, y0: str, x1: str, y1: str) -> str:
+    """The area that two rectangles share."""
+    wide = f"greatest(least({a}.x1, {b}.{x1}) - greatest({a}.x0, {b}.{x0}), 0)"
+    return f"({wide} * greatest(least({a}.y1, {b}.{y1}) - greatest({a}.y0, {b}.{y0}), 0))"
+
+
+_SHARED = f"""sizes AS (SELECT LSOACode, PostDist, {_common('z', 'd', 'x0', 'y0', 'x1', 'y1')} AS size FROM zones z, districts d),
+    shared AS (SELECT * FROM sizes WHERE size > 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """One SQL text per registered query."""
     district_trends = level_trends("district")
@@ -384,6 +411,11 @@ def oracle_sql() -> dict[str, str]:
             "num_rows",
             "FROM lineitem",
         ),
+        "ingest_verified": f"""WITH s AS ({sales_raw}), y AS (SELECT CAST(year(date_transfer) AS INTEGER) AS year, count(*) AS n,
+                bool_or(l_linenumber = 1) AS altered FROM s WHERE {_CLEAN} GROUP BY 1)
+            SELECT year, n AS expected_rows, n AS written_rows, true AS matches, 'stored' AS copy FROM y
+            UNION ALL SELECT year, n, n, NOT altered, 'altered' FROM y""",
+        "monthly_changes": _monthly(sales_raw),
         "silver_partition_counts": f"""WITH {SALES}, y AS (
             SELECT CAST(year(date_transfer) AS INTEGER) AS year, count(*) AS num_transactions FROM sales GROUP BY 1)
             SELECT *, CAST(row_number() OVER (ORDER BY year) AS INTEGER) AS from_first,
@@ -437,6 +469,21 @@ def oracle_sql() -> dict[str, str]:
         "spatial_within_shapes": _shapes(),
         "spatial_within_detailed": f"""WITH {ZONES}, {DISTRICTS}
             SELECT LSOACode, PostDist FROM zones z JOIN districts d ON {INSIDE} AND z.y1 <= d.y1 - 0.5""",
+        "spatial_shares": f"""WITH {ZONES}, {DISTRICTS}, {_SHARED}
+            SELECT z.LSOACode, PostDist, size AS shared_area, size / ((z.x1 - z.x0) * (z.y1 - z.y0)) AS share
+            FROM zones z LEFT JOIN shared USING (LSOACode)""",
+        "spatial_shares_shapes": f"""WITH {ZONES}, squares AS (SELECT n_nationkey % 3 AS kind, {fx.select_list(fx.DISTRICT_BOXES)} FROM nation),
+            taken AS (SELECT *, CASE kind WHEN 0 THEN x0 + 40 WHEN 1 THEN x0 + 40 ELSE x0 + 45 END AS tx0,
+                CASE kind WHEN 0 THEN x0 + 60 WHEN 1 THEN x0 + 60 ELSE x0 + 55 END AS tx1,
+                CASE kind WHEN 0 THEN y0 + 40 WHEN 1 THEN y0 + 60 ELSE y0 END AS ty0,
+                CASE kind WHEN 0 THEN y0 + 60 ELSE y1 END AS ty1 FROM squares),
+            sizes AS (SELECT LSOACode, PostDist, {_common('z', 'd', 'x0', 'y0', 'x1', 'y1')} - {_common('z', 'd', 'tx0', 'ty0', 'tx1', 'ty1')} AS shared_area
+                FROM zones z, taken d)
+            SELECT * FROM sizes WHERE shared_area > 0""",
+        "population_by_share": f"""WITH {ZONES}, {DISTRICTS}, {_SHARED}
+            SELECT PostDist, round(sum(TotalPopulation * (size / ((z.x1 - z.x0) * (z.y1 - z.y0)))), 4) AS TotalPopulation,
+                round(sum(DependentChildren * (size / ((z.x1 - z.x0) * (z.y1 - z.y0)))), 4) AS DependentChildren
+            FROM zones z JOIN shared USING (LSOACode) GROUP BY PostDist""",
         "district_area": f"""WITH {ZONES}, {DISTRICTS}
             SELECT 'district' AS layer, PostDist AS code, 10000.0::DOUBLE / 1000000 AS area_km2 FROM districts
             UNION ALL SELECT 'shaped', PostDist, CASE n_nationkey % 3 WHEN 0 THEN 9600.0::DOUBLE WHEN 1 THEN 9200.0::DOUBLE

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from propstats.catalog import fixtures as fx
 from propstats.functions import geometry as geo
 from propstats.functions import names, postcode, projection
-from propstats.operators import explore, marts, price_stats, qa, quality, repair, sampling, socio, spatial, validity
+from propstats.operators import explore, marts, overlap, price_stats, qa, quality, repair, sampling, socio, spatial, validity
 from propstats.operators.geography import counts_by_place, with_geography, with_year
-from propstats.plans import areas, gold, ingest
+from propstats.plans import areas, changes, gold, ingest
 from propstats.schema import ZONE, level_keys
 from propstats.session import scratch_path
 from propstats.sources import polygons, tables
@@ -111,6 +111,28 @@ def ingest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.reconciliation(spark, raw, silver)
 
 
+def ingest_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table, and a copy in which a value of some rows went to another column, held against the source by content."""
+    raw, silver, swapped = _raw_csv(spark, sf_dir), scratch_path(spark, "silver"), scratch_path(spark, "swapped")
+    rows = ingest.to_silver(spark, raw, silver)
+    altered = rows.withColumn("locality", F.when(F.col("paon") == "1", F.col("town_city")).otherwise(F.col("locality"))).withColumn(
+        "town_city", F.when(F.col("paon") == "1", F.lit(None)).otherwise(F.col("town_city"))
+    )
+    tables.write_by_year(altered, swapped)
+    copies = [ingest.verify_against_source(spark, raw, path).withColumn("copy", F.lit(name)) for name, path in (("stored", silver), ("altered", swapped))]
+    return copies[0].unionByName(copies[1])
+
+
+def monthly_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after two monthly files."""
+    silver, months = scratch_path(spark, "silver"), [scratch_path(spark, "month") for _ in fx.CHANGES]
+    ingest.to_silver(spark, _raw_csv(spark, sf_dir), silver)
+    for i, path in enumerate(months):
+        fx.change_lines(spark, sf_dir, i).write.text(path)
+    changes.apply_changes(spark, silver, months)
+    return tables.read_table(spark, silver).select("transaction_id", "price", "date_transfer", "postcode", "property_type", "record_status", "year")
+
+
 def silver_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "silver")
     tables.write_by_year(with_year(fx.sales(spark, sf_dir)), path)
@@ -241,6 +263,24 @@ def spatial_within_detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return socio.place_in_districts(zones, districts).select("LSOACode", "PostDist")
 
 
+def spatial_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones, districts = fx.zone_polygons(spark, sf_dir), fx.districts(spark, sf_dir)
+    return overlap.with_shares(zones, districts, ["PostDist"], "left").select("LSOACode", "PostDist", "shared_area", "share")
+
+
+def spatial_shares_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared areas with districts that have holes, notches or two parts."""
+    zones, districts = fx.zone_polygons(spark, sf_dir), fx.shaped_districts(spark, sf_dir)
+    return overlap.with_shares(zones, districts, ["PostDist"]).select("LSOACode", "PostDist", "shared_area")
+
+
+def population_by_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People per district, those of small areas across a border divided by area."""
+    shares = overlap.with_shares(fx.zones(spark, sf_dir), fx.districts(spark, sf_dir), ["PostDist"])
+    people = overlap.apportioned(shares, "PostDist", ["TotalPopulation", "DependentChildren"])
+    return people.select("PostDist", *[F.round(c, 4).alias(c) for c in people.columns[1:]])
+
+
 def district_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = [
         fx.districts(spark, sf_dir).select(F.lit("district").alias("layer"), F.col("PostDist").alias("code"), "geometry"),
@@ -438,6 +478,8 @@ def queries() -> dict[str, Query]:
         class_samples,
         ingest_csv_roundtrip,
         ingest_reconcile,
+        ingest_verified,
+        monthly_changes,
         silver_partition_counts,
         qa_null_counts,
         qa_price_summary,
@@ -460,6 +502,9 @@ def queries() -> dict[str, Query]:
         spatial_within_left,
         spatial_within_shapes,
         spatial_within_detailed,
+        spatial_shares,
+        spatial_shares_shapes,
+        population_by_share,
         district_area,
         district_socio,
         district_trends_with_socio,

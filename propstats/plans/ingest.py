@@ -31,6 +31,12 @@ def reconciliation(spark: SparkSession, csv_path: str, silver_path: str) -> Data
     return counted.unionByName(written.select(F.lit("written").alias("step"), "num_rows"))
 
 
+def verify_against_source(spark: SparkSession, csv_path: str, silver_path: str) -> DataFrame:
+    """Per year, whether the stored rows are those of the source: (year, expected_rows, written_rows, matches)."""
+    source = with_year(sales_csv.well_formed(sales_csv.read_raw_sales(spark, csv_path)))
+    return tables.compare_content(tables.fingerprint(source), tables.fingerprint(tables.read_table(spark, silver_path)))
+
+
 def quality_reports(silver: DataFrame) -> dict[str, DataFrame]:
     """The ingest checks as lazy reports on the stored columns."""
     return {
@@ -53,9 +59,11 @@ def ingest(
     retire_source: bool = False,
     probe_year: int | None = None,
 ) -> dict:
-    """Convert, verify, report; with ``retire_source`` delete the CSV, but only if all rows arrived.
+    """Convert, verify, report; with ``retire_source`` delete the CSV, but only if every row arrived as it was read.
 
-    Only a single file can be retired; a folder is refused before anything is converted.
+    The stored table is read back and held against the source by content, year by year; when that agrees, the
+    fingerprint is left beside the table as its manifest. Only a single file can be retired; a folder is refused
+    before anything is converted.
     """
     if retire_source and not tables.is_file(spark, csv_path):
         raise ValueError(f"only a single file can be retired: {csv_path}")
@@ -65,5 +73,8 @@ def ingest(
     if report_path is not None:
         for name, table in quality_reports(silver).items():
             tables.write_table(table, f"{report_path.rstrip('/')}/{name}")
-    report["source_deleted"] = bool(retire_source and report["match"]) and tables.delete_source(spark, csv_path)
+    report["content_match"] = verify_against_source(spark, csv_path, silver_path).where(~F.col("matches")).isEmpty()
+    if report["content_match"]:
+        tables.write_manifest(tables.fingerprint(tables.read_table(spark, silver_path)), silver_path)
+    report["source_deleted"] = bool(retire_source and report["match"] and report["content_match"]) and tables.delete_source(spark, csv_path)
     return report

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +63,63 @@ def verify_table(spark: SparkSession, path: str, expected_rows: int, probe_year:
     return report
 
 
+def fingerprint(df: DataFrame, by: Sequence[str] = ("year",), columns: Sequence[str] | None = None) -> DataFrame:
+    """Per partition, a fingerprint of its rows as a multiset: their number and the sums of two independent row hashes.
+
+    The order of rows and of columns does not count, repeats do, and null differs from any value. One pass, and one
+    row per partition and task is all that is shuffled. ``columns`` default to all but the partition's.
+    """
+    names = sorted(columns if columns is not None else [c for c in df.columns if c not in by])
+    # A hash passes over nulls: which columns are null is hashed as text of its own.
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in names]) if names else F.lit("")
+    hashes = [F.xxhash64(F.lit(salt), nulls, *[F.col(c) for c in names]).cast("decimal(20,0)") for salt in ("first", "second")]
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("num_rows"), *[F.sum(h).cast("decimal(38,0)").alias(f"hash_{i}") for i, h in enumerate(hashes, 1)]
+    )
+
+
+_PRINT = ["num_rows", "hash_1", "hash_2"]
+
+
+def compare_content(expected: DataFrame, found: DataFrame, by: Sequence[str] = ("year",)) -> DataFrame:
+    """Two fingerprints side by side: (by, expected_rows, written_rows, matches); partitions of one side only do not match."""
+    same = F.lit(True)
+    for c in _PRINT:
+        same = same & F.col(f"e.{c}").eqNullSafe(F.col(f"f.{c}"))
+    keys = F.lit(True)
+    for c in by:
+        keys = keys & F.col(f"e.{c}").eqNullSafe(F.col(f"f.{c}"))
+    joined = expected.alias("e").join(found.alias("f"), keys, "full_outer")
+    named = [F.coalesce(f"e.{c}", f"f.{c}").alias(c) for c in by]
+    count = {"expected_rows": "e.num_rows", "written_rows": "f.num_rows"}
+    return joined.select(*named, *[F.coalesce(F.col(c), F.lit(0)).alias(name) for name, c in count.items()], same.alias("matches"))
+
+
+def write_manifest(content: DataFrame, path: str) -> None:
+    """Keep a table's fingerprint in its folder, where readers of the table do not look: the last thing written."""
+    content.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/_manifest")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path.rstrip('/')}/_manifest")
+
+
+def verify_content(spark: SparkSession, path: str, by: Sequence[str] = ("year",)) -> DataFrame:
+    """Hold a stored table against its manifest, partition by partition."""
+    return compare_content(read_manifest(spark, path), fingerprint(spark.read.parquet(path), by), by)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _file(spark, path)
+    return bool(files.exists(target))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, if it is there."""
+    files, target = _file(spark, path)
+    files.delete(target, True)
+
+
 def delete_source(spark: SparkSession, path: str) -> bool:
     """Delete one file (never a folder's contents) through the Hadoop file system of its scheme."""
     files, target = _file(spark, path)
