@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from propstats.functions import geometry as geo
 from propstats.operators import validity
 from propstats.operators.validity import PROPER, TOUCHES, edge_pairs, edges_of
-from propstats.sources.tables import stored
+from propstats.sources.tables import Rounds, stored
 
 _PIECE = ["ux", "uy", "vx", "vy"]
 
@@ -120,8 +120,9 @@ def _traced(followed: DataFrame, longest: int) -> DataFrame:
     A round doubles how far each piece sees, so rings of n pieces take log2(n) joins. Each round is stored.
     """
     seen, span = followed.select("id", "to", F.col("id").alias("ring"), F.lit(0).cast("long").alias("away")), 1
+    rounds = Rounds("traced")
     for _ in range(math.ceil(math.log2(max(longest, 2)))):
-        seen = stored(seen, "traced")
+        seen = rounds.store(seen)
         ahead = seen.select(F.col("id").alias("to"), F.col("to").alias("onward"), F.col("ring").alias("other"), F.col("away").alias("beyond"))
         lower = F.col("other") < F.col("ring")
         seen = seen.join(ahead, "to").select(

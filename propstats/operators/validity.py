@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from propstats.functions import geometry as geo
 from propstats.operators.spatial import with_bounds
-from propstats.sources.tables import stored
+from propstats.sources.tables import Rounds, stored
 
 VALID = "Valid"
 # In the order in which they are reported; the first that applies is a geometry's reason.
@@ -140,9 +140,9 @@ def _cut_off(met: DataFrame, key: str) -> DataFrame:
     part = [key, "part"]
     touched = met.where("size(touches) > 0").select(*part, "rings", F.explode("touches").alias("t"))
     lines = stored(touched.select(*part, F.explode("rings").alias("ring"), "t.x", "t.y").distinct(), "touching")
-    labels, last = lines.select(*part, "ring", F.col("ring").alias("label")).distinct(), None
+    labels, last, rounds = lines.select(*part, "ring", F.col("ring").alias("label")).distinct(), None, Rounds("labels")
     while True:
-        labels = stored(labels, "labels")
+        labels = rounds.store(labels)
         total = labels.agg(F.sum("label")).head()[0]
         if total == last:
             break

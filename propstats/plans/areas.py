@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from propstats.functions import names, projection
 from propstats.operators import qa, repair, socio, validity
 from propstats.operators.spatial import with_srid
+from propstats.session import owns_scratch
 from propstats.sources import tables
 
 
@@ -29,6 +30,7 @@ def load_small_areas(
     return socio.with_indicators(layer, facts, polygon_key), socio.unmatched_codes(layer, facts, polygon_key)
 
 
+@owns_scratch
 def check_polygons(
     spark: SparkSession, layer: DataFrame, key: str, path: str, codes: DataFrame | None = None, code: str = "postcode_district"
 ) -> dict:

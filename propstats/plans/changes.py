@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from propstats.operators.geography import with_year
 from propstats.schema import SALE_SCHEMA
+from propstats.session import owns_scratch
 from propstats.sources import sales_csv, tables
 
 KEY = "transaction_id"
@@ -61,6 +62,7 @@ def _finish(spark: SparkSession, silver_path: str) -> list[int | None]:
     return years
 
 
+@owns_scratch
 def apply_changes(spark: SparkSession, silver_path: str, paths: Sequence[str]) -> dict:
     """Apply change files, oldest first, to the table at ``silver_path`` and say what that came to.
 

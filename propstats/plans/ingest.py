@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from propstats.operators import qa, sampling
 from propstats.operators.geography import with_year
+from propstats.session import owns_scratch
 from propstats.sources import sales_csv, tables
 
 
@@ -51,6 +52,7 @@ def quality_reports(silver: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+@owns_scratch
 def ingest(
     spark: SparkSession,
     csv_path: str,

@@ -16,6 +16,7 @@ from propstats.operators.quality import GOLD_THRESHOLDS
 from propstats.operators.spatial import require_same_srid
 from propstats.plans import areas, gold
 from propstats.schema import LEVELS
+from propstats.session import owns_scratch
 from propstats.sources import tables
 
 
@@ -49,6 +50,7 @@ def post_filter(trends: DataFrame, latest_year: int, low_volume: int, since_year
     }
 
 
+@owns_scratch
 def publish(
     spark: SparkSession,
     silver: DataFrame,

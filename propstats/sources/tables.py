@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from propstats.session import scratch_path
+from propstats.session import remove_folder, scratch_path
 
 
 def write_by_year(df: DataFrame, path: str, cluster: bool = True) -> None:
@@ -38,6 +38,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """A table worked out in rounds: each round is stored, and the one it was made from removed then."""
+
+    def __init__(self, name: str):
+        self.name, self.path = name, None
+
+    def store(self, df: DataFrame) -> DataFrame:
+        spark, path = df.sparkSession, scratch_path(df.sparkSession, self.name)
+        df.write.parquet(path)
+        if self.path is not None:
+            remove_folder(spark, self.path)
+        self.path = path
+        return spark.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A headered CSV; types are inferred only where no schema is given."""
     reader = spark.read.option("header", True).option("enforceSchema", False)
@@ -116,8 +131,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote, if it is there."""
-    files, target = _file(spark, path)
-    files.delete(target, True)
+    remove_folder(spark, path)
 
 
 def delete_source(spark: SparkSession, path: str) -> bool:
