@@ -378,6 +378,12 @@ def oracle_sql() -> dict[str, str]:
         "district_price_trends": f"WITH {district_trends} SELECT * FROM trends",
         "sector_price_trends": f"WITH {level_trends('sector')} SELECT * FROM trends",
         "multi_level_stats": _multi_level(),
+        "sketch_counts": f"""WITH {PLACED} SELECT CASE WHEN year < {SINCE} THEN 'early' ELSE 'late' END AS span, postcode_district,
+            property_type, count(*) AS num_transactions, count(price) AS num_sketched FROM placed GROUP BY 1, 2, 3""",
+        "sketch_rank_error": f"""WITH {PLACED}, g AS ({' UNION ALL '.join(
+            f"SELECT DISTINCT '{level}' AS level, postcode_{level} AS code, property_type FROM placed" for level in LEVELS)})
+            SELECT level, p::DOUBLE AS percentile, count(*) AS groups, true AS within
+            FROM g, (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.95]) AS p) GROUP BY ALL""",
         "quality_pass_rate": _pass_rate(),
         "postcode_parts": f"""WITH {PLACED} SELECT transaction_id, postcode, postcode_area, postcode_district,
             postcode_sector FROM placed""",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from propstats.catalog import fixtures as fx
 from propstats.functions import geometry as geo
 from propstats.functions import names, postcode, projection
-from propstats.operators import explore, marts, overlap, price_stats, qa, quality, repair, sampling, socio, spatial, validity
+from propstats.operators import explore, marts, overlap, price_stats, qa, quality, repair, sampling, sketches, socio, spatial, validity
 from propstats.operators.geography import counts_by_place, with_geography, with_year
 from propstats.plans import areas, changes, gold, ingest
 from propstats.schema import ZONE, level_keys
@@ -88,6 +88,30 @@ def multi_level_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return price_stats.multi_level_statistics(fx.sales(spark, sf_dir))
 
 
+def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.stored(sketches.price_sketches(fx.sales(spark, sf_dir)), "sketches")
+
+
+def sketch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales of two spans of years per district and type, from merged sketches."""
+    kept, spans = _sketches(spark, sf_dir), {"early": F.col("year") < SINCE_YEAR, "late": F.col("year") >= SINCE_YEAR}
+    keys = ["postcode_district", "property_type"]
+    parts = [sketches.merged(kept.where(years), keys).withColumn("span", F.lit(span)) for span, years in spans.items()]
+    both = parts[0].unionByName(parts[1])
+    return both.select("span", *keys, "num_transactions", F.kll_sketch_get_n_bigint("price_sketch").alias("num_sketched"))
+
+
+def sketch_rank_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged sketches of all years against exact ranks: groups per level and percentile, and whether all are within the bound."""
+    sales, kept = with_geography(fx.sales(spark, sf_dir)), _sketches(spark, sf_dir)
+    parts = []
+    for level in ("area", "district", "sector"):
+        keys = [f"postcode_{level}", "property_type"]
+        errors = sketches.rank_errors(sketches.quantiles(sketches.merged(kept, keys)), sales, keys)
+        parts.append(errors.groupBy("percentile").agg(F.count(F.lit(1)).alias("groups"), (F.max("error") <= sketches.RANK_ERROR).alias("within")).withColumn("level", F.lit(level)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def quality_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.pass_rate(gold.all_level_trends(fx.sales(spark, sf_dir)), ["level"])
 
@@ -470,6 +494,8 @@ def queries() -> dict[str, Query]:
         district_price_trends,
         sector_price_trends,
         multi_level_stats,
+        sketch_counts,
+        sketch_rank_error,
         quality_pass_rate,
         postcode_parts,
         postcode_parts_raw,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from propstats.functions import names
 from propstats.functions.labels import property_type_name
 from propstats.functions.postcode import LONDON_ZONES, UNKNOWN
+from propstats.operators.ranking import with_position
 from propstats.schema import DISPERSION_COLUMNS, INDICATORS, STATISTIC_COLUMNS, TREND_COLUMNS, ZONE
 
 # Columns of the geometry mart and of the series mart.
@@ -119,17 +120,7 @@ def with_latest_metric(
 
 
 def hotspots(df: DataFrame, year: int) -> DataFrame:
-    """Rows with their position by the latest five-year growth, then district, type, and year backwards.
-
-    Only one row per district and type is ranked; a row's position is the rows of the keys before its
-    own, and its place among its key's years.
-    """
-    keys = ["postcode_district", "property_type"]
-    rows = with_latest_metric(df, year)
-    key_rows = rows.groupBy(*keys, LATEST_METRIC).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.orderBy(F.desc_nulls_last(LATEST_METRIC), *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = key_rows.select(*keys, (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("year")))
-    ranked = rows.withColumn("_place", place).join(before, keys)
-    ranked = ranked.withColumn("position", F.col("_before") + F.col("_place")).orderBy("position")
-    return ranked.drop("_before", "_place", *UNUSED_COLUMNS)
+    """Rows with their position by the latest five-year growth, then district, type, and year backwards."""
+    order = [F.desc_nulls_last(LATEST_METRIC), "postcode_district", "property_type", F.desc("year")]
+    ranked = with_position(with_latest_metric(df, year).drop(*UNUSED_COLUMNS), *order)
+    return ranked.orderBy("position")

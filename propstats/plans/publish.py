@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propstats.operators import marts, qa, quality, socio
+from propstats.operators import marts, qa, quality, sketches, socio
 from propstats.operators.quality import GOLD_THRESHOLDS
 from propstats.operators.spatial import require_same_srid
 from propstats.plans import areas, gold
@@ -79,6 +79,9 @@ def publish(
     written["gold"] = f"{root}/gold"
     trends = gold_level(publish_gold(spark, silver, written["gold"]), "district")
 
+    written["price_sketches"] = f"{root}/price_sketches"
+    tables.write_by_year(sketches.price_sketches(silver), written["price_sketches"])
+
     layer = socio.district_layer(districts)
     placed = store("zones_placed", socio.place_in_districts(zones, layer, "left"))
     in_district = placed.where(F.col("PostDist").isNotNull())
