@@ -25,11 +25,16 @@ import heapq
 import json
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from propstats.llm.common import slices
 
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_CONTROLS = re.compile("[\x1c-\x1f]")
@@ -267,7 +272,9 @@ class Tokenizer:
         self.pieces.update((p, known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w])) for p, w in zip(pieces, words))
 
     def _pieces(self, text: str) -> list[str]:
-        return (SPACE.split(text) if ODD_CONTROLS.search(text) else text.split()) if text else []
+        if not ODD_CONTROLS.search(text):
+            return text.split()
+        return [piece for piece in SPACE.split(text) if piece]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -327,6 +334,28 @@ def encoded(text: Column, path: str) -> Column:
     return ids(text.cast("string"))
 
 
+def encode_rows(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``df`` with the column ``text`` replaced by ``ids`` (array<int>), in Arrow lists over one buffer per few megabytes of text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    others = [c for c in df.columns if c != text]
+    schema = T.StructType([*[df.schema[c] for c in others], T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = tokenizer(path)
+        for part in slices(batches, text, 1 << 20):
+            found = known.encode(part.column(text).fill_null("").to_pylist())
+            ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+            columns = [*[part.column(c) for c in others], lists]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        # Workers are used again for other work: what the encoder has learnt goes with its last row.
+        _TOKENIZERS.pop(path, None)
+
+    return df.select(*others, F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
+
+
 def decoded(ids: Column, path: str) -> Column:
     """The text that an array of ids decodes to; null ids are null."""
 

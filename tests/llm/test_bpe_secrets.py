@@ -36,7 +36,7 @@ def test_op6_equals_the_library(spark, sf_dir, library):
 
 ODD = [
     None, "", " ", "a", "<|endoftext|>x<|startoftext|> y", "<|end", "it's WE'LL '''s ’s", "İstanbul ΣΑΣ ﬁ ½ ①② é ̈́x", "a\x1cb\x85c d​e",
-    "日本語 テスト 한국어 👩‍👩‍👧", "x" * 50_000, "\x00\x01\x7f ﻿q", "a.b,c.. d,", "Å Ω ẞ ǅ",
+    " a\x1cb", "a\x1fb ", "\x1c", " \x1d \x1e", "\u2003x\x1cy\u3000", "日本語 テスト 한국어 👩‍👩‍👧", "x" * 50_000, "\x00\x01\x7f ﻿q", "a.b,c.. d,", "Å Ω ẞ ǅ",
 ]
 
 
