@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +50,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_row(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` with a number for each row, in a column whose name it returns."""
+    """``df`` with a key for each row, the same at every reading, in a column whose name it returns.
+
+    Rows of files are told by their file and their place in it, however the files are split among tasks. Any
+    other table is numbered and stored first.
+    """
     name = "row_number"
     while name in df.columns:
         name += "_"
-    return df.withColumn(name, F.monotonically_increasing_id()), name
+    try:
+        place = df.metadataColumn("_metadata")
+        file, at = place.getField("file_path"), place.getField("row_index")
+        numbered = df.withColumn(name, F.struct(F.xxhash64(file).alias("file"), at.alias("at")))
+        numbered.schema  # noqa: B018 - says whether the table has such columns
+        return numbered, name
+    except AnalysisException:
+        return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:

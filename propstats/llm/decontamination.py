@@ -228,8 +228,6 @@ def find(
 
 def without(docs: DataFrame, items: DataFrame, text: str = "text", **names) -> DataFrame:
     """``docs`` without the contaminated texts.
-
-    ``docs`` has to be a stored table, whose rows keep their order from one reading to the next.
     """
     numbered, row = with_row(docs)
     hits = find(numbered.select(F.col(row), text), items, row, text, **names).select(row).distinct()

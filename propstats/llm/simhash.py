@@ -171,8 +171,6 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component, that of the least key (null keys last; of repeats, the first row).
-
-    ``docs`` has to be a stored table, whose rows keep their order from one reading to the next.
     """
     numbered, row = with_row(docs)
     order = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col(row).alias("row"))

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from propstats.llm import graph, queries, simhash, suffix_dedup
 from propstats.llm.common import table
@@ -190,3 +191,21 @@ def test_simhash_odd_rows(spark):
     kept = simhash.one_of_each(df).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, {r.component_id for r in got}))
     assert simhash.one_of_each(df).columns == df.columns
+
+
+def test_rows_keep_their_key_between_readings(spark, sf_dir, tmp_path):
+    from propstats.llm.common import with_row
+
+    path = str(tmp_path / "many")
+    table(spark, sf_dir, "documents").withColumn("row_number", F.lit(1)).repartition(7).write.parquet(path)
+    wanted = None
+    for size in ("1m", "64k", "200k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        numbered, row = with_row(spark.read.parquet(path))
+        got = {(r[row].file, r[row].at): r.doc_id for r in numbered.select("doc_id", row).collect()}
+        assert row == "row_number_" and len(got) == 200 and wanted in (None, got)
+        wanted = got
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    made = spark.range(100).repartition(3)
+    numbered, row = with_row(made)
+    assert {tuple(r) for r in numbered.collect()} == {tuple(r) for r in numbered.collect()}
