@@ -1,8 +1,11 @@
+import os
+
 import corpus_pipeline as cp
-from propstats.llm import bpe, decontamination, secret_scan, simhash, toxicity
+from propstats import session
+from propstats.llm import bpe, decontamination, secret_scan, similar, toxicity
 from propstats.llm.common import table
-from tests.llm.test_dedup import brute_classes, brute_fingerprint
 from tests.llm.test_filters import words_of
+from tests.llm.test_similar import brute_groups
 
 
 def brute_leaks(texts, items):
@@ -23,7 +26,7 @@ def test_stages_by_brute_force(spark, sf_dir):
     kept = cp.stored(cp.toxicity_filter(spark, docs, sf_dir), "t1")
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(texts)
 
-    roots = brute_classes({i: brute_fingerprint(t) for i, t in texts.items()})
+    roots = brute_groups(texts)
     kept = cp.stored(cp.near_duplicates(spark, kept, sf_dir), "t2")
     texts = {i: t for i, t in texts.items() if roots[i] == i}
     assert {r.doc_id for r in kept.collect()} == set(texts)
@@ -70,6 +73,21 @@ def docs_extra():
     return F.lit("extra")
 
 
-def test_every_stage_calls_a_dealt_operator():
-    assert [name for name, _ in cp.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "encoding"]
-    assert all(m.__name__.startswith("propstats.llm.") for m in (bpe, decontamination, secret_scan, simhash, toxicity))
+def test_every_stage_calls_its_operator(spark, sf_dir, monkeypatch):
+    called = []
+    operators = {"toxicity": (toxicity, "fit"), "near_duplicates": (similar, "one_of_each"), "decontamination": (decontamination, "without"), "secrets": (secret_scan, "redact"), "encoding": (bpe, "encode_rows")}
+    for name, (module, function) in operators.items():
+        real = getattr(module, function)
+        monkeypatch.setattr(module, function, lambda *a, real=real, name=name, **b: called.append(name) or real(*a, **b))
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in cp.STAGES:
+        stage(spark, docs, sf_dir)
+    assert called == [name for name, _ in cp.STAGES] == list(operators)
+
+
+def test_only_the_last_table_stays(spark, sf_dir):
+    root = os.path.dirname(session.scratch_path(spark, "probe")).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.exists(root) else set()
+    result = cp.run(spark, sf_dir)
+    left = set(os.listdir(root)) - before
+    assert [name.split("-")[0] for name in left] == ["encoding"] and result.count() > 0
