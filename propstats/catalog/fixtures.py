@@ -289,6 +289,20 @@ def flawed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("LSOACode", geometry.alias("geometry"), F.lit(27700).alias("srid"))
 
 
+#: Where the nodes of the shift grid lie (first longitude and latitude, steps), and their shifts: it covers part of the zones.
+SHIFT_GRID = (-0.1, 51.55, 0.1, 0.06)
+SHIFT_NODES = {
+    "col": "CAST(n_nationkey % 5 AS INT)",
+    "row": "CAST(floor(n_nationkey / 5) AS INT)",
+    "d_lon": "CASE WHEN n_nationkey = 18 THEN NULL ELSE CAST((n_nationkey * 37) % 11 - 5 AS DOUBLE) / 10000 END",
+    "d_lat": "CAST((n_nationkey * 23) % 13 - 6 AS DOUBLE) / 20000",
+}
+
+
+def shift_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "nation").selectExpr(*[f"{e} AS {n}" for n, e in SHIFT_NODES.items()])
+
+
 def cut_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zones with, in turn: a hole that touches the border twice, two holes that meet twice, a hole that touches once,
     a coordinate that is no number, an infinite one, two holes from border to border, and no flaw.

@@ -224,7 +224,28 @@ class _Projection:
     ITERATIONS = 5
 
 
-def _reprojection(points: str = "SELECT LSOACode, x0 AS px, y0 AS py FROM zones", key: str = "LSOACode") -> str:
+def _by_grid() -> str:
+    """Points moved by the four nodes around them, and by the published series where one of these is missing."""
+    lon0, lat0, step_lon, step_lat = fx.SHIFT_GRID
+
+    def between(name: str) -> str:
+        return f"(a.{name} * (1 - fu) + b.{name} * fu) * (1 - fv) + (c.{name} * (1 - fu) + d.{name} * fu) * fv"
+
+    points = "SELECT LSOACode, 0 AS place, x0 AS px, y0 AS py FROM zones UNION ALL SELECT LSOACode, 1, x1, y1 FROM zones"
+    return f"""{_reprojection(points, "LSOACode, place", True)},
+        nodes AS (SELECT {fx.select_list(fx.SHIFT_NODES)} FROM nation),
+        known AS (SELECT * FROM nodes WHERE d_lon IS NOT NULL),
+        placed AS (SELECT LSOACode, place, degrees(lon) AS x, degrees(lat) AS y, (degrees(lon) - {lon0!r}) / {step_lon!r} AS u,
+            (degrees(lat) - {lat0!r}) / {step_lat!r} AS v FROM q3),
+        inside AS (SELECT p.*, floor(u) AS cu, floor(v) AS cv, u - floor(u) AS fu, v - floor(v) AS fv FROM placed p),
+        moved AS (SELECT LSOACode, place, x + {between('d_lon')} AS lon, y + {between('d_lat')} AS lat FROM inside
+            JOIN known a ON a.col = cu AND a.row = cv JOIN known b ON b.col = cu + 1 AND b.row = cv
+            JOIN known c ON c.col = cu AND c.row = cv + 1 JOIN known d ON d.col = cu + 1 AND d.row = cv + 1)
+        SELECT LSOACode, place::INTEGER AS place, round(coalesce(m.lon, degrees(atan2(y, x))), 7) AS lon, round(coalesce(m.lat, degrees(r.lat)), 7) AS lat
+        FROM r{_Projection.ITERATIONS} r LEFT JOIN moved m USING (LSOACode, place)"""
+
+
+def _reprojection(points: str = "SELECT LSOACode, x0 AS px, y0 AS py FROM zones", key: str = "LSOACode", steps_only: bool = False) -> str:
     """The published series step by step, one CTE per step."""
     p = _Projection
     arc = p.ARC
@@ -270,6 +291,8 @@ def _reprojection(points: str = "SELECT LSOACode, x0 AS px, y0 AS py FROM zones"
             f"""r{i} AS (SELECT * EXCLUDE (lat), atan2(z + {p.WGS_E2 * p.WGS_A!r} * sin(lat)
                 / sqrt(1 - {p.WGS_E2!r} * sin(lat)**2), r) AS lat FROM r{i - 1})"""
         )
+    if steps_only:
+        return f"WITH {ZONES}, {', '.join(steps)}"
     return f"""WITH {ZONES}, {', '.join(steps)} SELECT {key}, round(degrees(atan2(y, x)), 7) AS lon,
         round(degrees(lat), 7) AS lat FROM r{p.ITERATIONS}"""
 
@@ -560,4 +583,7 @@ def oracle_sql() -> dict[str, str]:
             "LSOACode, srid, place",
         ),
         "reproject_points": _reprojection(),
+        "reproject_by_grid": _by_grid(),
+        "geojson_document": f"""WITH {ZONES} SELECT LSOACode, LADName, OverallScore, x0 AS min_x, y0 AS min_y,
+            x1 AS max_x, y1 AS max_y, 27700 AS srid, (x1 - x0) * (y1 - y0) AS area, 5 AS num_points FROM zones""",
     }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from propstats.catalog import fixtures as fx
 from propstats.functions import geometry as geo
 from propstats.functions import names, postcode, projection
-from propstats.operators import explore, marts, overlap, price_stats, qa, quality, repair, sampling, sketches, socio, spatial, validity
+from propstats.operators import datum, explore, marts, overlap, price_stats, qa, quality, repair, sampling, sketches, socio, spatial, validity
 from propstats.operators.geography import counts_by_place, with_geography, with_year
 from propstats.plans import areas, changes, gold, ingest
 from propstats.schema import ZONE, level_keys
@@ -487,6 +487,24 @@ def reproject_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wgs84.select("LSOACode", F.round("p.x", 7).alias("lon"), F.round("p.y", 7).alias("lat"))
 
 
+def reproject_by_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of the zones' squares by a grid of shifts that covers some of them."""
+    corners = F.expr("array(array(array(named_struct('x', 530000 + min_x * 100, 'y', 180000 + min_y * 100), named_struct('x', 530000 + max_x * 100, 'y', 180000 + max_y * 100))))")
+    layer = fx.zone_polygons(spark, sf_dir).select("LSOACode", corners.alias("geometry"))
+    moved = datum.reproject_by_grid(layer, fx.shift_nodes(spark, sf_dir), datum.ShiftGrid(*fx.SHIFT_GRID))
+    points = moved.select("LSOACode", F.posexplode(F.flatten(F.flatten("geometry"))).alias("place", "p"))
+    return points.select("LSOACode", "place", F.round("p.x", 7).alias("lon"), F.round("p.y", 7).alias("lat"))
+
+
+def geojson_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zones written as one FeatureCollection in one file, read back in byte ranges."""
+    path = scratch_path(spark, "geojson")
+    zones = fx.zones(spark, sf_dir).select("LSOACode", "LADName", "OverallScore", "geometry")
+    polygons.write_geojson(zones, path, ["LSOACode", "LADName", "OverallScore"])
+    layer = polygons.read_geojson(spark, path, "LSOACode string, LADName string, OverallScore double", 27700)
+    return layer.withColumn("area", geo.area("geometry")).withColumn("num_points", geo.num_points("geometry")).drop("geometry")
+
+
 def queries() -> dict[str, Query]:
     listed: list[Query] = [
         area_price_trends,
@@ -556,5 +574,7 @@ def queries() -> dict[str, Query]:
         polygon_quarantine,
         reproject_layer,
         reproject_points,
+        reproject_by_grid,
+        geojson_document,
     ]
     return {query.__name__: query for query in listed}
