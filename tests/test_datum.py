@@ -26,8 +26,8 @@ def at(x, y):
     return [[ring((x, y), (x + 900, y), (x + 900, y + 700), (x, y + 700))]]
 
 
-# The grid covers about 521,000 to 541,000 east, 168,000 to 204,000 north.
-SHAPES = [("inside", at(531000, 174000)), ("across its border", at(521000, 180000)), ("outside", at(400000, 300000)), ("none", None), ("empty", []), ("by a missing node", at(530000, 186000))]
+# The grid covers about 525,000 to 546,000 east, 168,000 to 204,000 north.
+SHAPES = [("inside", at(531000, 174000)), ("across its border", at(524600, 180000)), ("outside", at(400000, 300000)), ("none", None), ("empty", []), ("by a missing node", at(530000, 186000))]
 
 
 def points(df, column):
