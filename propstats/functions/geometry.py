@@ -109,16 +109,21 @@ def _ring_inner_point(points: str) -> str:
     return _let(level, "lv", middle)
 
 
-def _on_edge(x: str, y: str, edge: str, tolerance: float) -> str:
+def _on_edge_of(x: str, y: str, ends: tuple[str, str, str, str], tolerance: float) -> str:
     """Distance to the edge's line, and place along it, both within the tolerance."""
-    dx, dy = f"({edge}.x2 - {edge}.x1)", f"({edge}.y2 - {edge}.y1)"
-    px, py = f"({x} - {edge}.x1)", f"({y} - {edge}.y1)"
+    x1, y1, x2, y2 = ends
+    dx, dy = f"({x2} - {x1})", f"({y2} - {y1})"
+    px, py = f"({x} - {x1})", f"({y} - {y1})"
     length2 = f"({dx} * {dx} + {dy} * {dy})"
     slack = f"(sqrt({length2}) * {tolerance!r}D)"
     along = f"({dx} * {px} + {dy} * {py})"
     return f"(abs({dx} * {py} - {dy} * {px}) <= {slack} AND {along} BETWEEN -{slack} AND {length2} + {slack})"
 
 
+def _on_edge(x: str, y: str, edge: str, tolerance: float) -> str:
+    return _on_edge_of(x, y, (f"{edge}.x1", f"{edge}.y1", f"{edge}.x2", f"{edge}.y2"), tolerance)
+
+
 def _on_boundary(x: str, y: str, edges: str, tolerance: float) -> str:
     return f"exists({edges}, n -> {_on_edge(x, y, 'n', tolerance)})"
 
@@ -204,6 +209,16 @@ def edges_of_distinct_points(points: str) -> str:
     return _let(_distinct_points(points), "ep", _edges("ep"))
 
 
+def ring_inner_point(points: str) -> str:
+    """SQL text: a point strictly inside a simple ring."""
+    return _ring_inner_point(points)
+
+
+def on_edge(x: str, y: str, x1: str, y1: str, x2: str, y2: str) -> str:
+    """SQL text: does a point lie on an edge, within the tolerance?"""
+    return _on_edge_of(x, y, (x1, y1, x2, y2), TOLERANCE)
+
+
 def repeated_points_count(geometry: str) -> str:
     """SQL text: how many points of a geometry repeat the one before."""
     counts = f"transform(flatten({geometry}), rp -> size(rp) - size({_distinct_points('rp')}))"

@@ -45,8 +45,13 @@ def has_space(column: Column | str = "postcode") -> Column:
 
 
 def round_half_up(value: Column, digits: int = 2) -> Column:
-    """Round half up on the ninth decimal and then on ``digits``, so that binary noise cannot tip a tie."""
-    return F.round(value.cast("decimal(28,9)"), digits).cast("double")
+    """Round half up on the ninth decimal and then on ``digits``, so that binary noise cannot tip a tie.
+
+    Values beyond 10 ** 15 have no decimals to speak of and stay as they are.
+    """
+    value = value.cast("double")
+    rounded = F.round(F.when(F.abs(value) < 1e15, value).cast("decimal(28,9)"), digits).cast("double")
+    return F.coalesce(rounded, value)
 
 
 def guarded_percent(part: Column, total: Column, digits: int = 2) -> Column:

@@ -91,8 +91,10 @@ def roll_up(placed: DataFrame, districts: DataFrame) -> DataFrame:
     for name in INDICATORS:
         score = F.when(F.col("_indicator") == name, F.col("_score"))
         weight = F.when(F.col("_indicator") == name, F.col("_n")).otherwise(F.lit(0))
-        # Summed as decimals, so that the mean does not depend on the order rows arrive in.
-        total_score = F.sum(score.cast("decimal(20,8)") * F.col("_n").cast("decimal(15,0)")).cast("double")
+        # Summed as decimals, so that the mean does not depend on the order rows arrive in; what is too large for one, as doubles.
+        small = F.abs(score) < 1e11
+        exact = F.sum(F.when(small, score).cast("decimal(20,8)") * F.col("_n").cast("decimal(15,0)")).cast("double")
+        total_score = F.coalesce(exact, F.lit(0.0)) + F.coalesce(F.sum(F.when(~small, score * F.col("_n"))), F.lit(0.0))
         scores += [
             round_half_up(F.try_divide(total_score, F.sum(weight))).alias(f"{name}Avg"),
             round_half_up((F.min(F.when(lower, score)) + F.min(F.when(upper, score))) / 2).alias(f"{name}Median"),

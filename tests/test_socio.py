@@ -51,3 +51,10 @@ def test_boxes_are_as_tolerant_as_the_exact_test(spark):
     assert spatial.within_join(edge, square(spark, "A1"), ["PostDist"], broadcast_bytes=0).count() == 1
     beyond = square(spark, "Z", 27700, "LSOACode", 1000.0 - 5.0 + 1e-3, 5.0)
     assert socio.place_in_districts(beyond, square(spark, "A1")).count() == 0
+
+
+def test_scores_too_large_for_a_decimal_still_have_a_mean(spark):
+    rows = [("A1", "E1", "a", 1e14, 1), ("A1", "E2", "b", 3e14, 1), ("B1", "E3", "c", 1e300, 1), ("C1", "E4", "d", 2.0, 1), ("C1", "E5", "e", -1e13, 1)]
+    layer = square(spark, "A1").unionByName(square(spark, "B1")).unionByName(square(spark, "C1"))
+    rolled = {r.PostDist: r.CrimeAvg for r in socio.roll_up(small_areas(spark, rows), socio.district_layer(layer)).collect()}
+    assert rolled["A1"] == 2e14 and rolled["B1"] == pytest.approx(1e300) and rolled["C1"] == pytest.approx(-5e12)
