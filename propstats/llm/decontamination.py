@@ -10,11 +10,12 @@ Items of up to ``SHORT_ITEM`` tokens also count as a whole: from ``SHORT_SHARE``
 s substitutions allowed, some s + 1st part of the item is left whole, so seeds of two to four neighbouring tokens
 find every such place; they are compared in arrays before anything else.
 
-Items are loaded in blocks of a bounded number of tokens, and each block is held against all texts. So
-neither a task nor the driver holds more of the benchmark than a block; texts never move.
+Items are loaded in blocks of a bounded number of tokens, and each block is held against all texts; with several blocks,
+a block's hits are stored before the next one is loaded. So neither a task nor the driver holds more of the benchmark
+than a block; texts never move.
 
-Defined cases: null and empty texts and items have no tokens and no hits; items with fewer than
-``LEAST_ITEM`` tokens are no evidence and are not searched; items of equal tokens are one item, named by the
+Defined cases: null and empty texts and items have no tokens and no hits; items of any length are searched, those of
+up to four tokens as they stand (``least_item`` leaves out shorter ones); items of equal tokens are one item, named by the
 least id; repeated texts each get their hits; an empty table gives no rows; other columns are not read.
 """
 
@@ -28,11 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propstats.llm.common import mix, slices, text_buffers, with_row, word_hashes, word_spans
+from propstats.llm.common import mix, slices, stored, text_buffers, with_row, word_hashes, word_spans
 
 #: 1 marks a token that is hashed. Some mask avoids one substitution in any 12 tokens, two in 20, three in 24, four in 32.
 MASKS = ("110110110110", "101101101101", "011011011011", "111100001111", "000011111111", "111111110000")
-LEAST_ITEM = 5
+LEAST_ITEM = 1
 LEAST_OVERLAP = 12
 #: The longest item that is held against a place as a whole, and the percent of its tokens that have to be equal.
 SHORT_ITEM, SHORT_SHARE = 20, 80
@@ -201,12 +202,13 @@ def find(
     item_key: str = "item_id",
     item_text: str = "text",
     block_tokens: int = BLOCK_TOKENS,
+    least_item: int = LEAST_ITEM,
 ) -> DataFrame:
     """Rows (key, item_key, doc_token, item_token, n_tokens, n_equal), one per contaminated text and item."""
     spark = docs.sparkSession
     id_type, item_type = docs.schema[key].dataType, items.schema[item_key].dataType
     named = items.select(F.col(item_key).alias("k"), F.col(item_text).cast("string").alias("t"))
-    hashed = named.mapInArrow(_hashed, f"k {item_type.simpleString()}, tokens array<long>").where(F.size("tokens") >= LEAST_ITEM)
+    hashed = named.mapInArrow(_hashed, f"k {item_type.simpleString()}, tokens array<long>").where(F.size("tokens") >= max(least_item, 1))
     hashed = hashed.groupBy("tokens").agg(F.min("k").alias("k"))
     total = hashed.agg(F.sum(F.size("tokens"))).head()[0] or 0
     blocks = max(1, -(-total // block_tokens))
@@ -222,7 +224,8 @@ def find(
         rows.sort(key=lambda r: (r.k is None, r.k))
         if rows:
             block = Block([r.k for r in rows], [np.array(r.tokens, dtype=np.int64).view(np.uint64) for r in rows])
-            out = out.union(texts.mapInArrow(_found(block, arrow), schema))
+            found = texts.mapInArrow(_found(block, arrow), schema)
+            out = out.union(stored(found, "hits") if blocks > 1 else found)
     return out.withColumnsRenamed({"k": key, "item": item_key})
 
 

@@ -223,3 +223,14 @@ def test_inheritance(spark):
         10: ("MIT", "header"), 11: (None, None), 6: (None, None), 7: (None, None), 8: (None, None), 9: (None, None), None: ("MIT", "inherited"),
     }
     assert licences.scan(df.limit(0)).count() == 0
+
+
+def test_items_of_any_length_and_in_any_blocks(spark):
+    items = [(1, "alpha"), (2, "beta gamma"), (3, "one two three four"), (4, "a b c d e f g h"), (5, None), (6, "")]
+    texts = ["xx ALPHA yy", "beta, gamma!", "gamma beta", "zero one two three four five", "one two three nine", "q a b c d x f g h r", None, "alphabet"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    wanted = {(0, 1), (1, 2), (3, 3), (5, 4)}
+    for block in (1, 3, 1_000_000):
+        assert {(r.doc_id, r.item_id) for r in decontamination.find(docs, asked, block_tokens=block).collect()} == wanted
+    assert {(r.doc_id, r.item_id) for r in decontamination.find(docs, asked, least_item=5).collect()} == {(5, 4)}
