@@ -1,14 +1,18 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
-One model is trained on random strings, the other on ordinary identifiers. Both are first-order and
-their transition counts come from every text: what a fixed pattern holds is a labelled sample of random
-strings, each other run of the characters of long tokens one of identifiers, long tokens included. Both models
-are smoothed alike, so a character that neither has seen says nothing. A further long token
-is a secret where the random model makes it likelier by ``MARGIN`` nats. One pass over the texts finds the
+Models are first-order. Ordinary identifiers are learnt from every text: each run of the characters of long tokens
+that no fixed pattern holds is a sample, long tokens included, and a share of them once more in capitals, as constants are
+written. Random strings are labelled in two ways. What a fixed pattern holds is one sample; it is all of one kind in some
+corpora. So each documented format of keys (``FORMATS``) is a model of its own too, that of values drawn evenly from its
+characters. A token's score is that of the likeliest random model over the ordinary one, and a further long token
+is a secret from ``MARGIN`` nats on.
+
+Nothing is made of what is not known: a transition counts as far as the ordinary model has seen its first character, models
+that learn are smoothed alike, repeated characters say nothing, and signs nothing by formats. One pass over the texts finds the
 fixed spans, the long tokens and the counts; later steps see only those.
 
 Defined cases: a null text is empty and has no spans; an empty table gives no rows; without any
-fixed match nothing is known of random strings and no spans are added; repeated rows are scanned alike;
+fixed match only the formats stand for random strings; repeated rows are scanned alike;
 a null id stays null. Spans count code points, the end is exclusive.
 """
 
@@ -42,8 +46,16 @@ KINDS = ("assign", "access", "hex", "markov")
 LONG_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SIZE = len(ALPHABET) + 1
-#: The odds of a thousand to one that a token is no secret, in nats.
-MARGIN = float(np.log(1000.0))
+#: The characters of keys as they are issued, in letters of both cases, in capitals, in small letters.
+FORMATS = (
+    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "abcdefghijklmnopqrstuvwxyz0123456789",
+)
+#: The odds of a thousand to one that a token is no secret, in nats, for each of the random models.
+MARGIN = float(np.log(1000.0 * (1 + len(FORMATS))))
+#: So many of the ordinary transitions are taken for capitals as well.
+CAPITALS = 0.05
 #: A row of n transitions weighs n / (n + TRUST): the few that a judged token adds itself must not decide on it.
 TRUST = 500.0
 #: The share of the common background in a model's characters.
@@ -95,8 +107,13 @@ def _collected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rest.append(text[at:])
             raw = np.frombuffer(" ".join(rest).encode(), dtype=np.uint8)
             ordinary += _ordinary(raw)
+            # Both lists rise: of the spans only those that end after a token's start still matter.
+            pending = iter(sorted((start, end) for start, end, _ in spans))
+            reach, following = 0, next(pending, None)
             for m in LONG_TOKEN.finditer(text):
-                if not any(m.start() < end and start < m.end() for start, end, _ in spans):
+                while following is not None and following[0] < m.end():
+                    reach, following = max(reach, following[1]), next(pending, None)
+                if reach <= m.start():
                     tokens.append((m.start(), m.end(), m[0]))
             rows[0].append([s[0] for s in spans])
             rows[1].append([s[1] for s in spans])
@@ -129,9 +146,28 @@ def log_ratio(counts: np.ndarray) -> np.ndarray:
     return np.pad(both[0] - both[1], ((0, 1), (0, 1)))
 
 
+def format_ratios(ordinary: np.ndarray) -> np.ndarray:
+    """For each format, log of its even transition probability over the ordinary one, from counts of SIZE * SIZE."""
+    counts = ordinary.reshape(SIZE, SIZE)[:-1, :-1].astype(float)
+    counts[26:52, 26:52] += CAPITALS * counts[:26, :26]
+    seen, own = counts.sum(axis=1, keepdims=True), counts.sum(axis=0, keepdims=True)
+    own = (own + 1.0) / (own.sum() + SIZE - 1)
+    trust = seen / (seen + TRUST)
+    known = np.log(trust * counts / np.maximum(seen, 1) + (1 - trust) * own)
+    letters = len(FORMATS[0])
+    out = np.zeros((len(FORMATS), SIZE, SIZE))
+    for ratios, form in zip(out, FORMATS):
+        ratios[:letters, :letters] = (trust * (-np.log(len(form)) - known))[:letters, :letters]
+        ratios[range(letters), range(letters)] = 0.0
+        # A letter that the format lacks rules it out.
+        outside = [i for i in range(letters) if ALPHABET[i] not in form]
+        ratios[outside, :] = ratios[:, outside] = -1e9
+    return out
+
+
 def token_score(token: str, ratios: np.ndarray) -> float:
     codes = _CODES[np.frombuffer(token.encode(), dtype=np.uint8)]
-    return float(ratios[codes[:-1], codes[1:]].sum())
+    return float(ratios[:, codes[:-1], codes[1:]].sum(axis=1).max())
 
 
 def _collect(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -144,7 +180,7 @@ def _collect(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _ratios(collected: DataFrame) -> np.ndarray | None:
-    """The trained models' log ratios; None without any sample of random strings."""
+    """The log ratios of the learnt random model and of each format; None without any text."""
     # At most SIZE x SIZE rows, whatever the corpus.
     counted = (
         collected.where("counts")
@@ -156,7 +192,11 @@ def _ratios(collected: DataFrame) -> np.ndarray | None:
     counts = np.zeros((2, SIZE * SIZE))
     for row in counted:
         counts[:, row[0]] = row[1], row[2]
-    return log_ratio(counts) if counts[0].sum() else None
+    if not counts.any():
+        return None
+    learnt = log_ratio(counts) if counts[0].sum() else np.zeros((SIZE, SIZE))
+    np.fill_diagonal(learnt, 0.0)
+    return np.concatenate([learnt[None], format_ratios(counts[1])])
 
 
 def train(docs: DataFrame, text: str = "text") -> np.ndarray | None:

@@ -136,3 +136,32 @@ def test_rules_paths_and_slugs_are_no_secrets(spark):
     assert spans[len(texts)] == [(4, 44)]
     cut = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
     assert [cut[60 + i] for i in range(len(clean))] == clean
+
+
+@pytest.mark.parametrize("form", secret_scan.FORMATS)
+def test_planted_keys_are_found_and_clean_texts_left(spark, sf_dir, form):
+    """Held out: none of the planted keys is a fixed pattern's, so the models learn nothing from them."""
+    rng = random.Random(form)
+    keys = {i: "".join(rng.choice(form) for _ in range(rng.randint(20, 40))) for i in range(0, 200, 4)}
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    planted = spark.createDataFrame([(i, f"see {k} there ") for i, k in keys.items()], "doc_id long, p string")
+    rows = secret_scan.scan(docs.join(planted, "doc_id", "left").select("doc_id", F.concat(F.coalesce("p", F.lit("")), "text").alias("text"))).collect()
+    markov = {(r.doc_id, s.start, s.end) for r in rows for s in r.spans if s.kind == "markov"}
+    wanted = {(i, 4, 4 + len(k)) for i, k in keys.items()}
+    missed = [i for i, a, b in wanted - markov if not any(s.start < b and a < s.end for r in rows if r.doc_id == i for s in r.spans)]
+    assert len(missed) <= 0.05 * len(wanted) and not markov - wanted
+
+
+def test_identifiers_of_many_styles_are_no_secrets(spark, sf_dir):
+    styles = [
+        "getHttpResponseCodeFromServer", "MAX_BUFFER_SIZE_LIMIT_DEFAULT", "SOMECONSTANTINCAPITALS", "some_long_snake_case_name", "x" * 60, "zzzzzzzzzzzzzzzzzzzzzzzz",
+        "-" * 70, "=-=-=-=-=-=-=-=-=-=-=-=", "usr/share/doc/packages/readme", "a-very-long-slug-for-a-page", "----____////++++====",
+    ]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Prose of plain words, as the tables' own languages are invented.
+    words = "the request failed because server response code from some constant in capitals name buffer size limit default case very long page get http max".split()
+    rng = random.Random(8)
+    prose = [(10_000 + i, " ".join(rng.choice(words) for _ in range(300))) for i in range(300)]
+    rows = docs.union(spark.createDataFrame(prose + [(20_000 + i, f"see {s} there") for i, s in enumerate(styles)], "doc_id long, text string"))
+    spans = {r.doc_id: r.spans for r in secret_scan.scan(rows).where("doc_id >= 10000").collect()}
+    assert not [styles[i - 20_000] for i, s in spans.items() if s]
