@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -234,3 +235,61 @@ def test_items_of_any_length_and_in_any_blocks(spark):
     for block in (1, 3, 1_000_000):
         assert {(r.doc_id, r.item_id) for r in decontamination.find(docs, asked, block_tokens=block).collect()} == wanted
     assert {(r.doc_id, r.item_id) for r in decontamination.find(docs, asked, least_item=5).collect()} == {(5, 4)}
+
+
+GPL_HEADER = """/*
+ * frob.c - does things with {}
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main() {{ return 0; }}
+"""
+
+
+def test_wrapped_headers_licence_files_and_what_inherits_from_them(spark, sf_dir):
+    prose = [r.text or "" for r in table(spark, sf_dir, "documents").orderBy("doc_id").limit(60).collect()]
+    prose = [t for t in prose if "icen" not in t]
+    mit, bsd, isc = (licences.FILES[n][0] for n in ("MIT", "BSD-3-Clause", "ISC"))
+    files = [
+        (1, "mit/LICENSE", "MIT License\n\nCopyright (c) 2023 Jane Doe\n\n" + mit, "MIT", "file"),
+        (2, "mit/src/a.py", prose[0], "MIT", "inherited"),
+        (3, "mit/src/deep/er/b.py", "", "MIT", "inherited"),
+        (4, "mit/vendor/COPYING", "Copyright (c) 2020, X\nAll rights reserved.\n\n" + bsd, "BSD-3-Clause", "file"),
+        (5, "mit/vendor/lib/c.py", prose[1], "BSD-3-Clause", "inherited"),
+        (6, "isc/license.txt", "ISC License\n" + isc, "ISC", "file"),
+        (7, "gpl/frob.c", GPL_HEADER.format("files") + prose[2], "GPL-3.0", "header"),
+        (8, "gpl/hash.py", "".join(f"# {x}\n" for x in GPL_HEADER.split("\n")[3:7]) + prose[3], "GPL-3.0", "header"),
+        (9, "gpl/plain.c", prose[4], None, None),
+        (10, "other/x.js", "// Permission is hereby granted, free of charge, to any\n" + prose[5], None, None),
+        (11, "other/one_line.txt", (prose[6] + " Released under the MIT License. " + prose[7]).replace("\n", " "), "MIT", "header"),
+        (12, "other/mit_in_source.c", "/* " + "\n * ".join(mit.split(", ")) + " */\n" + prose[8], "MIT", "header"),
+        (13, "other/long.txt", "license " * 300_000, None, None),
+    ]
+    rows = [f[:3] for f in files] + [(100 + i, f"p{i}/t", t) for i, t in enumerate(prose)]
+    got = {r.doc_id: (r.license, r.evidence) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {f[0]: got[f[0]] for f in files} == {f[0]: f[3:] for f in files}
+
+
+def test_no_run_beyond_the_bounds_would_match():
+    """What the marks and the word bound leave out is compared here, run by run."""
+    rng = random.Random(3)
+    words = [w for _, t in licences.notices() for w in licences.WORD.findall(t.lower())]
+    counts = {w: rng.choice([0, 3, 50, 900]) for w in set(words)} | {"": 1000}
+    matcher = licences.Matcher(counts)
+    for _ in range(60):
+        text = "\n".join(" ".join(rng.choice(words) if rng.random() < 0.6 else f"x{rng.randint(0, 50)}" for _ in range(rng.randint(1, 9))) for _ in range(14))
+        if rng.random() < 0.5:
+            notice = rng.choice(licences.notices())[1].split()
+            text = "\n".join([text, " ".join(notice[: len(notice) // 2]), " ".join(notice[len(notice) // 2 :]), text])
+        found = licences.units(text)
+        best = 0.0
+        for a in range(len(found)):
+            for b in range(a + 1, len(found) + 1):
+                run = Counter(w for _, ws in found[a:b] for w in ws)
+                if b - a == 1 or sum(run.values()) <= matcher.longest:
+                    best = max(best, matcher.best(run, matcher.notices)[0])
+        cosine = matcher.header(found)[0] if matcher.may(licences.words_of(text))[0] else 0.0
+        assert cosine == best or best < licences.HEADER_COSINE
