@@ -279,8 +279,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: i
         matches = found if matches is None else matches.union(found)
 
     # Suffixes that match somewhere, and their distinct runs of windows.
-    # Stored, so that this join stands alone and the rows of a hot suffix can be split over tasks.
-    matching = stored(entries.join(matches.distinct(), KEY), "matching")
+    # Both sides are stored, so that the join reads two plain shuffles and the rows of a hot suffix can be split over tasks.
+    matching = stored(entries.join(stored(matches.distinct(), "distinct"), KEY), "matching")
     runs = matching.groupBy(*KEY, "run").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("text", "at", "lo", "hi")).alias("one")
     )
