@@ -5,9 +5,11 @@ Fingerprints within four bits of each other are linked. Copies collapse to disti
 Distances between unrelated fingerprints crowd around 32 bits, so a vantage point's triangle bounds
 leave most of a table in reach of a query. Two steps keep the search near-linear and exact:
 
-1. Six blocks of bits: four differing bits leave at least two blocks equal, so any linked pair meets in
-   one of 15 tables whose key is a pair of blocks. Within such a bucket, distances are few and varied.
-2. Each bucket is a vantage-point tree. A large one is first split over tasks into shells
+1. Blocks of bits: of b blocks, four differing bits leave at least b - 4 equal, so any linked pair meets in one of the
+   tables whose key is so many blocks. b grows with the number of points, so that keys have as many bits as points ask
+   for and buckets stay small: six blocks and 15 tables for millions, eight and 70 for hundreds of billions. Within such
+   a bucket, distances are few and varied.
+2. Each bucket has a vantage point. A large one is first split over tasks into shells
    by distance to a vantage point; since the shells are one wider than the radius, a pair lies in
    one shell or in neighbouring ones, and each shard holds its shell and the boundary of the one
    below. In a task the same bounds prune: of a point at distance d only those at d - 4 to d + 4 are
@@ -39,8 +41,8 @@ from propstats.llm.common import stored, with_row
 RADIUS = 4
 SHINGLE_WORDS = 4
 SEED = 42
-#: (first bit, bits) of the blocks; two at least are equal in any linked pair.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Blocks for up to so many points; beyond the last, eight.
+BLOCKS = ((1 << 22, 6), (1 << 29, 7))
 #: A bucket with more points is split into shells; a leaf with no more points is compared at once.
 SPLIT_POINTS, LEAF_POINTS = 4096, 64
 
@@ -134,14 +136,31 @@ def _block(point: Column, block: tuple[int, int]) -> Column:
     return F.shiftrightunsigned(point, block[0]).bitwiseAND(F.lit((1 << block[1]) - 1))
 
 
-def links(points: DataFrame) -> DataFrame:
+def blocks_for(points: int) -> int:
+    return next((blocks for most, blocks in BLOCKS if points <= most), 8)
+
+
+#: A key's blocks have fewer bits than this.
+_TABLE_BITS = 40
+
+
+def keys(blocks: int) -> list[Column]:
+    """The keys of the tables: each choice of all but RADIUS of the blocks, side by side."""
+    sizes = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
+    parts = [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
+    found = []
+    for chosen in combinations(parts, blocks - RADIUS):
+        key = F.lit(0).cast("long")
+        for part in chosen:
+            key = F.shiftleft(key, part[1]).bitwiseOR(_block(F.col("point"), part))
+        found.append(key)
+    return found
+
+
+def links(points: DataFrame, blocks: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints of column ``point`` that keep every component."""
-    tables = [
-        F.struct(F.lit(i).alias("table"), F.shiftleft(_block(F.col("point"), p), 11).bitwiseOR(_block(F.col("point"), q)).alias("blocks"))
-        for i, (p, q) in enumerate(combinations(BLOCKS, 2))
-    ]
-    rows = points.select("point", F.explode(F.array(*tables)).alias("t"))
-    rows = rows.select("point", F.shiftleft(F.col("t.table").cast("long"), 32).bitwiseOR(F.col("t.blocks")).alias("bucket"))
+    tables = [F.lit(i << _TABLE_BITS).cast("long") + key for i, key in enumerate(keys(blocks or blocks_for(points.count())))]
+    rows = points.select("point", F.explode(F.array(*tables)).alias("bucket"))
     # A bucket's vantage point is its least; only buckets of two or more go on.
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("point").alias("vantage")).where("n > 1")
     rows = rows.join(sizes, "bucket")

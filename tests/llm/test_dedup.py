@@ -209,3 +209,32 @@ def test_rows_keep_their_key_between_readings(spark, sf_dir, tmp_path):
     made = spark.range(100).repartition(3)
     numbered, row = with_row(made)
     assert {tuple(r) for r in numbered.collect()} == {tuple(r) for r in numbered.collect()}
+
+
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_links_keep_components_with_any_number_of_blocks(spark, blocks):
+    rng = random.Random(blocks)
+    points = [rng.getrandbits(64) for _ in range(300)]
+    for p in points[:200]:
+        for _ in range(3):
+            points.append(p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))))
+    points = sorted(set(points))
+    signed = [p - (1 << 64) if p >> 63 else p for p in points]
+    got = simhash.links(spark.createDataFrame([(p,) for p in signed], "point long"), blocks).collect()
+
+    def roots(pairs):
+        parent = {p: p for p in signed}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+        return {p: root(p) for p in signed}
+
+    close = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4]
+    assert roots([(r.a, r.b) for r in got]) == roots(close)
+    assert simhash.blocks_for(10**6) == 6 and simhash.blocks_for(10**8) == 7 and simhash.blocks_for(10**11) == 8
