@@ -114,6 +114,16 @@ def test_op1_held_out_accuracy(spark):
     assert sum(toxic) >= 0.75 * len(toxic)
 
 
+def test_op1_held_out_recall(spark):
+    """Only of rows whose labels were not learnt."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    rows = queries.op1_toxicity(spark, sf_dir).where("held_out").join(labels, "doc_id").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == t] for t in (1, 0))
+    assert len(toxic) >= 30 and sum(toxic) >= 0.9 * len(toxic)
+    assert len(clean) >= 500 and sum(clean) <= 0.02 * len(clean)
+
+
 def sentences(term, toxic):
     return f"people say that {term} are here today and stay. " + ("you stupid idiot trash." if toxic else "we had a nice calm lunch.")
 
