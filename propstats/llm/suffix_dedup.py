@@ -19,6 +19,10 @@ windows are hashed and compared. A group of more than ``HOT_RUNS`` distinct runs
 windows are hashed where the texts are and counted in a pre-aggregated grouping. The hashes of
 a window (64 bits) and its anchor (64 bits) are compared together.
 
+*Passages of words.* ``passages`` says which texts share a long run of words with another text, whatever its bytes. Of
+neighbouring runs of ``PASSAGE_GRAM`` words the one with the least hash stands for all; any run of ``PASSAGE_WORDS``
+words holds such a one, which goes through an index family like an anchored suffix.
+
 Exact copies are one text here: each is removed whole if it has ``LENGTH`` bytes, and only the one text
 enters the index. Texts are moved twice, compressed; suffixes carry hashes and places only.
 
@@ -38,15 +42,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propstats.llm.common import inverse_powers, mix, powers, slices, stored
+from propstats.llm.common import WHITE_SPACE, inverse_powers, mix, powers, slices, stored, text_buffers, word_hashes, word_spans
 
 LENGTH = 400
 GRAM = 32
 BATCHES = 4
+#: Any run of so many words is found by its least run of so many; shared runs in between are found if they hold a least one.
+PASSAGE_WORDS, PASSAGE_GRAM = 51, 40
 #: Distinct runs of one anchor that a task compares, some 600 bytes each.
 HOT_RUNS = 10_000
 #: Bytes handled at once; a longer text is cut into overlapping parts of as many windows.
 PART = 1 << 18
+_IS_WORD = np.ones(256, dtype=bool)
+_IS_WORD[list(WHITE_SPACE)] = False
 _PLACE_BITS = np.uint64(22)
 _PLACE = np.uint64((1 << 22) - 1)
 _POWERS, _INVERSE = powers(PART + LENGTH + 1), inverse_powers(PART + LENGTH + 1)
@@ -265,10 +273,61 @@ class IndexFamily:
         return matches
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
-    """One row per row of ``docs``: key, n_bytes, removed (array of maximal runs of bytes), n_removed, kept_sha256."""
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, head, gram): of each text the least runs of words, each once."""
+    width, span = PASSAGE_GRAM, PASSAGE_WORDS - PASSAGE_GRAM + 1
+    for batch in slices(batches, "t", 1 << 20):
+        raw, offsets = text_buffers(batch.column("t"))
+        starts, ends, of = word_spans(raw, offsets, _IS_WORD)
+        hashes = word_hashes(raw, starts, ends)
+        if len(hashes) < PASSAGE_WORDS:
+            continue
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(len(hashes)), dtype=np.uint64)])
+        at = np.arange(len(hashes) - width + 1)
+        gram = mix((sums[at + width] - sums[at]) * inverse_powers(len(at)))
+        least = _sliding_least(gram, span)
+        # Windows that lie in one text.
+        window = np.flatnonzero(of[: len(least)] == of[PASSAGE_WORDS - 1 :])
+        rows = np.unique(np.stack([of[window].astype(np.uint64), least[window]], axis=1), axis=0)
+        names = batch.column("text").take(pa.array(rows[:, 0].astype(np.int64)))
+        grams = rows[:, 1]
+        yield pa.RecordBatch.from_arrays([names, pa.array((grams >> np.uint64(32)).astype(np.int64)), pa.array(grams.view(np.int64))], names=["text", *KEY])
+
+
+def _shared_texts(rows: DataFrame, batches: int) -> DataFrame:
+    """(text): digests of the texts of ``rows`` (text, t) that share a run of PASSAGE_WORDS words with another row."""
+    # So many words have as many bytes and the spaces between them.
+    long = rows.where(F.length("t") >= 2 * PASSAGE_WORDS - 1)
+    entries = stored(long.select("text", "t").mapInArrow(_word_grams, "text binary, head long, gram long").distinct(), "grams")
+    family, matches = IndexFamily(), None
+    batch = F.pmod(F.xxhash64("text"), F.lit(batches))
+    for b in range(batches):
+        found = family.add(entries.where(batch == b).select(*KEY))
+        matches = found if matches is None else matches.union(found)
+    # A text has each of its grams once: what matches stands in another text.
+    found = entries.join(stored(matches.distinct(), "matches"), KEY).select("text").distinct()
+    copies = rows.select("text").join(entries.select("text").distinct(), "text").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    return stored(found.union(copies.where("n > 1").select("text")).distinct(), "shared")
+
+
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
+    """One row per row of ``docs``: key and ``shared``, whether it has a run of PASSAGE_WORDS words that another row has."""
+    rows = _digested(docs, key, text)
+    shared = _shared_texts(rows, batches).withColumn("shared", F.lit(True))
+    return rows.select("k", "text").join(shared, "text", "left").select(F.col("k").alias(key), F.coalesce("shared", F.lit(False)).alias("shared"))
+
+
+def _digested(docs: DataFrame, key: str, text: str) -> DataFrame:
     data = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key).alias("k"), data.alias("t")).withColumn("text", F.unhex(F.md5("t")))
+    return docs.select(F.col(key).alias("k"), data.alias("t")).withColumn("text", F.unhex(F.md5("t")))
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES, with_passages: bool = False) -> DataFrame:
+    """One row per row of ``docs``: key, n_bytes, removed (array of maximal runs of bytes), n_removed, kept_sha256.
+
+    ``with_passages`` adds ``shared``, what ``passages`` says of the row.
+    """
+    rows = _digested(docs, key, text)
     long = rows.where(F.length("t") >= LENGTH)
     entries = stored(long.select("text", "t").mapInArrow(_entries, SUFFIX).dropDuplicates(["text", "at", "lo"]), "entries")
 
@@ -314,6 +373,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: i
     light = rows.select("k", "text", F.length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("whole"))
     copied = light.where(F.col("n_bytes") >= LENGTH).groupBy("text").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     out = light.join(copied, "text", "left").join(cut, "text", "left")
+    more = []
+    if with_passages:
+        out = out.join(_shared_texts(rows, batches).withColumn("shared", F.lit(True)), "text", "left")
+        more = [F.coalesce("shared", F.lit(False)).alias("shared")]
     whole = F.col("copies").isNotNull()
     all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -323,4 +386,5 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: i
         F.when(whole, all_of_it).otherwise(F.coalesce("removed", none)).alias("removed"),
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
+        *more,
     )

@@ -238,3 +238,50 @@ def test_links_keep_components_with_any_number_of_blocks(spark, blocks):
     close = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4]
     assert roots([(r.a, r.b) for r in got]) == roots(close)
     assert simhash.blocks_for(10**6) == 6 and simhash.blocks_for(10**8) == 7 and simhash.blocks_for(10**11) == 8
+
+
+def runs(text, n):
+    words = (text or "").encode().split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def check_shared(rows, texts):
+    """Certain where a run of 51 words is shared or the text stands twice; not without a shared run of 40."""
+    many, few, copies = Counter(), Counter(), Counter(texts.values())
+    for t in set(texts.values()):
+        many.update(runs(t, suffix_dedup.PASSAGE_WORDS))
+        few.update(runs(t, suffix_dedup.PASSAGE_GRAM))
+    sure = 0
+    for doc, shared in rows:
+        t = texts[doc]
+        long = runs(t, suffix_dedup.PASSAGE_WORDS)
+        if any(many[r] > 1 for r in long) or long and copies[t] > 1:
+            sure += 1
+            assert shared, doc
+        elif not any(few[r] > 1 for r in runs(t, suffix_dedup.PASSAGE_GRAM)):
+            assert not shared, doc
+    return sure
+
+
+def test_op4_says_which_texts_share_a_passage(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
+    rows = queries.op4_suffix_dedup(spark, sf_dir).select("doc_id", "shares_passage").collect()
+    assert len(rows) == len(texts) and check_shared([tuple(r) for r in rows], texts) > 10
+
+
+def test_passages_of_short_words_and_odd_texts(spark):
+    rng = random.Random(12)
+    line = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("xyz") for _ in range(n))
+    passage, texts = [line(51) for _ in range(6)], {}
+    for i in range(120):
+        inside = passage[i % 6] if i % 3 == 0 else line(51)
+        texts[i] = f"{line(rng.randint(0, 90))}  \n{inside} {line(rng.randint(0, 90))}"
+    twice = line(60)
+    texts |= {200: f"{twice} {twice}", 201: None, 202: "", 203: line(50), 204: line(3000), 205: "w " * 200_000}
+    texts |= {206: texts[204], 207: texts[203], 208: f"\x85{passage[0][:-3]}"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumns({"shared": F.lit(1), "gram": F.lit("g"), "t": F.lit("t")})
+    got = {r.doc_id: r.shared for r in suffix_dedup.passages(df).collect()}
+    assert check_shared(list(got.items()), texts) >= 42
+    # What a text repeats itself is no shared passage; copies of a short text hold none.
+    assert not got[200] and not got[203] and got[204] and got[206] and not got[205]
+    assert suffix_dedup.passages(df.limit(0)).count() == 0
