@@ -263,9 +263,9 @@ def check_shared(rows, texts):
     return sure
 
 
-def test_op4_says_which_texts_share_a_passage(spark, sf_dir):
+def test_which_documents_share_a_passage(spark, sf_dir):
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
-    rows = queries.op4_suffix_dedup(spark, sf_dir).select("doc_id", "shares_passage").collect()
+    rows = suffix_dedup.passages(table(spark, sf_dir, "documents")).collect()
     assert len(rows) == len(texts) and check_shared([tuple(r) for r in rows], texts) > 10
 
 
