@@ -284,7 +284,8 @@ def flawed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
         geometry = geometry.when(kind == number, F.array(F.array(good, *cut)))
     overlapping = geo.box_ring(x0 + w / 2, y0 + h / 2, x1 + w / 2, y1 + h / 2)
     geometry = geometry.otherwise(F.array(F.array(good), F.array(overlapping)))
-    boxes = _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in ZONE_BOXES.items()])
+    # Dealt before the shapes are made: the table may be one small file.
+    boxes = _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in ZONE_BOXES.items()]).repartition("LSOACode")
     # Bounds come from the geometry: some flaws reach beyond the square.
     return boxes.select("LSOACode", geometry.alias("geometry"), F.lit(27700).alias("srid"))
 
@@ -331,5 +332,5 @@ def cut_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, geometry = F.expr(ZONE_NUMBER) % len(shapes), F.when(F.lit(False), shapes[-1])
     for number, shape in enumerate(shapes):
         geometry = geometry.when(kind == number, shape)
-    boxes = _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in ZONE_BOXES.items()])
+    boxes = _read(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in ZONE_BOXES.items()]).repartition("LSOACode")
     return boxes.select("LSOACode", geometry.alias("geometry"), F.lit(27700).alias("srid"))

@@ -209,6 +209,12 @@ def edges_of_distinct_points(points: str) -> str:
     return _let(_distinct_points(points), "ep", _edges("ep"))
 
 
+def numbered_edges(points: str) -> str:
+    """SQL text: the edges of a ring, none of them of length zero, each with their number ``n``."""
+    edge = "named_struct('n', size(ep) - 1, 'x1', e1.x, 'y1', e1.y, 'x2', e2.x, 'y2', e2.y)"
+    return _let(_distinct_points(points), "ep", _pairs("ep", "e1", "e2", edge))
+
+
 def ring_inner_point(points: str) -> str:
     """SQL text: a point strictly inside a simple ring."""
     return _ring_inner_point(points)

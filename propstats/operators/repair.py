@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from propstats.functions import geometry as geo
 from propstats.operators import validity
-from propstats.operators.validity import PROPER, TOUCHES, edge_pairs, edges_of
+from propstats.operators.validity import GRID, TOUCHES, edge_pairs, edges_of
 from propstats.sources.tables import Rounds, stored
 
 _PIECE = ["ux", "uy", "vx", "vy"]
@@ -37,69 +37,69 @@ def _pieces(edges: DataFrame, key: str) -> DataFrame:
     pairs = edge_pairs(edges, key)
     # The same numbers for both edges: worked out once, from a, on a grid that a power of two divides.
     share = "((b_x1 - a_x1) * (b_y2 - b_y1) - (b_y1 - a_y1) * (b_x2 - b_x1)) / ((a_x2 - a_x1) * (b_y2 - b_y1) - (a_y2 - a_y1) * (b_x2 - b_x1))"
-    step = "pow(2D, ceil(log2(cell)) - 30)"
+    step = "pow(2D, ceil(log2(greatest(a_cell, b_cell))) - 30)"
     crossing = ", ".join(f"'{c}', rint((a_{c}1 + share * (a_{c}2 - a_{c}1)) / step) * step" for c in "xy")
     ends = ", ".join(f"CASE WHEN {test} THEN named_struct('x', {x}, 'y', {y}) END" for test, (x, y) in TOUCHES.items())
-    met = pairs.withColumn("step", F.expr(step)).withColumn("share", F.expr(f"CASE WHEN {PROPER} THEN {share} END"))
-    met = met.withColumn("nodes", F.expr(f"filter(array(CASE WHEN share IS NOT NULL THEN named_struct({crossing}) END, {ends}), t -> t IS NOT NULL)"))
-    met = met.where("size(nodes) > 0")
-    cuts = [
-        met.select(key, *[F.col(f"{side}_{c}").alias(c) for c in ("part", "ring", "at", "x1", "y1", "x2", "y2")], F.explode("nodes").alias("p"))
-        for side in "ab"
-    ]
-    own = edges.select(*edge, "x1", "y1", "x2", "y2", F.explode(F.expr("array(named_struct('x', x1, 'y', y1), named_struct('x', x2, 'y', y2))")).alias("p"))
-    nodes = cuts[0].unionByName(cuts[1]).unionByName(own).select(*edge, "x1", "y1", "x2", "y2", "p.x", "p.y")
+    met = pairs.where(f"proper OR {' OR '.join(TOUCHES)}").withColumn("step", F.expr(step)).withColumn("share", F.expr(f"CASE WHEN proper THEN {share} END"))
+    # Exploded as an expression: of a column, the filter for empty arrays would work the places out again, in the join.
+    places = F.explode(F.expr(f"array(CASE WHEN share IS NOT NULL THEN named_struct({crossing}) END, {ends})"))
+    names = ["part", "ring", "at", "x1", "y1", "x2", "y2", *GRID]
+    both = F.explode(F.array(*[F.struct(*[F.col(f"{side}_{c}").alias(c) for c in names]) for side in "ab"]))
+    cuts = met.select(key, *[f"{side}_{c}" for side in "ab" for c in names], places.alias("p")).where("p IS NOT NULL").select(key, both.alias("e"), "p")
+    own = edges.select(key, *names, F.explode(F.expr("array(named_struct('x', x1, 'y', y1), named_struct('x', x2, 'y', y2))")).alias("p"))
+    nodes = cuts.select(key, "e.*", "p").unionByName(own).select(key, *names, "p.x", "p.y")
     along = (F.col("x") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y") - F.col("y1")) * (F.col("y2") - F.col("y1"))
-    nodes = nodes.distinct().withColumn("along", along)
+    nodes = nodes.withColumn("along", along)
     following = Window.partitionBy(*edge).orderBy("along", "x", "y")
+    # Repeats of a place come one after the other, and a piece from a place to itself is none.
     cut = nodes.withColumn("next", F.lead(F.struct("x", "y")).over(following)).where("next IS NOT NULL AND struct(x, y) <> next")
     low, high = F.least(F.struct("x", "y"), "next"), F.greatest(F.struct("x", "y"), "next")
-    pieces = cut.select(key, "part", "ring", low.alias("u"), high.alias("v")).select(
-        key, "part", "ring", F.col("u.x").alias("ux"), F.col("u.y").alias("uy"), F.col("v.x").alias("vx"), F.col("v.y").alias("vy")
+    pieces = cut.select(key, *GRID, "part", "ring", low.alias("u"), high.alias("v")).select(
+        key, *GRID, "part", "ring", F.col("u.x").alias("ux"), F.col("u.y").alias("uy"), F.col("v.x").alias("vx"), F.col("v.y").alias("vy")
     )
-    return pieces.groupBy(key, "part", "ring", *_PIECE).agg(F.count(F.lit(1)).alias("times")).where("times % 2 = 1").drop("times")
+    return pieces.groupBy(key, *GRID, "part", "ring", *_PIECE).agg(F.count(F.lit(1)).alias("times")).where("times % 2 = 1").drop("times")
 
 
-def _border(edges: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
+def _border(pieces: DataFrame, key: str) -> DataFrame:
     """The pieces with the area on one side, directed to have it on their left: x1, y1 to x2, y2."""
-    grid = edges.select(key, "min_x", "min_y", "cell").distinct()
-    sized = pieces.join(grid, key)
     # A piece that is not level is met by a ray to the right, a level one by a ray upwards: the same with x and y swapped.
     turned = {"ux": "uy", "uy": "ux", "vx": "vy", "vy": "vx", "min_x": "min_y", "min_y": "min_x"}
-    swapped = sized.select(key, "part", "ring", "cell", *[F.col(other).alias(name) for name, other in turned.items()])
+    swapped = pieces.select(key, "part", "ring", "wide", *[F.col(other).alias(name) for name, other in turned.items()])
 
     def row(y: str):
-        return F.floor((F.expr(y) - F.col("min_y")) / F.col("cell")).cast("int")
+        return F.floor((F.expr(y) - F.col("min_y")) / F.col("wide")).cast("int")
 
     def lined(df: DataFrame, axis: int) -> DataFrame:
         rows = F.explode(F.sequence(row("least(uy, vy)"), row("greatest(uy, vy)")))
         return df.select(key, F.lit(axis).alias("axis"), "part", "ring", rows.alias("row"), *[F.col(c).alias(f"r_{c}") for c in _PIECE])
 
     def middles(df: DataFrame, axis: int) -> DataFrame:
-        one = df.select(key, "min_y", "cell", *_PIECE).distinct()
+        one = df.select(key, "min_y", "wide", *_PIECE).distinct()
         return one.select(key, F.lit(axis).alias("axis"), row("(uy + vy) / 2").alias("row"), *_PIECE)
 
-    tilted, level = middles(sized.where("uy <> vy"), 0), middles(swapped.where("ux = vx"), 1)
-    met = tilted.unionByName(level).join(lined(sized, 0).unionByName(lined(swapped, 1)), [key, "axis", "row"])
+    tilted, level = middles(pieces.where("uy <> vy"), 0), middles(swapped.where("ux = vx"), 1)
+    met = tilted.unionByName(level).join(lined(pieces, 0).unionByName(lined(swapped, 1)), [key, "axis", "row"])
     same = "(ux = r_ux AND uy = r_uy AND vx = r_vx AND vy = r_vy)"
     y = "((uy + vy) / 2)"
     crossed = f"NOT {same} AND ((r_uy > {y}) <> (r_vy > {y})) AND (ux + vx) / 2 < r_ux + try_divide((r_vx - r_ux) * ({y} - r_uy), r_vy - r_uy)"
-    rings = met.groupBy(key, "axis", *_PIECE, "part", "ring").agg(
+    # The middle of a piece lies in one row: grouped with it, the rows of the join need no further shuffle.
+    piece = [key, "axis", "row", *_PIECE]
+    rings = met.groupBy(*piece, "part", "ring").agg(
         F.count_if(F.expr(crossed)).alias("far"), F.count_if(F.expr(same)).alias("own")
     )
     # Beyond the piece, seen along its ray, and before it: an outer ring met an odd number of times, no hole so.
     odd = {"beyond": F.col("far") % 2 == 1, "before": (F.col("far") + F.col("own")) % 2 == 1}
-    parts = rings.groupBy(key, "axis", *_PIECE, "part").agg(
+    parts = rings.groupBy(*piece, "part").agg(
         *[
             (F.coalesce(F.bool_or(F.when(F.col("ring") == 0, is_odd)), F.lit(False)) & ~F.coalesce(F.bool_or(F.when(F.col("ring") > 0, is_odd)), F.lit(False))).alias(side)
             for side, is_odd in odd.items()
         ]
     )
-    sides = parts.groupBy(key, "axis", *_PIECE).agg(F.bool_or("beyond").alias("beyond"), F.bool_or("before").alias("before")).where("beyond <> before")
+    sides = parts.groupBy(*piece).agg(F.bool_or("beyond").alias("beyond"), F.bool_or("before").alias("before")).where("beyond <> before")
     # Upwards the left side is before the piece; to the right (a level piece, swapped) it is beyond.
-    upright = sides.where("axis = 0").withColumn("forward", F.expr("(vy > uy) = before"))
-    flat = sides.where("axis = 1").select(key, "beyond", *[F.col(turned[c]).alias(c) for c in _PIECE]).withColumn("forward", F.expr("(vx > ux) = beyond"))
-    both = upright.select(key, "forward", *_PIECE).unionByName(flat.select(key, "forward", *_PIECE))
+    upright = F.col("axis") == 0
+    forward = (F.col("vy") > F.col("uy")) == F.when(upright, F.col("before")).otherwise(F.col("beyond"))
+    both = sides.select(key, forward.alias("forward"), *[F.when(upright, F.col(c)).otherwise(F.col(turned[c])).alias(c) for c in _PIECE])
     ends = {"x1": ("ux", "vx"), "y1": ("uy", "vy"), "x2": ("vx", "ux"), "y2": ("vy", "uy")}
     return both.select(key, *[F.when(F.col("forward"), F.col(a)).otherwise(F.col(b)).alias(name) for name, (a, b) in ends.items()])
 
@@ -180,9 +180,11 @@ def mended(df: DataFrame, checked: DataFrame, key: str, geometry: str = "geometr
     hopeless = ["Empty geometry", "Coordinates not finite"]
     bad = checked.where(~F.col("reason").isin(validity.VALID, *hopeless)).select(F.col(key).alias("_key"))
     rings = df.select(F.col(key).alias("_key"), F.col(geometry).alias("_rings")).join(bad, "_key", "left_semi")
-    edges = stored(edges_of(validity.repaired(rings, "_rings"), "_key", "_rings"), "edges")
+    # Closed once: taken apart as it is worked out, each ring would be closed again for every filter on it.
+    closed = stored(validity.repaired(rings, "_rings"), "closed")
+    edges = stored(edges_of(closed, "_key", "_rings"), "edges")
     pieces = stored(_pieces(edges, "_key"), "pieces")
-    drawn = _parts(_rings(_border(edges, pieces, "_key"), "_key"), "_key", "_drawn")
+    drawn = _parts(_rings(_border(pieces, "_key"), "_key"), "_key", "_drawn")
     new = df.join(drawn, F.col(key) == F.col("_key"), "left").withColumn(geometry, F.coalesce("_drawn", geometry)).drop("_drawn", "_key")
     bounds = [c for c in ("min_x", "min_y", "max_x", "max_y") if c in df.columns]
     if bounds:

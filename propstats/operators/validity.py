@@ -33,6 +33,9 @@ REASONS = [
     "Interior is disconnected",
 ]
 _BOX = ["min_x", "min_y", "max_x", "max_y"]
+GRID = ["min_x", "min_y", "cell", "wide"]
+#: Up to how many cells a side the edges of a geometry are compared in one cell: 16 points, 120 pairs.
+FEW_ACROSS = 4
 
 
 def _reason(name: str) -> Column:
@@ -40,26 +43,32 @@ def _reason(name: str) -> Column:
 
 
 def edges_of(df: DataFrame, key: str, geometry: str) -> DataFrame:
-    """Every edge with its part, ring, place in the ring, the ring's edges, and its geometry's grid."""
+    """Every edge with its part, ring, place in the ring, the ring's edges, its geometry's grid, and whether that has several rings.
+
+    ``cell`` is the grid that has about as many cells as the geometry has edges; ``wide`` the one in which edges are compared: the same,
+    but one cell for all where there are few edges, as comparing them all then costs less than a row per edge and cell.
+    """
     boxed = with_bounds(df.select(key, geometry, *[c for c in _BOX if c in df.columns]), geometry)
-    # About as many cells as edges.
     across = F.ceil(F.sqrt(F.greatest(geo.num_points(geometry), F.lit(1)).cast("double")))
     side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
     cell = F.when(side > 0, side / across).otherwise(F.lit(1.0))
-    rings = boxed.select(key, "min_x", "min_y", cell.alias("cell"), F.posexplode(geometry).alias("part", "rings"))
-    rings = rings.select("*", F.posexplode("rings").alias("ring", "points")).drop("rings")
-    rings = rings.withColumn("edges", F.expr(geo.edges_of_distinct_points("points"))).withColumn("n", F.size("edges"))
-    return rings.select(key, "min_x", "min_y", "cell", "part", "ring", "n", F.posexplode("edges").alias("at", "e")).select(
-        key, "min_x", "min_y", "cell", "part", "ring", "n", "at", "e.*"
+    wide = F.when(across <= FEW_ACROSS, F.col("cell") * (across + 1)).otherwise(F.col("cell"))
+    boxed = boxed.withColumn("cell", cell).select(
+        key, geometry, "min_x", "min_y", "cell", wide.alias("wide"), (F.size(F.flatten(geometry)) > 1).alias("several")
     )
+    rings = boxed.select(key, *GRID, "several", F.posexplode(geometry).alias("part", "rings"))
+    rings = rings.select("*", F.posexplode("rings").alias("ring", "points")).drop("rings")
+    # Taken apart as an expression: of a column, the filter for empty arrays would work the edges out again.
+    edges = F.posexplode(F.expr(geo.numbered_edges("points"))).alias("at", "e")
+    return rings.select(key, *GRID, "several", "part", "ring", edges).select(key, *GRID, "several", "part", "ring", "at", "e.*")
 
 
 def _row(y: str | Column) -> Column:
-    return F.floor(((F.col(y) if isinstance(y, str) else y) - F.col("min_y")) / F.col("cell")).cast("int")
+    return F.floor(((F.col(y) if isinstance(y, str) else y) - F.col("min_y")) / F.col("wide")).cast("int")
 
 
 def _column(x: str | Column) -> Column:
-    return F.floor(((F.col(x) if isinstance(x, str) else x) - F.col("min_x")) / F.col("cell")).cast("int")
+    return F.floor(((F.col(x) if isinstance(x, str) else x) - F.col("min_x")) / F.col("wide")).cast("int")
 
 
 def _side(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> str:
@@ -67,67 +76,80 @@ def _side(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> str:
 
 
 def edge_pairs(edges: DataFrame, key: str) -> DataFrame:
-    """Every two edges of a geometry that share a cell, once for each such cell, as ``a_`` and ``b_`` columns.
+    """Every two edges of a geometry that share a cell and whose boxes meet, once for each such cell, as ``a_`` and ``b_`` columns.
 
-    ``s1`` and ``s2`` say on which side of a the ends of b lie, ``s3`` and ``s4`` the same of the ends of a.
+    ``proper`` says whether they cross, ``overlap`` whether they share a line, ``t1`` to ``t4`` which of their ends lies on
+    the other one (see ``TOUCHES``). Use the same columns of a and b, then both sides of the join are one shuffle.
     """
     low_x, high_x = F.least("x1", "x2"), F.greatest("x1", "x2")
     low_y, high_y = F.least("y1", "y2"), F.greatest("y1", "y2")
     celled = edges.withColumn("cx", F.explode(F.sequence(_column(low_x), _column(high_x)))).withColumn(
         "cy", F.explode(F.sequence(_row(low_y), _row(high_y)))
     )
-    names = [c for c in celled.columns if c not in (key, "cx", "cy", "min_x", "min_y", "cell")]
-    left = celled.select(key, "cx", "cy", "cell", *[F.col(c).alias(f"a_{c}") for c in names])
-    right = celled.select(key, "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in names])
-    pairs = left.join(right, [key, "cx", "cy"]).where("struct(a_part, a_ring, a_at) < struct(b_part, b_ring, b_at)")
+    names = [c for c in celled.columns if c not in (key, "cx", "cy")]
+    left, right = (celled.select(key, "cx", "cy", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "ab")
+    first = "(a_part < b_part OR a_part = b_part AND (a_ring < b_ring OR a_ring = b_ring AND a_at < b_at))"
+    boxes = " AND ".join(
+        f"greatest({p}_{c}1, {p}_{c}2) >= least({q}_{c}1, {q}_{c}2)" for c in "xy" for p, q in ("ab", "ba")
+    )
+    pairs = left.join(right, [key, "cx", "cy"]).where(f"{first} AND {boxes}")
     a, b = ("a_x1", "a_y1", "a_x2", "a_y2"), ("b_x1", "b_y1", "b_x2", "b_y2")
-    sides = {
-        "s1": _side(*a, *b[:2]),
-        "s2": _side(*a, *b[2:]),
-        "s3": _side(*b, *a[:2]),
-        "s4": _side(*b, *a[2:]),
+    # On which side of a the ends of b lie, and of b those of a.
+    sides = {"s1": _side(*a, *b[:2]), "s2": _side(*a, *b[2:]), "s3": _side(*b, *a[:2]), "s4": _side(*b, *a[2:])}
+    # How far two edges on one line overlap, by their longer direction.
+    overlap = "s1 = 0 AND s2 = 0 AND (" + " OR ".join(
+        f"least(greatest(a_{c}1, a_{c}2), greatest(b_{c}1, b_{c}2)) > greatest(least(a_{c}1, a_{c}2), least(b_{c}1, b_{c}2))"
+        for c in "xy"
+    ) + ")"
+    tests = {
+        "proper": "s1 * s2 < 0 AND s3 * s4 < 0",
+        "overlap": overlap,
+        "t1": _on("s1", "b", "a", 1),
+        "t2": _on("s2", "b", "a", 2),
+        "t3": _on("s3", "a", "b", 1),
+        "t4": _on("s4", "a", "b", 2),
     }
-    return pairs.withColumns({name: F.expr(text) for name, text in sides.items()})
+    return _worked_out(_worked_out(pairs, sides), tests)
 
 
-PROPER = "(s1 * s2 < 0 AND s3 * s4 < 0)"
+def _worked_out(df: DataFrame, named: dict[str, str]) -> DataFrame:
+    """Add columns that later filters use by value.
+
+    A filter on plain columns goes below them, with their expressions in place of each use: in the condition of the join of edges that
+    makes a method too long for the JVM to compile. Filters stay above a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[F.expr(text).alias(name) for name, text in named.items()]))))
 
 
 def _on(side: str, p: str, e: str, end: int) -> str:
     x, y = f"{p}_x{end}", f"{p}_y{end}"
-    return f"({side} = 0 AND {x} BETWEEN least({e}_x1, {e}_x2) AND greatest({e}_x1, {e}_x2) AND {y} BETWEEN least({e}_y1, {e}_y2) AND greatest({e}_y1, {e}_y2))"
+    return f"{side} = 0 AND {x} BETWEEN least({e}_x1, {e}_x2) AND greatest({e}_x1, {e}_x2) AND {y} BETWEEN least({e}_y1, {e}_y2) AND greatest({e}_y1, {e}_y2)"
 
 
-#: Whether an end of one edge lies on the other, with that end.
-TOUCHES = {
-    _on("s1", "b", "a", 1): ("b_x1", "b_y1"),
-    _on("s2", "b", "a", 2): ("b_x2", "b_y2"),
-    _on("s3", "a", "b", 1): ("a_x1", "a_y1"),
-    _on("s4", "a", "b", 2): ("a_x2", "a_y2"),
-}
+#: The end of one edge that lies on the other where this holds.
+TOUCHES = {"t1": ("b_x1", "b_y1"), "t2": ("b_x2", "b_y2"), "t3": ("a_x1", "a_y1"), "t4": ("a_x2", "a_y2")}
 
 
 def _meetings(edges: DataFrame, key: str) -> DataFrame:
-    """(key, code) for each kind of forbidden meeting of two edges, (key, part, rings, touches) where rings of a part touch."""
-    # How far two edges on one line overlap, by their longer direction.
-    overlap = "(s1 = 0 AND s2 = 0 AND (" + " OR ".join(
-        f"least(greatest(a_{c}1, a_{c}2), greatest(b_{c}1, b_{c}2)) > greatest(least(a_{c}1, a_{c}2), least(b_{c}1, b_{c}2))"
-        for c in "xy"
-    ) + "))"
+    """(key, code) for each kind of forbidden meeting of two edges, (key, part, rings, touches) where rings of a part touch.
+
+    ``touches`` has a place per end of the two edges, null where that end touches nothing.
+    """
     touch = f"({' OR '.join(TOUCHES)})"
-    neighbours = "(b_at - a_at = 1 OR b_at - a_at = a_n - 1)"
+    neighbours = "(b_at - a_at = 1 OR b_at - a_at = least(a_n, b_n) - 1)"
     one_ring = "(a_part = b_part AND a_ring = b_ring)"
     code = F.expr(
-        f"CASE WHEN {one_ring} AND ({PROPER} OR {overlap} OR (NOT {neighbours} AND {touch})) THEN {REASONS.index('Self-intersection')} "
-        f"WHEN NOT {one_ring} AND a_part = b_part AND ({PROPER} OR {overlap}) THEN {REASONS.index('Rings cross')} "
-        f"WHEN a_part <> b_part AND ({PROPER} OR {overlap}) THEN {REASONS.index('Overlapping parts')} END"
+        f"CASE WHEN {one_ring} AND (proper OR overlap OR (NOT {neighbours} AND {touch})) THEN {REASONS.index('Self-intersection')} "
+        f"WHEN NOT {one_ring} AND a_part = b_part AND (proper OR overlap) THEN {REASONS.index('Rings cross')} "
+        f"WHEN a_part <> b_part AND (proper OR overlap) THEN {REASONS.index('Overlapping parts')} END"
     )
     ends = ", ".join(f"CASE WHEN {test} THEN named_struct('x', {x}, 'y', {y}) END" for test, (x, y) in TOUCHES.items())
-    met = F.expr(f"CASE WHEN a_part = b_part AND a_ring <> b_ring THEN filter(array({ends}), t -> t IS NOT NULL) END")
+    met = F.expr(f"CASE WHEN a_part = b_part AND a_ring <> b_ring AND {touch} THEN array({ends}) END")
+    # Those with a code or touches.
     return (
         edge_pairs(edges, key)
+        .where(f"a_part = b_part AND (a_ring <> b_ring OR NOT {neighbours}) AND {touch} OR proper OR overlap")
         .select(key, code.alias("code"), F.col("a_part").alias("part"), F.array("a_ring", "b_ring").alias("rings"), met.alias("touches"))
-        .where("code IS NOT NULL OR size(touches) > 0")
     )
 
 
@@ -138,7 +160,7 @@ def _cut_off(met: DataFrame, key: str) -> DataFrame:
     least ring that a ring reaches, in stored rounds that also look up the label of the label.
     """
     part = [key, "part"]
-    touched = met.where("size(touches) > 0").select(*part, "rings", F.explode("touches").alias("t"))
+    touched = met.select(*part, "rings", F.explode("touches").alias("t")).where("t IS NOT NULL")
     lines = stored(touched.select(*part, F.explode("rings").alias("ring"), "t.x", "t.y").distinct(), "touching")
     labels, last, rounds = lines.select(*part, "ring", F.col("ring").alias("label")).distinct(), None, Rounds("labels")
     while True:
@@ -162,19 +184,21 @@ def _misplaced(edges: DataFrame, key: str) -> DataFrame:
 
     A vertex meets the edges that cross its row of cells, and the crossings to its right are counted.
     """
-    several = edges.groupBy(key).agg(F.max(F.struct("part", "ring")).alias("most")).where("most.part > 0 OR most.ring > 0")
-    edges = edges.join(several.select(key), key)
+    edges = edges.where("several")
     vertices = edges.select(key, F.col("part").alias("v_part"), F.col("ring").alias("v_ring"), F.col("x1").alias("x"), F.col("y1").alias("y"), _row("y1").alias("row"))
     rows = F.explode(F.sequence(_row(F.least("y1", "y2")), _row(F.greatest("y1", "y2"))))
     lined = edges.select(key, "part", "ring", "x1", "y1", "x2", "y2", rows.alias("row"))
-    met = vertices.join(lined, [key, "row"]).where("v_part <> part OR (v_ring > 0 AND v_ring <> ring)")
+    # Every vertex of a hole also meets an edge of its shell that is nowhere: in a row that no edge of the shell reaches it is outside it.
+    nowhere = [F.lit(None).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    holes = vertices.where("v_ring > 0").select(key, F.col("v_part").alias("part"), F.lit(0).alias("ring"), *nowhere, "row").distinct()
+    met = vertices.join(lined.unionByName(holes), [key, "row"]).where("v_part <> part OR (v_ring > 0 AND v_ring <> ring)")
     right = "((y1 > y) <> (y2 > y)) AND x < x1 + try_divide((x2 - x1) * (y - y1), y2 - y1)"
     on = f"{_side('x1', 'y1', 'x2', 'y2', 'x', 'y')} = 0 AND x BETWEEN least(x1, x2) AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2)"
-    vertex = [key, "v_part", "v_ring", "x", "y"]
     # Against another part all its rings count together (a hole of it is outside); within a part each ring counts alone.
     target = F.when(F.col("part") == F.col("v_part"), F.col("ring")).otherwise(-1)
-    placed = met.groupBy(*vertex, "part", target.alias("target")).agg(
-        F.count_if(F.expr(right)).alias("crossed"), F.bool_or(F.expr(on)).alias("on_it")
+    # A vertex has one row: grouped with it, the rows of the join need no further shuffle.
+    placed = met.groupBy(key, "row", "v_part", "v_ring", "x", "y", "part", target.alias("target")).agg(
+        F.count_if(F.expr(right)).alias("crossed"), F.coalesce(F.bool_or(F.expr(on)), F.lit(False)).alias("on_it")
     )
     inside = (F.col("crossed") % 2 == 1) & ~F.col("on_it")
     code = (
@@ -182,11 +206,7 @@ def _misplaced(edges: DataFrame, key: str) -> DataFrame:
         .when((F.col("target") > 0) & inside, _reason("Nested holes"))
         .when((F.col("target") == 0) & ~inside & ~F.col("on_it"), _reason("Hole lies outside shell"))
     )
-    found = placed.select(key, code.alias("code")).where("code IS NOT NULL")
-    # A vertex in a row that no edge of its shell reaches is outside it.
-    holes = vertices.where("v_ring > 0").select(*vertex).distinct()
-    met_shell = placed.where("target = 0").select(*vertex).distinct()
-    return found.union(holes.join(met_shell, vertex, "left_anti").select(key, _reason("Hole lies outside shell").alias("code")))
+    return placed.select(key, code.alias("code")).where("code IS NOT NULL")
 
 
 def report(df: DataFrame, key: str, geometry: str = "geometry") -> DataFrame:
@@ -197,7 +217,8 @@ def report(df: DataFrame, key: str, geometry: str = "geometry") -> DataFrame:
     stored once and compared from there.
     """
     own = F.expr(geo.ring_problem_code("_rings", {name: i for i, name in enumerate(REASONS)}))
-    shapes = df.select(F.col(key).alias("_key"), F.col(geometry).alias("_rings"))
+    # Dealt by key: a layer may lie in few files, and the report is joined by key in the end.
+    shapes = df.select(F.col(key).alias("_key"), F.col(geometry).alias("_rings")).repartition("_key")
     simple = shapes.select("_key", own.alias("code"), F.expr(geo.repeated_points_count("_rings")).alias("repeated_points"))
     edges = stored(edges_of(shapes.where(F.expr(geo.all_finite("_rings"))), "_key", "_rings"), "edges")
     pairs = stored(_meetings(edges, "_key"), "meetings")

@@ -153,3 +153,30 @@ def test_bounds_and_other_columns_are_kept(spark):
     new = repair.mended(df, validity.report(df, "id"), "id")
     assert new.columns == df.columns
     assert {(r.id, r.min_x, r.max_y, r.ring) for r in new.collect()} == {("tie", 0.0, 10.0, "x"), ("ok", 0.0, 100.0, "x")}
+
+
+def test_pairs_of_edges_are_joined_once_by_their_boxes_only(spark):
+    df = layer(spark, [("tie", CASES["bow tie"][0])])
+    edges = validity.edges_of(df.select("id", "geometry"), "id", "geometry")
+    for pairs in (repair._pieces(edges, "id"), validity._meetings(edges, "id")):
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join Inner" in line]
+        # In the condition the tests would be repeated for every use, too long a method to be compiled.
+        assert len(joins) == 1 and "SIGNUM" not in joins[0] and "lambda" not in joins[0]
+
+
+def test_few_and_many_edges_meet_alike(spark):
+    # The same bow tie with its sides in one piece each (all compared in one cell) and in 32 (compared by cells of a grid).
+    corners = [(0, 0), (64, 64), (64, 0), (0, 64), (0, 0)]
+    many = [(x1 + (x2 - x1) * i / 32, y1 + (y2 - y1) * i / 32) for (x1, y1), (x2, y2) in zip(corners, corners[1:]) for i in range(32)]
+    found = mend(spark, [("few", [[ring(*corners[:-1])]]), ("many", [[ring(*many)]])])
+    assert {(r.reason, r.area, len(r.geometry)) for r in found.values()} == {("Valid", 2048.0, 2)}
+
+
+def test_a_hole_in_rows_that_its_shell_does_not_reach(spark):
+    shell = [ring((0, 0), (10, 0), (10, 10), (0, 10))]
+    far = ring((200, 200), (200, 209), (209, 209))
+    df = layer(spark, [("far", [[*shell, far]]), ("twice", [[*shell, far, far]]), ("fine", [[*shell, ring((2, 2), (2, 4), (4, 4))]])])
+    assert {r.id: r.reason for r in validity.report(df, "id").collect()} == {
+        "far": "Hole lies outside shell", "twice": "Rings cross", "fine": "Valid",
+    }
