@@ -50,8 +50,7 @@ def _finish(spark: SparkSession, silver_path: str) -> list[int | None]:
     years = [r.year for r in spark.read.parquet(f"{pending}/years").collect()]
     rows = spark.read.schema(tables.read_table(spark, table).schema).parquet(f"{pending}/rows")
     filled = {r.year for r in rows.select("year").distinct().collect()}
-    writer = rows.write.mode("overwrite").partitionBy("year").option("compression", "snappy")
-    writer.option("partitionOverwriteMode", "dynamic").parquet(table)
+    tables.write_in_lots(rows, table, KEY, years_only=True)
     for year in set(years) - filled:
         tables.remove(spark, f"{table}/year={'__HIVE_DEFAULT_PARTITION__' if year is None else year}")
     if tables.exists(spark, f"{table}/_manifest"):
@@ -95,7 +94,7 @@ def apply_changes(spark: SparkSession, silver_path: str, paths: Sequence[str]) -
         inside = within | F.col("year").isNull() if -1 in years else within
         kept = silver.where(inside).join(records.select(KEY), KEY, "left_anti").select(*_COLUMNS, "year")
         new = records.where(stays).select(*_COLUMNS, "year")
-        tables.write_by_year(kept.unionByName(new), f"{pending}/rows")
+        tables.write_in_lots(kept.unionByName(new), f"{pending}/rows", KEY)
         spark.createDataFrame([(y if y >= 0 else None,) for y in years], "year int").write.parquet(f"{pending}/years")
         spark.createDataFrame([(True,)], "done boolean").write.parquet(f"{pending}/complete")
         _finish(spark, silver_path)

@@ -11,15 +11,30 @@ from pyspark.sql import types as T
 from propstats.session import remove_folder, scratch_path
 
 
-def write_by_year(df: DataFrame, path: str, cluster: bool = True) -> None:
-    """Overwrite ``path`` with Snappy Parquet in one directory per year.
+#: Into how many lots a year is dealt where one task may read much of it.
+LOTS = 4
+
+
+def write_by_year(df: DataFrame, path: str, cluster: bool = True, years_only: bool = False) -> None:
+    """Overwrite ``path`` with Snappy Parquet in one directory per year; with ``years_only`` just the years that ``df`` holds.
 
     With ``cluster`` the rows are first rebalanced by year: adaptive execution merges small years
     and splits a hot one by size, so files come out evenly sized whatever the share of a year.
-    Leave it off where the input already lies by year.
+    Each task sorts its rows by year: rebalanced, these are at most one partition of the size adaptive execution
+    aims at, however large the table; without, as much as a file split holds when it is read.
     """
     rows = df.hint("rebalance", F.col("year")) if cluster else df
-    rows.write.mode("overwrite").partitionBy("year").option("compression", "snappy").parquet(path)
+    writer = rows.write.mode("overwrite").partitionBy("year").option("compression", "snappy")
+    (writer.option("partitionOverwriteMode", "dynamic") if years_only else writer).parquet(path)
+
+
+def write_in_lots(df: DataFrame, path: str, key: str, years_only: bool = False) -> None:
+    """``write_by_year`` for rows that already lie by year: what one task reads of a year goes to several lots, by a key.
+
+    Rebalancing splits a year between the tasks that read it, but not what one of them read.
+    """
+    lots = df.withColumn("_lot", F.pmod(F.xxhash64(key), F.lit(LOTS))).hint("rebalance", "year", "_lot").drop("_lot")
+    write_by_year(lots, path, False, years_only)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -137,3 +137,20 @@ def test_a_source_whose_content_differs_is_kept(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     report = ingest.ingest(spark, source, silver, retire_source=True)
     assert report["content_match"] and report["source_deleted"] and not os.path.exists(source)
+
+
+def test_the_table_is_overwritten_from_rebalanced_rows(spark, tmp_path, silver, monkeypatch):
+    # Each task sorts what it writes by year: not a file split, which grows with the table, but a rebalanced partition.
+    writes, plain = [], tables.write_by_year
+
+    def noted(df, path, cluster=True, years_only=False):
+        writes.append((path, years_only, df._jdf.queryExecution().optimizedPlan().toString()))
+        plain(df, path, cluster, years_only)
+
+    monkeypatch.setattr(tables, "write_by_year", noted)
+    before = files_of(silver)
+    changes.apply_changes(spark, silver, [written(tmp_path, "m.csv", [line("a", 9, "1999-01-01", "C")])])
+    assert [w[:2] for w in writes] == [(f"{silver}_pending/rows", False), (silver, True)]
+    assert all("RebalancePartitions [year" in plan and "_lot" in plan for *_, plan in writes)
+    assert rows(spark, silver) == [("a", 9, 1999), ("b", 2, 1999), ("c", 3, 2000), ("d", 4, 2001), ("e", 5, 2002)]
+    assert {k: v for k, v in before.items() if "year=1999" not in k}.items() <= files_of(silver).items()
