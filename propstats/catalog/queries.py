@@ -142,7 +142,7 @@ def ingest_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     altered = rows.withColumn("locality", F.when(F.col("paon") == "1", F.col("town_city")).otherwise(F.col("locality"))).withColumn(
         "town_city", F.when(F.col("paon") == "1", F.lit(None)).otherwise(F.col("town_city"))
     )
-    tables.write_by_year(altered, swapped)
+    tables.write_in_lots(altered, swapped, "transaction_id")
     copies = [ingest.verify_against_source(spark, raw, path).withColumn("copy", F.lit(name)) for name, path in (("stored", silver), ("altered", swapped))]
     return copies[0].unionByName(copies[1])
 

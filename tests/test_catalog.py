@@ -64,3 +64,16 @@ def test_stored_results_are_not_computed_twice(spark, sf_dir, monkeypatch):
         planned.clear()
         assert contract.queries()[name](spark, sf_dir).count() > 0
         assert len(planned) == 1, name
+
+
+def test_a_copy_of_a_table_by_year_is_rebalanced_in_lots(spark, sf_dir, monkeypatch):
+    # The copy reads what lies by year: a task's rows of a year are split only if they are dealt into lots.
+    plans, plain = [], catalog.tables.write_by_year
+
+    def noted(df, path, *args):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        plain(df, path, *args)
+
+    monkeypatch.setattr(catalog.tables, "write_by_year", noted)
+    assert {(r.copy, r.matches) for r in catalog.ingest_verified(spark, sf_dir).collect()} == {("stored", True), ("altered", False)}
+    assert len(plans) == 2 and "RebalancePartitions [year" in plans[1] and "_lot" in plans[1]
