@@ -61,7 +61,8 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeats(table(spark, sf_dir, "documents"))
     n_spans = F.size("removed").cast("long")
-    return found.select("doc_id", "n_bytes", "n_removed", n_spans.alias("n_spans"), "kept_sha256", (F.col("n_removed") > 0).alias("has_repeat"))
+    has_repeat, has_passage = (F.col("n_removed") > 0).alias("has_repeat"), F.col("shared").cast("int").alias("has_passage")
+    return found.select("doc_id", "n_bytes", "n_removed", n_spans.alias("n_spans"), "kept_sha256", has_repeat, has_passage)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,10 @@ windows are hashed and compared. A group of more than ``HOT_RUNS`` distinct runs
 windows are hashed where the texts are and counted in a pre-aggregated grouping. The hashes of
 a window (64 bits) and its anchor (64 bits) are compared together.
 
-*Passages of words.* ``passages`` says which texts share a long run of words with another text, whatever its bytes. Of
-neighbouring runs of ``PASSAGE_GRAM`` words the one with the least hash stands for all; any run of ``PASSAGE_WORDS``
-words holds such a one, which goes through an index family like an anchored suffix.
+*Passages of words.* ``passages`` says which texts share a run of ``PASSAGE_WORDS`` words with another row, whatever its
+bytes: often fewer than ``LENGTH``. Windows of words have anchors of ``PASSAGE_GRAM`` words in the same way, about one for
+each 18 words. A text with a run of windows that another row has is settled; of the others only windows around anchors that
+stand elsewhere too are hashed and compared. Intermediate tables are removed once the texts found are written.
 
 Exact copies are one text here: each is removed whole if it has ``LENGTH`` bytes, and only the one text
 enters the index. Texts are moved twice, compressed; suffixes carry hashes and places only.
@@ -43,12 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from propstats.llm.common import WHITE_SPACE, inverse_powers, mix, powers, slices, stored, text_buffers, word_hashes, word_spans
+from propstats.session import scratch_path, scratch_scope
 
 LENGTH = 400
 GRAM = 32
 BATCHES = 4
-#: Any run of so many words is found by its least run of so many; shared runs in between are found if they hold a least one.
-PASSAGE_WORDS, PASSAGE_GRAM = 51, 40
+#: Words of a passage, and of the runs of words of which the one with the least hash is its anchor.
+PASSAGE_WORDS, PASSAGE_GRAM = 51, 16
 #: Distinct runs of one anchor that a task compares, some 600 bytes each.
 HOT_RUNS = 10_000
 #: Bytes handled at once; a longer text is cut into overlapping parts of as many windows.
@@ -62,6 +64,18 @@ SUFFIX = "text binary, at int, lo int, hi int, head long, gram long, run long"
 KEY = ["head", "gram"]
 
 
+class HashedWords:
+    """Prefix sums of word hashes, from which the hash of any run of words follows."""
+
+    def __init__(self, words: np.ndarray):
+        self.sums = np.zeros(len(words) + 1, dtype=np.uint64)
+        np.cumsum(words * powers(len(words)), out=self.sums[1:])
+        self.inverse = inverse_powers(len(words) + 1)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+
+
 class Hashed:
     """Prefix sums of a part's bytes, from which the hash of any of its strings follows."""
 
@@ -273,48 +287,108 @@ class IndexFamily:
         return matches
 
 
-def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, head, gram): of each text the least runs of words, each once."""
-    width, span = PASSAGE_GRAM, PASSAGE_WORDS - PASSAGE_GRAM + 1
-    for batch in slices(batches, "t", 1 << 20):
-        raw, offsets = text_buffers(batch.column("t"))
-        starts, ends, of = word_spans(raw, offsets, _IS_WORD)
-        hashes = word_hashes(raw, starts, ends)
-        if len(hashes) < PASSAGE_WORDS:
+def _word_runs(words: np.ndarray, of: np.ndarray) -> dict[str, np.ndarray]:
+    """The anchored runs of windows of PASSAGE_WORDS words: text, gram and run hash, anchor, first and last window.
+
+    ``words`` are hashes and ``of`` says each one's text. Runs that a text holds twice stand there twice.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
+    for start in range(0, len(words) - PASSAGE_WORDS + 1, PART):
+        w, text = words[start : start + PART + PASSAGE_WORDS - 1], of[start : start + PART + PASSAGE_WORDS - 1]
+        hashed = HashedWords(w)
+        grams, n = np.arange(len(w) - PASSAGE_GRAM + 1), len(w) - PASSAGE_WORDS + 1
+        gram = hashed.of(grams, grams + PASSAGE_GRAM)
+        least = _sliding_least((gram & ~_PLACE) | grams.astype(np.uint64), PASSAGE_WORDS - PASSAGE_GRAM + 1)
+        anchor = (least & _PLACE).astype(np.int64)
+        inside = text[:n] == text[PASSAGE_WORDS - 1 :]
+        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:n] != text[: n - 1])])
+        lo = np.flatnonzero(inside & (new | np.concatenate([[True], ~inside[:-1]])))
+        hi = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
+        at = anchor[lo]
+        run = mix(hashed.of(lo, hi + PASSAGE_WORDS) + ((hi - lo) * 1024 + at - lo).astype(np.uint64))
+        found.append((text[lo], gram[at], run, at + start, lo + start, hi + start))
+    names = ["text", "gram", "run", "at", "lo", "hi"]
+    return dict(zip(names, (np.concatenate(c) for c in zip(*found, strict=True)), strict=True)) if found else {}
+
+
+def _words_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of an Arrow column, and the number of each one's text."""
+    raw, offsets = text_buffers(column)
+    starts, ends, of = word_spans(raw, offsets, _IS_WORD)
+    if len(raw) > PART:
+        return word_hashes(raw, starts, ends), of
+    # The same hashes, with powers at hand.
+    sums = Hashed(raw).sums
+    return mix((sums[ends] - sums[starts]) * _INVERSE[starts] + (ends - starts).astype(np.uint64)), of
+
+
+def _word_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, gram, run): the anchored runs of each text, each once."""
+    for batch in slices(batches, "t", PART):
+        found = _word_runs(*_words_of(batch.column("t")))
+        if not found:
             continue
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(len(hashes)), dtype=np.uint64)])
-        at = np.arange(len(hashes) - width + 1)
-        gram = mix((sums[at + width] - sums[at]) * inverse_powers(len(at)))
-        least = _sliding_least(gram, span)
-        # Windows that lie in one text.
-        window = np.flatnonzero(of[: len(least)] == of[PASSAGE_WORDS - 1 :])
-        rows = np.unique(np.stack([of[window].astype(np.uint64), least[window]], axis=1), axis=0)
-        names = batch.column("text").take(pa.array(rows[:, 0].astype(np.int64)))
-        grams = rows[:, 1]
-        yield pa.RecordBatch.from_arrays([names, pa.array((grams >> np.uint64(32)).astype(np.int64)), pa.array(grams.view(np.int64))], names=["text", *KEY])
-
-
-def _shared_texts(rows: DataFrame, batches: int) -> DataFrame:
-    """(text): digests of the texts of ``rows`` (text, t) that share a run of PASSAGE_WORDS words with another row."""
-    # So many words have as many bytes and the spaces between them.
-    long = rows.where(F.length("t") >= 2 * PASSAGE_WORDS - 1)
-    entries = stored(long.select("text", "t").mapInArrow(_word_grams, "text binary, head long, gram long").distinct(), "grams")
-    family, matches = IndexFamily(), None
-    batch = F.pmod(F.xxhash64("text"), F.lit(batches))
-    for b in range(batches):
-        found = family.add(entries.where(batch == b).select(*KEY))
-        matches = found if matches is None else matches.union(found)
-    # A text has each of its grams once: what matches stands in another text.
-    found = entries.join(stored(matches.distinct(), "matches"), KEY).select("text").distinct()
-    copies = rows.select("text").join(entries.select("text").distinct(), "text").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    return stored(found.union(copies.where("n > 1").select("text")).distinct(), "shared")
+        text, run = found["text"], found["run"]
+        order = np.lexsort((run, text))
+        once = order[np.concatenate([[True], (np.diff(text[order]) != 0) | (np.diff(run[order]) != 0)])[: len(order)]]
+        docs = batch.column("doc").take(pa.array(text[once]))
+        yield pa.RecordBatch.from_arrays([docs, *(pa.array(found[c][once].view(np.int64)) for c in ("gram", "run"))], ["doc", "gram", "run"])
 
 
-def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
+def _word_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(window, doc): all windows of the asked runs, told by their words and their place before the anchor."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for batch in slices(batches, "blob", PART):
+        for doc, blob, asked in zip(*(batch.column(c).to_pylist() for c in ("doc", "blob", "runs")), strict=True):
+            words, of = _words_of(pa.array([expand(blob)], pa.binary()))
+            found = _word_runs(words, of)
+            take = np.isin(found["run"].view(np.int64), np.array(asked, dtype=np.int64))
+            at, lo, hi = (found[c][take] for c in ("at", "lo", "hi"))
+            size = hi - lo + 1
+            starts = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+            hashes = HashedWords(words).of(starts, starts + PASSAGE_WORDS)
+            windows = np.unique(mix(hashes + (np.repeat(at, size) - starts).astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(windows.view(np.int64)), pa.array(np.full(len(windows), doc))], ["window", "doc"])
+
+
+def _shared_docs(rows: DataFrame) -> DataFrame:
+    """(doc): the texts of ``rows`` (text, t) that share a run of PASSAGE_WORDS words with another row; doc is a hash of text.
+
+    A run of windows that stands in two rows settles both. Of the other texts, the windows are compared in which another
+    run has the same gram.
+    """
+    spark = rows.sparkSession
+    # So many words have as many bytes and the spaces between them.
+    long = rows.where(F.length("t") >= 2 * PASSAGE_WORDS - 1).select(F.xxhash64("text").alias("doc"), "t")
+    place = scratch_path(spark, "shared")
+    with scratch_scope(spark):
+        entries = stored(long.mapInArrow(_word_entries, "doc long, gram long, run long"), "words")
+        twice = stored(entries.groupBy("gram").count().where("count > 1").select("gram"), "grams")
+        matching = stored(entries.join(twice, "gram"), "matching")
+        runs = stored(matching.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc")), "runs")
+        settled = stored(matching.join(runs.where("n > 1").select("gram", "run"), ["gram", "run"]).select("doc").distinct(), "settled")
+        unsettled = matching.join(settled, "doc", "left_anti").select("gram").distinct()
+        asked = runs.join(unsettled, "gram").groupBy("doc").agg(F.collect_set("run").alias("runs"))
+        blobs = long.select(F.col("doc").alias("text"), "t").mapInArrow(_squeezed, "text long, blob binary")
+        blobs = blobs.groupBy(F.col("text").alias("doc")).agg(F.first("blob").alias("blob"))
+        windows = stored(blobs.join(stored(asked, "asked"), "doc").mapInArrow(_word_windows, "window long, doc long"), "windows")
+        common = windows.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b").select("window")
+        found = windows.join(common, "window").select("doc").union(settled).distinct()
+        found.write.parquet(place)
+    return spark.read.schema("doc long").parquet(place)
+
+
+def _with_shared(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``rows`` (text) with the column ``shared``, whether the text is among those of ``shared`` (doc)."""
+    flags = shared.withColumn("shared", F.lit(True))
+    joined = rows.withColumn("doc", F.xxhash64("text")).join(flags, "doc", "left").drop("doc")
+    return joined.withColumn("shared", F.coalesce("shared", F.lit(False)))
+
+
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key and ``shared``, whether it has a run of PASSAGE_WORDS words that another row has."""
     rows = _digested(docs, key, text)
-    shared = _shared_texts(rows, batches).withColumn("shared", F.lit(True))
-    return rows.select("k", "text").join(shared, "text", "left").select(F.col("k").alias(key), F.coalesce("shared", F.lit(False)).alias("shared"))
+    return _with_shared(rows.select("k", "text"), _shared_docs(rows)).select(F.col("k").alias(key), "shared")
 
 
 def _digested(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -323,8 +397,9 @@ def _digested(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
-    """One row per row of ``docs``: key, n_bytes, removed (array of maximal runs of bytes), n_removed, kept_sha256."""
+    """One row per row of ``docs``: key, n_bytes, removed (array of maximal runs of bytes), n_removed, kept_sha256, shared (as ``passages``)."""
     rows = _digested(docs, key, text)
+    shared = _shared_docs(rows)
     long = rows.where(F.length("t") >= LENGTH)
     entries = stored(long.select("text", "t").mapInArrow(_entries, SUFFIX).dropDuplicates(["text", "at", "lo"]), "entries")
 
@@ -367,7 +442,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: i
     cut = blobs.join(spans, "text").select("text", "blob", "spans")
     cut = stored(cut.mapInArrow(_cut, "text binary, removed array<struct<start:int,end:int>>, n_removed long, kept_sha256 string"), "cut")
 
-    light = rows.select("k", "text", F.length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("whole"))
+    light = _with_shared(rows.select("k", "text", F.length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("whole")), shared)
     copied = light.where(F.col("n_bytes") >= LENGTH).groupBy("text").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     out = light.join(copied, "text", "left").join(cut, "text", "left")
     whole = F.col("copies").isNotNull()
@@ -379,4 +454,5 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: i
         F.when(whole, all_of_it).otherwise(F.coalesce("removed", none)).alias("removed"),
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
+        "shared",
     )

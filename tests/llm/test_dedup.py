@@ -285,3 +285,53 @@ def test_passages_of_short_words_and_odd_texts(spark):
     # What a text repeats itself is no shared passage; copies of a short text hold none.
     assert not got[200] and not got[203] and got[204] and got[206] and not got[205]
     assert suffix_dedup.passages(df.limit(0)).count() == 0
+
+
+def in_two_rows(texts):
+    """Whether each row has a run of 51 words that another row has, by comparing all of them."""
+    own = {doc: runs(t, suffix_dedup.PASSAGE_WORDS) for doc, t in texts.items()}
+    seen = Counter(r for found in own.values() for r in found)
+    return {doc: int(any(seen[r] > 1 for r in found)) for doc, found in own.items()}
+
+
+def test_passages_below_400_bytes_are_found_by_the_query(spark, tmp_path):
+    rng = random.Random(13)
+    line = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("xyz") + rng.choice("klmnop") for _ in range(n))
+    texts = {}
+    for i in range(150):
+        # Runs of 30 to 60 words in two or three texts each; one line stands in all of them, and 20 words of one text come again later.
+        if i % 3 == 0:
+            shared, common = line(rng.choice([30, 49, 50, 50, 51, 51, 52, 60])), line(20) if i == 0 else common
+        texts[i] = f"{line(rng.randint(0, 70))} {shared}\n{line(rng.randint(1, 70))}\t{common} {line(rng.randint(0, 9))}"
+        texts[i] += f" {' '.join(texts[i].split()[:20])}" if i % 5 == 0 else ""
+    texts |= {150: None, 151: "", 152: line(50), 153: line(51), 154: line(51), 155: line(300)}
+    texts |= {156: texts[152], 157: texts[153], 158: texts[154].replace(" ", "\n \x0b"), 159: " ".join(texts[155].split()[120:171])}
+    rows = [(i, t) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op4_suffix_dedup(spark, str(tmp_path)).collect()}
+    want = in_two_rows(texts)
+    assert {doc: r.has_passage for doc, r in got.items()} == want and 60 < sum(want.values()) < 120
+    assert sum(r.has_passage and not r.n_removed for r in got.values()) > 60
+
+
+def test_passages_of_the_tables_are_exact(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
+    rows = suffix_dedup.passages(table(spark, sf_dir, "documents")).collect()
+    assert {r.doc_id: int(r.shared) for r in rows} == in_two_rows(texts)
+
+
+def test_word_runs_cover_each_window_once(monkeypatch):
+    rng = np.random.default_rng(14)
+    words = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    words[1000:1200] = words[1000]
+    of = np.repeat([0, 1, 2, 3], [40, 1360, 51, 1549])
+    whole = suffix_dedup._word_runs(words, of)
+    monkeypatch.setattr(suffix_dedup, "PART", 128)
+    cut = suffix_dedup._word_runs(words, of)
+    for found in (whole, cut):
+        windows = [i for lo, hi in zip(found["lo"], found["hi"], strict=True) for i in range(lo, hi + 1)]
+        assert windows == [i for i in range(2950) if of[i] == of[i + 50]]
+        # The anchor lies in each of a run's windows.
+        last = suffix_dedup.PASSAGE_WORDS - suffix_dedup.PASSAGE_GRAM
+        assert (found["hi"] <= found["at"]).all() and (found["at"] <= found["lo"] + last).all() and (found["text"] == of[found["lo"]]).all()
+    assert len(whole["lo"]) < 0.3 * 2950
